@@ -9,6 +9,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from termloom.functions.text import strip_fence
 from termloom.operators.responses import response_shape
@@ -55,7 +56,7 @@ def _complete_objects(text: str | None, member: str) -> int:
         found += 1
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def complete_partial_objects(text: pd.Series, member: pd.Series) -> pd.Series:
     """Number of whole objects at the start of a list that may be cut off."""
     return pd.Series([_complete_objects(t, m) for t, m in zip(text, member)], dtype="int32")
