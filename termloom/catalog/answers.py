@@ -332,7 +332,7 @@ def _part_name_terms(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _part_replies(spark: SparkSession, d: str) -> DataFrame:
+def part_replies(spark: SparkSession, d: str) -> DataFrame:
     """Stored responses of both stages; the part size decides which ones are bad."""
     part = table(spark, d, "part")
     case = F.pmod("p_size", F.lit(8))
@@ -351,17 +351,25 @@ def _part_replies(spark: SparkSession, d: str) -> DataFrame:
     return first.unionByName(reply("grounding", grounding, F.lit("stop"), F.lit(5).cast("long")))
 
 
-def _enriched(spark: SparkSession, d: str) -> DataFrame:
+def part_records(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "part").select("p_partkey", "p_name", "p_type", "p_size")
-    records = C.canonicalise(rows, keep=["p_partkey"], columns=["p_name", "p_type"]).select(
+    return C.canonicalise(rows, keep=["p_partkey"], columns=["p_name", "p_type"]).select(
         F.col("p_partkey").cast("string").alias("rec_id"), "accession", "metadata"
     )
-    return E.enrich(records, I.build_index(_part_name_terms(spark, d)), R.replay(_part_replies(spark, d)), model="replay")
+
+
+def part_index(spark: SparkSession, d: str) -> I.TermIndex:
+    return I.build_index(_part_name_terms(spark, d))
 
 
 def enriched(spark: SparkSession, d: str) -> DataFrame:
+    results = E.enrich(part_records(spark, d), part_index(spark, d), R.replay(part_replies(spark, d)), model="replay")
+    return enrichment_columns(results)
+
+
+def enrichment_columns(results: DataFrame) -> DataFrame:
     first = F.get("concepts", F.lit(0))
-    return _enriched(spark, d).select(
+    return results.select(
         "rec_id", "status", "failed_stage", "error", F.size("concepts").alias("concepts"),
         first["annotation"]["ontology_id"].alias("first_id"), F.size(first["candidates"]).alias("candidates"),
         F.get("concepts", F.lit(1))["annotation"]["status"].alias("second_status"),

@@ -24,8 +24,10 @@ def stream_enrich(
     """
 
     def save(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()  # several stages read the batch
         results = enrich(batch, index, ask, k, model)
         results.write.mode("overwrite").parquet(f"{output.rstrip('/')}/batch={batch_id}")
+        batch.unpersist()
 
     return records.writeStream.option("checkpointLocation", checkpoint).foreachBatch(save)
 
