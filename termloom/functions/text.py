@@ -49,11 +49,15 @@ def word_ngrams(text: Column) -> Column:
     return word_unigrams_and_bigrams(word_tokens(text))
 
 
+def neighbour_pairs(tokens: Column) -> Column:
+    """Pairs of neighbouring tokens, joined by a space; none for fewer than two tokens."""
+    pairs = F.greatest(F.size(tokens) - 1, F.lit(0))
+    heads, tails = F.slice(tokens, F.lit(1), pairs), F.slice(tokens, F.lit(2), pairs)
+    return F.zip_with(heads, tails, lambda a, b: F.concat_ws(" ", a, b))
+
+
 def word_unigrams_and_bigrams(tokens: Column) -> Column:
-    size = F.size(tokens)
-    heads = F.slice(tokens, F.lit(1), F.greatest(size - 1, F.lit(0)))
-    tails = F.slice(tokens, F.lit(2), F.greatest(size - 1, F.lit(0)))
-    return F.concat(tokens, F.zip_with(heads, tails, lambda a, b: F.concat_ws(" ", a, b)))
+    return F.concat(tokens, neighbour_pairs(tokens))
 
 
 def pad_words(text: Column) -> Column:

@@ -12,8 +12,10 @@ of weight one. The exact-name bonus is then one more posting and needs no join o
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,7 +29,8 @@ from termloom.functions.text import (
 from termloom.plans.staging import BROADCAST_BYTES, broadcast_if_small, spread, staging_folder, write_stage
 
 WORD, CHAR, NAME = "w", "c", "n"
-BLOCK_POSTINGS = 4096
+# Small enough that an Arrow batch of posting lists stays in the low hundreds of megabytes.
+BLOCK_POSTINGS = 512
 VOCAB_ROW_BYTES = 96
 TERM_ROW_BYTES = 1024
 _BLOCK_ROW_BYTES = 128
@@ -152,14 +155,37 @@ def block_count(df: Column, block_postings: int = BLOCK_POSTINGS) -> Column:
     return F.ceil(df / F.lit(block_postings)).cast("long")
 
 
+def _pack_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lists = batch.column(3)
+        rows = lists.flatten()
+        # Offsets in bytes: every term number and every weight takes eight.
+        offsets = pa.array((lists.offsets.to_numpy() - lists.offsets[0].as_py()) * 8, pa.int32())
+        packed = [
+            pa.Array.from_buffers(
+                pa.binary(), len(lists), [None, offsets.buffers()[1], pa.py_buffer(rows.field(name).to_numpy().tobytes())]
+            )
+            for name in ("term_no", "w")
+        ]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *packed], [*batch.schema.names, "terms", "weights"])
+
+
 def block_postings(postings: DataFrame, size: int = BLOCK_POSTINGS) -> DataFrame:
-    """Cut each token's list into blocks of about ``size`` terms."""
+    """Cut each token's list into blocks of about ``size`` terms.
+
+    A block is kept as rows in ``list`` and as packed numbers in ``terms`` and ``weights``;
+    packed blocks go through joins and Arrow as plain bytes.
+    """
     block = F.pmod(F.col("term_no"), block_count(F.col("df"), size))
-    return (
+    blocks = (
         postings.withColumn("block", block)
         .groupBy("analyzer", "token", "block")
         .agg(F.collect_list(F.struct("term_no", "w")).alias("list"))
     )
+    return blocks.mapInArrow(
+        _pack_lists,
+        "analyzer string, token string, block long, list array<struct<term_no:long,w:double>>, terms binary, weights binary",
+    )
 
 
 def postings_rows(index: TermIndex) -> DataFrame:

@@ -7,13 +7,17 @@ Each distinct (query, field) is scored once, whatever the number of rows that as
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from termloom.functions import fixed_values as V
 from termloom.functions.text import (
     blank_to_null,
-    context_query,
+    neighbour_pairs,
     normalize_name,
     pad_words,
     padded_char_ngrams,
@@ -78,30 +82,39 @@ def _tagged(analyzer: str, in_value: int, tokens: Column) -> Column:
 def query_weights(asked: DataFrame, vocab: DataFrame) -> DataFrame:
     """(qkey, analyzer, token, df, qw): folded weight of every token that the index knows.
 
-    The name token is kept even when no term has that name, so every query keeps a row.
+    The context text is the field name followed by the value, so each value token belongs to
+    both texts. Only the tokens of the field, and the word pair where field and value meet, are
+    added for the context. Unknown tokens leave before they are counted; the name token stays
+    even when no term has that name, so every query keeps a row.
     """
-    texts = asked.withColumn("context", context_query(F.col("query"), F.col("field"))).select(
+    field_text = F.replace(F.col("field"), F.lit("_"), F.lit(" "))
+    texts = asked.select(
         "qkey",
         normalize_name(F.col("query")).alias("name"),
         word_tokens(F.col("query")).alias("words"),
-        word_tokens(F.col("context")).alias("context_words"),
+        word_tokens(field_text).alias("field_words"),
         pad_words(F.col("query")).alias("padded"),
-        pad_words(F.col("context")).alias("context_padded"),
+        pad_words(field_text).alias("field_padded"),
     )
+    joint = F.concat("field_words", F.slice("words", 1, 1))
     tokens = F.concat(
         _tagged(WORD, 1, word_unigrams_and_bigrams(F.col("words"))),
-        _tagged(WORD, 0, word_unigrams_and_bigrams(F.col("context_words"))),
+        _tagged(WORD, 0, F.concat("field_words", neighbour_pairs(joint))),
         _tagged(CHAR, 1, padded_char_ngrams(F.col("padded"))),
-        _tagged(CHAR, 0, padded_char_ngrams(F.col("context_padded"))),
+        _tagged(CHAR, 0, padded_char_ngrams(F.col("field_padded"))),
         _tagged(NAME, 1, F.array("name")),
     )
-    counted = (
+    known = (
         texts.select("qkey", F.explode(tokens).alias("t"))
-        .groupBy("qkey", F.col("t.analyzer").alias("analyzer"), F.col("t.token").alias("token"))
-        .agg(
-            F.sum("t.in_value").alias("in_value"),
-            F.sum(F.lit(1) - F.col("t.in_value")).alias("in_context"),
-        )
+        .select("qkey", "t.*")
+        .join(vocab, ["analyzer", "token"], "left")
+        .filter(F.col("idf").isNotNull() | (F.col("analyzer") == NAME))
+    )
+    counted = known.groupBy("qkey", "analyzer", "token").agg(
+        F.sum("in_value").alias("in_value"),
+        F.count("*").alias("in_context"),
+        F.max("df").alias("df"),
+        F.max("idf").alias("idf"),
     )
 
     def raw(count: str) -> Column:
@@ -120,9 +133,7 @@ def query_weights(asked: DataFrame, vocab: DataFrame) -> DataFrame:
         coefficient(V.WORD_CONTEXT_WEIGHT, V.CHAR_CONTEXT_WEIGHT, 0.0) * unit("raw_context")
     )
     return (
-        counted.join(vocab, ["analyzer", "token"], "left")
-        .filter(F.col("idf").isNotNull() | (F.col("analyzer") == NAME))
-        .withColumn("raw_value", raw("in_value"))
+        counted.withColumn("raw_value", raw("in_value"))
         .withColumn("raw_context", raw("in_context"))
         .select("qkey", "analyzer", "token", F.coalesce("df", F.lit(1)).alias("df"), folded.alias("qw"))
     )
@@ -187,13 +198,105 @@ def top_k(scores: DataFrame, k: int) -> DataFrame:
     return ranked.groupBy("qkey").agg(F.array_sort(F.collect_list(hit)).alias("hits"))
 
 
+# Dense score cells that one step of the array scoring may hold (8 bytes each).
+DENSE_CELLS = 4_000_000
+HIT_TYPE = "array<struct<rank:int,score:double,term_no:bigint>>"
+
+
+def _best_of(sums: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, term numbers and scores of the best ``k`` positive cells per row, best first."""
+    ranked = np.round(sums, RANK_PLACES)
+    width = ranked.shape[1]
+    limit = np.partition(ranked, width - k, axis=1)[:, width - k] if k < width else np.zeros(len(ranked))
+    rows, terms = np.nonzero((ranked >= limit[:, None]) & (sums > 0))
+    order = np.lexsort((terms, -ranked[rows, terms], rows))
+    rows, terms = rows[order], terms[order]
+    place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+    kept = place < k
+    return rows[kept], terms[kept], sums[rows[kept], terms[kept]]
+
+
+def _hit_batch(keys: list[bytes], rows: np.ndarray, terms: np.ndarray, scores: np.ndarray) -> pa.RecordBatch:
+    starts = np.searchsorted(rows, np.arange(len(keys) + 1))
+    ranks = np.arange(len(rows)) - starts[rows] + 1
+    hits = pa.StructArray.from_arrays(
+        [pa.array(ranks, pa.int32()), pa.array(np.round(scores, SCORE_PLACES)), pa.array(terms, pa.int64())],
+        ["rank", "score", "term_no"],
+    )
+    lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), hits)
+    return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), lists], ["qkey", "hits"])
+
+
+def _unpacked(packed: pa.BinaryArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths and all numbers of a column of packed blocks; a null block is empty."""
+    offsets = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset : packed.offset + len(packed) + 1]
+    data = packed.buffers()[2]
+    numbers = np.frombuffer(data, kind, (offsets[-1] - offsets[0]) // 8, offsets[0]) if data else np.empty(0, kind)
+    return np.diff(offsets) // 8, numbers
+
+
+def _array_scorer(k: int, n_terms: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Sum the products of each query and keep its best terms.
+
+    Rows are (qkey, qw, terms, weights) with the rows of a query next to each other. The query at the end
+    of a batch is carried on as a vector of sums.
+    """
+    step = max(1, DENSE_CELLS // n_terms)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_key: bytes | None = None
+        open_sums = np.zeros(n_terms)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            coded = batch.column(0).dictionary_encode()
+            keys, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+            lengths, terms = _unpacked(batch.column(2), np.int64)
+            _, weights = _unpacked(batch.column(3), np.float64)
+            products = weights * np.repeat(batch.column(1).to_numpy(), lengths)
+            owners = np.repeat(codes, lengths)
+            if open_key is not None and keys[0] != open_key:
+                yield _hit_batch([open_key], *_best_of(open_sums[None, :], k))
+                open_sums = np.zeros(n_terms)
+            for first in range(0, len(keys), step):
+                last = min(first + step, len(keys))
+                lo, hi = np.searchsorted(owners, [first, last])
+                cells = (owners[lo:hi] - first).astype(np.int64) * n_terms + terms[lo:hi]
+                sums = np.bincount(cells, products[lo:hi], minlength=(last - first) * n_terms).reshape(-1, n_terms)
+                if first == 0:
+                    sums[0] += open_sums
+                if last == len(keys):
+                    open_key, open_sums = keys[-1], sums[-1].copy()
+                    sums, last = sums[:-1], last - 1
+                if last > first:
+                    yield _hit_batch(keys[first:last], *_best_of(sums, k))
+        if open_key is not None:
+            yield _hit_batch([open_key], *_best_of(open_sums[None, :], k))
+
+    return run
+
+
+def top_k_in_arrays(asked: DataFrame, index: TermIndex, k: int, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """(qkey, hits) with an index under the broadcast limit.
+
+    Spark brings every query token together with its postings; the products, far more than
+    any other rows here, are summed as arrays inside the task and never become rows.
+    """
+    vocab = broadcast_if_small(index.vocab, index.n_vocab, VOCAB_ROW_BYTES, broadcast_bytes)
+    weights = query_weights(asked, vocab)
+    listed = weights.join(F.broadcast(index.postings), ["analyzer", "token"], "left")
+    # The rows already come sorted by query, so this states a fact and adds no sort.
+    rows = listed.select("qkey", "qw", "terms", "weights").sortWithinPartitions("qkey")
+    return rows.mapInArrow(_array_scorer(k, index.n_terms), f"qkey binary, hits {HIT_TYPE}")
+
+
 def fill_zero_scores(hits: Column, k: int, n_terms: int) -> Column:
     """Complete a short hit list with the lowest term numbers that are not in it, at score 0.
 
     ``2k`` numbers always hold enough of them, so no join with the terms is needed.
     """
     wanted = min(k, n_terms)
-    found = F.coalesce(hits, F.array().cast("array<struct<rank:int,score:double,term_no:bigint>>"))
+    found = F.coalesce(hits, F.array().cast(HIT_TYPE))
     numbers = F.sequence(F.lit(0).cast("long"), F.lit(max(min(2 * k, n_terms), 1) - 1).cast("long"))
     free = F.array_except(numbers, F.transform(found, lambda h: h["term_no"]))
     extra = F.slice(free, F.lit(1), F.greatest(F.lit(wanted) - F.size(found), F.lit(0)))
@@ -214,7 +317,11 @@ def retrieve_distinct(
     salt_rows: int = SALT_ROWS,
 ) -> DataFrame:
     """(qkey, hits) for each distinct non-blank (query, field)."""
-    best = top_k(score_terms(distinct_queries(queries), index, broadcast_bytes, salt_rows), k)
+    asked = distinct_queries(queries)
+    if index.postings_bytes() <= broadcast_bytes:
+        best = top_k_in_arrays(asked, index, k, broadcast_bytes)
+    else:
+        best = top_k(score_terms(asked, index, broadcast_bytes, salt_rows), k)
     return best.withColumn("hits", fill_zero_scores(F.col("hits"), k, index.n_terms))
 
 

@@ -48,10 +48,16 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+# Rows that grow need more partitions than others. The count also has to differ from the usual
+# one: Spark drops a repartition that equals the partitioning below it, and adaptive execution
+# would then merge the partitions that remain.
+SPREAD_FACTOR = 2
+
+
 def spread(df: DataFrame, *columns: str) -> DataFrame:
-    """Hash-partition by ``columns`` into the configured number of partitions.
+    """Hash-partition by ``columns`` into a fixed number of partitions.
 
     For rows that grow a lot after the shuffle, such as texts turned into grams: a fixed number
     keeps adaptive execution from merging partitions that only look small before they grow.
     """
-    return df.repartition(shuffle_width(df.sparkSession), *columns)
+    return df.repartition(SPREAD_FACTOR * shuffle_width(df.sparkSession), *columns)
