@@ -10,15 +10,12 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 
 HEADLINES = (
-    "read_parquet_records",
     "canonicalise_orders",
     "hash_sample",
     "position_sample",
-    "word_ngrams",
     "char_ngrams",
     "build_postings",
     "retrieve_top_k",
-    "retrieve_for_concepts",
     "check_responses",
     "reconstruct_annotations",
     "validate_selected_ids",

@@ -14,6 +14,7 @@ from termloom.functions.text import char_ngrams, context_query, normalize_name,
 from termloom.operators import index as I
 from termloom.operators import retrieve as R
 from termloom.operators.ontology import number_terms
+from termloom.plans.staging import spread
 
 PLACES = 6
 
@@ -149,7 +150,8 @@ best AS (
 
 
 def word_grams(spark: SparkSession, d: str) -> DataFrame:
-    tokens = table(spark, d, "documents").select(F.explode(word_ngrams(F.col("text"))).alias("token"))
+    texts = spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    tokens = texts.select(F.explode(word_ngrams(F.col("text"))).alias("token"))
     return tokens.groupBy("token").agg(F.count("*").alias("n"))
 
 
@@ -160,7 +162,8 @@ SELECT token, count(*) AS n FROM (
 
 
 def char_grams(spark: SparkSession, d: str) -> DataFrame:
-    tokens = table(spark, d, "documents").select(F.explode(char_ngrams(F.col("text"))).alias("token"))
+    texts = spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    tokens = texts.select(F.explode(char_ngrams(F.col("text"))).alias("token"))
     return tokens.groupBy("token").agg(F.count("*").alias("n"))
 
 

@@ -94,6 +94,45 @@ def flatten_columns(df: DataFrame, columns: Sequence[str] | None = None) -> Colu
     return F.filter(entries, lambda e: (e["key"] != "") & e["value"].isNotNull())
 
 
+def _fixed_leaves(prefix: str, value: Column, data_type: T.DataType) -> list[tuple[str, Column]] | None:
+    """Leaves whose keys follow from the schema alone, or None below a map or an array."""
+    if isinstance(data_type, (T.MapType, T.ArrayType)):
+        return None
+    if not isinstance(data_type, T.StructType):
+        return [(prefix, scalar_text(value, data_type))]
+    leaves: list[tuple[str, Column]] = []
+    for field in data_type:
+        key = f"{prefix}.{field.name}" if prefix else field.name
+        inner = _fixed_leaves(key, value.getField(field.name), field.dataType)
+        if inner is None:
+            return None
+        leaves += inner
+    return leaves
+
+
+def fixed_entries(df: DataFrame, columns: Sequence[str]) -> Column | None:
+    """Entries in key order when the schema fixes all keys and none occurs twice.
+
+    Then nothing has to be merged or sorted per row. None for any other schema.
+    """
+    leaves: list[tuple[str, Column]] = []
+    for field in df.schema:
+        if field.name in set(columns):
+            prefix = "" if field.name in UNPREFIXED_COLUMNS else field.name
+            inner = _fixed_leaves(prefix, F.col(f"`{field.name}`"), field.dataType)
+            if inner is None:
+                return None
+            leaves += [(key, text) for key, text in inner if key]
+    keys = [key for key, _ in leaves]
+    if len(set(keys)) < len(keys):
+        return None
+    if not leaves:
+        return _no_entries()
+    ordered = sorted(leaves, key=lambda leaf: leaf[0])
+    entries = F.array(*[F.when(text.isNotNull(), F.struct(F.lit(key).alias("key"), text.alias("value"))) for key, text in ordered])
+    return F.array_compact(entries)
+
+
 def append_value(kept: Column, value: Column) -> Column:
     """Join ``value`` to ``kept`` unless it is already one of its parts."""
     seen = F.array_contains(F.split(kept, _SPLIT_PATTERN), value)
@@ -148,6 +187,14 @@ def canonicalise(
     if accession_type is not None and not isinstance(accession_type, (T.StructType, T.MapType, T.ArrayType)):
         structural = scalar_text(F.col(ACCESSION_COLUMN), accession_type)
     kept = [F.col(f"`{c}`") for c in keep]
+    fixed = fixed_entries(df, columns)
+    if fixed is not None:
+        staged = df.select(
+            *kept,
+            (F.lit(None).cast("string") if structural is None else structural).alias("__accession"),
+            F.map_from_entries(fixed).alias("__merged"),
+        )
+        return _resolved(staged, F.col("__accession"), keep)
     staged = df.select(
         *kept,
         (F.lit(None).cast("string") if structural is None else structural).alias("__accession"),
@@ -162,6 +209,10 @@ def canonicalise_entries(
     """Shared tail of all record sources: merge, sort, resolve the accession."""
     # The entries are named once so that the merge reads a column, not the flattening again.
     staged = df.withColumn("__merged", F.map_from_entries(merge_repeated(entries)))
+    return _resolved(staged, accession, keep)
+
+
+def _resolved(staged: DataFrame, accession: Column | None, keep: Sequence[str]) -> DataFrame:
     return staged.select(
         *[F.col(f"`{c}`") for c in keep],
         resolve_accession(accession, F.col("__merged")).alias("accession"),

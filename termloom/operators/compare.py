@@ -122,7 +122,10 @@ def _paired(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str) -> DataFr
 
 def agreement(a: DataFrame, b: DataFrame, group: Sequence[str] = (), keys: Sequence[str] = ("rec_id",)) -> DataFrame:
     """Agreement of two signature tables over records that are whole on both sides."""
-    pairs = _paired(a, b, [*group, *keys, "concept_index"], "inner")
+    return _agreement(_paired(a, b, [*group, *keys, "concept_index"], "inner"), group, keys)
+
+
+def _agreement(pairs: DataFrame, group: Sequence[str], keys: Sequence[str]) -> DataFrame:
     missing = (F.col("__a.status") == "missing") | (F.col("__b.status") == "missing")
     records = pairs.groupBy(*group, *keys).agg(
         F.bool_or(missing).alias("missing"),
@@ -148,12 +151,11 @@ def agreement(a: DataFrame, b: DataFrame, group: Sequence[str] = (), keys: Seque
 
 def variant_compare(variants: DataFrame, baseline: DataFrame, group: Sequence[str] = ("variant", "cap")) -> DataFrame:
     """Agreement of every variant with one baseline, in one job over the grouping keys."""
-    kinds = variants.select(*group).distinct()
-    # One baseline copy per variant; variants are the few configurations of a study.
-    repeated = baseline.select("rec_id", "concept_index", "status", "ontology_id").withColumn(
-        "__one", F.lit(1)
-    ).join(F.broadcast(kinds.withColumn("__one", F.lit(1))), "__one").drop("__one")
-    return agreement(variants, repeated, group)
+    on = ["rec_id", "concept_index"]
+    ours = variants.select(*group, *on, F.struct("status", "ontology_id").alias("__a"))
+    theirs = baseline.select(*on, F.struct("status", "ontology_id").alias("__b"))
+    pairs = ours.join(theirs, on).withColumn("__same", F.col("__a").eqNullSafe(F.col("__b")))
+    return _agreement(pairs, group, ["rec_id"])
 
 
 def ordered_parity(a: DataFrame, b: DataFrame, keys: Sequence[str] = ("rec_id",)) -> DataFrame:

@@ -31,26 +31,23 @@ from termloom.plans.staging import BROADCAST_BYTES, broadcast_if_small, spread,
 WORD, CHAR, NAME = "w", "c", "n"
 # Small enough that an Arrow batch of posting lists stays in the low hundreds of megabytes.
 BLOCK_POSTINGS = 512
-VOCAB_ROW_BYTES = 96
-TERM_ROW_BYTES = 1024
-_BLOCK_ROW_BYTES = 128
+# In-memory bytes of a row beside its texts, and of one posting.
+_ROW_BYTES = 96
 _POSTING_BYTES = 16
 
 
 @dataclass(frozen=True)
 class TermIndex:
-    """Tables of the index and the counts that size checks need."""
+    """Tables of the index and their measured sizes, which decide about broadcasts."""
 
     terms: DataFrame
     vocab: DataFrame
     postings: DataFrame
     n_terms: int
-    n_vocab: int
-    n_blocks: int
     n_postings: int
-
-    def postings_bytes(self) -> int:
-        return self.n_blocks * _BLOCK_ROW_BYTES + self.n_postings * _POSTING_BYTES
+    terms_bytes: int
+    vocab_bytes: int
+    postings_bytes: int
 
 
 def build_text(label: Column, synonyms: Column, definition: Column) -> Column:
@@ -209,24 +206,35 @@ def build_index(terms: DataFrame, path: str | None = None, broadcast_bytes: int
     if n_terms == 0:
         raise ValueError("No labelled terms found")
     vocab = write_stage(build_vocab(stored_terms, n_terms), "vocab", f"{path}/vocab")
-    sized = broadcast_if_small(vocab, vocab.count(), VOCAB_ROW_BYTES, broadcast_bytes)
+    sized = broadcast_if_small(vocab, _vocab_bytes(vocab), broadcast_bytes)
     blocks = block_postings(build_postings(stored_terms, sized))
     write_stage(blocks, "postings", f"{path}/postings")
     return load_index(spark, path)
 
 
+def _vocab_bytes(vocab: DataFrame) -> int:
+    return vocab.agg(F.coalesce(F.sum(F.octet_length("token") + _ROW_BYTES), F.lit(0))).first()[0]
+
+
 def load_index(spark: SparkSession, path: str) -> TermIndex:
-    """Read a saved index; the counts come from footers and one narrow column."""
+    """Read a saved index and measure its tables."""
     terms, vocab, postings = (spark.read.parquet(f"{path}/{t}") for t in ("terms", "vocab", "postings"))
-    sizes = postings.agg(F.count("*").alias("blocks"), F.sum(F.size("list")).alias("rows")).first()
+    listed = F.octet_length("terms") / 8
+    blocks = postings.agg(
+        F.sum(listed).cast("long").alias("rows"),
+        F.sum(F.octet_length("token") + _ROW_BYTES + listed * _POSTING_BYTES).cast("long").alias("bytes"),
+    ).first()
+    texts = F.octet_length(F.concat_ws("", "id", "iri", "label", "definition", "synonyms", "parents"))
+    numbered = terms.agg(F.count("*").alias("rows"), F.sum(texts + 2 * _ROW_BYTES).alias("bytes")).first()
     return TermIndex(
         terms=terms,
         vocab=vocab,
         postings=postings,
-        n_terms=terms.count(),
-        n_vocab=vocab.count(),
-        n_blocks=sizes["blocks"],
-        n_postings=sizes["rows"] or 0,
+        n_terms=numbered["rows"],
+        n_postings=blocks["rows"] or 0,
+        terms_bytes=numbered["bytes"] or 0,
+        vocab_bytes=_vocab_bytes(vocab),
+        postings_bytes=blocks["bytes"] or 0,
     )
 
 

@@ -28,8 +28,6 @@ from termloom.functions.text import (
 from termloom.operators.index import (
     CHAR,
     NAME,
-    TERM_ROW_BYTES,
-    VOCAB_ROW_BYTES,
     WORD,
     TermIndex,
     block_count,
@@ -178,9 +176,9 @@ def score_terms(
     With an index under the broadcast limit nothing is shuffled here: grams, weights, products
     and sums of a query all stay in the partition that ``distinct_queries`` put it in.
     """
-    vocab = broadcast_if_small(index.vocab, index.n_vocab, VOCAB_ROW_BYTES, broadcast_bytes)
+    vocab = broadcast_if_small(index.vocab, index.vocab_bytes, broadcast_bytes)
     weights = query_weights(asked, vocab)
-    if index.postings_bytes() <= broadcast_bytes:
+    if index.postings_bytes <= broadcast_bytes:
         joined = weights.join(F.broadcast(index.postings), ["analyzer", "token"], "left")
     else:
         joined = _salted_join(weights, index.postings, salt_rows)
@@ -262,7 +260,9 @@ def _array_scorer(k: int, n_terms: int) -> Callable[[Iterator[pa.RecordBatch]],
                 last = min(first + step, len(keys))
                 lo, hi = np.searchsorted(owners, [first, last])
                 cells = (owners[lo:hi] - first).astype(np.int64) * n_terms + terms[lo:hi]
-                sums = np.bincount(cells, products[lo:hi], minlength=(last - first) * n_terms).reshape(-1, n_terms)
+                # Without any cell, bincount would count in integers.
+                sums = np.bincount(cells, products[lo:hi], minlength=(last - first) * n_terms).astype(np.float64)
+                sums = sums.reshape(-1, n_terms)
                 if first == 0:
                     sums[0] += open_sums
                 if last == len(keys):
@@ -282,7 +282,7 @@ def top_k_in_arrays(asked: DataFrame, index: TermIndex, k: int, broadcast_bytes:
     Spark brings every query token together with its postings; the products, far more than
     any other rows here, are summed as arrays inside the task and never become rows.
     """
-    vocab = broadcast_if_small(index.vocab, index.n_vocab, VOCAB_ROW_BYTES, broadcast_bytes)
+    vocab = broadcast_if_small(index.vocab, index.vocab_bytes, broadcast_bytes)
     weights = query_weights(asked, vocab)
     listed = weights.join(F.broadcast(index.postings), ["analyzer", "token"], "left")
     # The rows already come sorted by query, so this states a fact and adds no sort.
@@ -318,7 +318,7 @@ def retrieve_distinct(
 ) -> DataFrame:
     """(qkey, hits) for each distinct non-blank (query, field)."""
     asked = distinct_queries(queries)
-    if index.postings_bytes() <= broadcast_bytes:
+    if index.postings_bytes <= broadcast_bytes:
         best = top_k_in_arrays(asked, index, k, broadcast_bytes)
     else:
         best = top_k(score_terms(asked, index, broadcast_bytes, salt_rows), k)
@@ -327,7 +327,7 @@ def retrieve_distinct(
 
 def hydrate_hits(found: DataFrame, index: TermIndex, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(qkey, candidates): hits with id, label, synonyms, definition, parents and iri."""
-    terms = broadcast_if_small(index.terms, index.n_terms, TERM_ROW_BYTES, broadcast_bytes)
+    terms = broadcast_if_small(index.terms, index.terms_bytes, broadcast_bytes)
     candidate = F.struct(
         "rank", "score", "id", "label", "synonyms", "definition", "parents", "iri"
     )

@@ -65,7 +65,7 @@ def _ranked_percentiles(
     within = Window.partitionBy(*keys, "part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     ends = ranged.withColumn("within", F.sum("n").over(within)).join(starts, [*keys, "part"])
     ends = ends.withColumn("last", F.col("start") + F.col("within") - 1).withColumn("first", F.col("last") - F.col("n") + 1)
-    placed = ends.join(totals, keys) if keys else ends.crossJoin(F.broadcast(totals))  # one row of totals
+    placed = _join_groups(ends, totals, keys)
     columns = []
     for point, name in zip(points, names):
         place = (F.col("total") - 1) * F.lit(float(point))

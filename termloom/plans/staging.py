@@ -35,13 +35,9 @@ def write_stage(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(target)
 
 
-def fits_broadcast(row_bytes: int, rows: int, limit: int = BROADCAST_BYTES) -> bool:
-    return row_bytes * rows <= limit
-
-
-def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Hint a broadcast only when the counted size is under the limit."""
-    return F.broadcast(df) if fits_broadcast(row_bytes, rows, limit) else df
+def broadcast_if_small(df: DataFrame, size: int, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast only when the measured size in bytes is under the limit."""
+    return F.broadcast(df) if size <= limit else df
 
 
 def shuffle_width(spark: SparkSession) -> int:
