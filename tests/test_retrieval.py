@@ -17,7 +17,7 @@ TEXTS = ["a bé cat  dog_2 x", "", "   ", "one", "中文 text ²", "x" * 40 + "
 TERMS = [
     ("NCBITaxon:9685", "t/3", "Felis catus", ["cat", "cats", "domestic cat"], "", []),
     ("DOID:13148", "t/1", "urinary tract infection", [], "An urinary system disease", []),
-    ("GENEPIO:0000028", "t/2", "subject body product", [], "Substance produced by the body, e.g. stool", []),
+    ("BODY:0000028", "t/2", "subject body product", [], "Substance produced by the body, e.g. stool", []),
     ("NCBITaxon:9606", "t/4", "Homo sapiens", ["human", "humans"], "", []),
     ("X:1", "t/5", "cat", ["Cat"], "", []),
     ("X:2", "t/6", "catalogue of the tract", [], "", []),
@@ -101,7 +101,7 @@ def test_exact_name_ranks_first_and_unknown_tokens_are_filled(spark):
     hits = {q: c for q, _, c in rows_of(R.retrieve(queries, index, 5))}
     assert hits["domestic cat"][0][2] == "NCBITaxon:9685" and hits["domestic cat"][0][1] > 1
     assert [(s, i) for _, s, i in hits["zzz"]] == [
-        (0.0, "DOID:13148"), (0.0, "GENEPIO:0000028"), (0.0, "NCBITaxon:9685"), (0.0, "NCBITaxon:9606"), (0.0, "X:1")]
+        (0.0, "DOID:13148"), (0.0, "BODY:0000028"), (0.0, "NCBITaxon:9685"), (0.0, "NCBITaxon:9606"), (0.0, "X:1")]
 
 
 def test_hot_token_over_many_blocks_and_batches(spark):
