@@ -41,13 +41,14 @@ def broadcast_if_small(df: DataFrame, size: int, limit: int = BROADCAST_BYTES) -
 
 
 def shuffle_width(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    """Partitions of an explicit shuffle: the configured number.
 
-
-# Rows that grow need more partitions than others. The count also has to differ from the usual
-# one: Spark drops a repartition that equals the partitioning below it, and adaptive execution
-# would then merge the partitions that remain.
-SPREAD_FACTOR = 2
+    A local session has a fixed number of cores, so there a large default is cut to twice that.
+    """
+    configured = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if spark.sparkContext.master.startswith("local"):
+        return min(configured, 2 * spark.sparkContext.defaultParallelism)
+    return configured
 
 
 def spread(df: DataFrame, *columns: str) -> DataFrame:
@@ -55,5 +56,11 @@ def spread(df: DataFrame, *columns: str) -> DataFrame:
 
     For rows that grow a lot after the shuffle, such as texts turned into grams: a fixed number
     keeps adaptive execution from merging partitions that only look small before they grow.
+    The number differs from the configured one, because Spark drops a repartition that equals the
+    partitioning below it and would then merge the partitions that remain.
     """
-    return df.repartition(SPREAD_FACTOR * shuffle_width(df.sparkSession), *columns)
+    spark = df.sparkSession
+    width = 2 * shuffle_width(spark)
+    if width == int(spark.conf.get("spark.sql.shuffle.partitions")):
+        width += 1
+    return df.repartition(width, *columns)

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from termloom.functions.text import blank_to_null
 from termloom.operators.canonical import canonicalise_entries
+from termloom.plans.staging import shuffle_width
 
 # Structural paths and attributes with a name of their own.
 TEXT_ALIASES = {
@@ -154,7 +155,7 @@ def read_xml_records(spark: SparkSession, path: str, tag: str) -> DataFrame:
         "value",
     )
     if path.endswith(".gz"):
-        chunks = chunks.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+        chunks = chunks.repartition(shuffle_width(spark))
     parsed = chunks.mapInPandas(
         parse,
         "source_file string, source_order long, n int, given string, raw array<struct<key:string,value:string>>",
