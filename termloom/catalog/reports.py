@@ -374,22 +374,22 @@ PARTIAL = f"WITH {_AUDIT} SELECT pass, complete_partial_objects, count(*) AS res
 
 
 def _counts(spark: SparkSession, d: str) -> DataFrame:
-    """Eight documents in a row form one record; its documents are the concepts."""
-    return table(spark, d, "documents").groupBy(F.floor(F.col("doc_id") / 8).alias("rec_id")).agg(F.count("*").alias("n_concepts"))
+    """Two documents in a row form one record; its documents are the concepts."""
+    return table(spark, d, "documents").groupBy(F.floor(F.col("doc_id") / 2).alias("rec_id")).agg(F.count("*").alias("n_concepts"))
 
 
 def _run(spark: SparkSession, d: str, column: str) -> DataFrame:
     value = F.col(column)
     return table(spark, d, "labels").select(
-        F.floor(F.col("doc_id") / 8).alias("rec_id"), F.pmod("doc_id", F.lit(8)).cast("int").alias("concept_index"),
+        F.floor(F.col("doc_id") / 2).alias("rec_id"), F.pmod("doc_id", F.lit(2)).cast("int").alias("concept_index"),
         F.when(value == 1, "matched").otherwise("unresolved").alias("status"),
         F.when(value == 1, F.lit("LABEL:1")).alias("ontology_id"),
     )
 
 
 _RUNS = """
-d AS (SELECT doc_id // 8 AS rec_id, doc_id % 8 AS concept_index, quality, toxic FROM documents LEFT JOIN labels USING (doc_id)),
-l AS (SELECT doc_id // 8 AS rec_id, doc_id % 8 AS concept_index, quality, toxic FROM labels)
+d AS (SELECT doc_id // 2 AS rec_id, doc_id % 2 AS concept_index, quality, toxic FROM documents LEFT JOIN labels USING (doc_id)),
+l AS (SELECT doc_id // 2 AS rec_id, doc_id % 2 AS concept_index, quality, toxic FROM labels)
 """
 
 
