@@ -15,12 +15,12 @@ BROADCAST_BYTES = 256 * 1024 * 1024
 def staging_folder(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only a local session may fall back to a temporary folder of its own.
+    Only a session of one process may fall back to a temporary folder of its own.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    if spark.sparkContext.master.partition("[")[0] != "local":
         raise ValueError("Set spark.checkpoint.dir to a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="termloom-")
     spark.sparkContext.setCheckpointDir(folder)
