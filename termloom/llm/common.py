@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -17,7 +19,7 @@ from termloom.plans.staging import write_stage
 WORD = r"[^\x20\x09-\x0D]+"
 _WORD = re.compile(WORD)
 # Entries of a per-process cache of words; a full cache is emptied, so its memory is bounded.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 700_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,31 +86,58 @@ class Encoder:
     """Token ids of whole texts.
 
     The tokenizer drops ASCII white space and never joins what it separates, so a text's ids are
-    those of its words one after another, and a word is encoded once while it is in the cache.
+    those of its words one after another, and a word is encoded once while it is in the cache. Nor
+    does it join full stops and commas to a letter or digit before them, or tell capitals apart, so
+    words are looked up without them too.
     """
 
     def __init__(self, path: str, end_id: int, dtype: str) -> None:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
         self._end = np.array([end_id], dtype=dtype).tobytes()
         self._dtype = dtype
         self._known: dict[str, bytes] = {}
-
-    def __call__(self, text: str | None) -> bytes:
-        """The ids of ``text`` and the end id, as little-endian integers."""
-        words = split_words(text)
+        self._cores: dict[str, bytes] = {}
+
+    def _learn(self, words: list[str]) -> None:
+        cut = []
+        for word in words:
+            core = word.rstrip(".,")
+            if core and core[-1].lower()[-1].isalnum():
+                cut.append((word, core.lower() if core.isascii() else core, word[len(core) :]))
+            else:
+                cut.append((word, word, ""))
+        new = list({part for _, core, tail in cut for part in (core, tail)}.difference(self._cores))
+        for start in range(0, len(new), 20_000):
+            part = new[start : start + 20_000]
+            for word, got in zip(part, self._tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                self._cores[word] = array("I", got.ids).tobytes() if self._dtype == "<u4" else array("H", got.ids).tobytes()
+        for word, core, tail in cut:
+            self._known[word] = self._cores[core] + self._cores[tail] if tail else self._cores[core]
+
+    def many(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """The ids of each text and the end id, as little-endian integers."""
+        held, size = [], 0
+        for text in texts:
+            held.append(split_words(text))
+            size += len(held[-1])
+            if size > 300_000:
+                yield from self._encode(held)
+                held, size = [], 0
+        yield from self._encode(held)
+
+    def _encode(self, texts: list[list[str]]) -> Iterator[bytes]:
         if len(self._known) > CACHE_WORDS:
             self._known.clear()
-        known = self._known
-        try:
-            return b"".join(map(known.__getitem__, words)) + self._end
-        except KeyError:
-            new = list(set(words).difference(known))
-            for word, got in zip(new, self._tokenizer.encode_batch(new, add_special_tokens=False)):
-                known[word] = np.array(got.ids, dtype=self._dtype).tobytes()
-            return b"".join(map(known.__getitem__, words)) + self._end
+            self._cores.clear()
+        new = set().union(*texts).difference(self._known)
+        if new:
+            self._learn(list(new))
+        find = self._known.__getitem__
+        for words in texts:
+            yield b"".join(map(find, words)) + self._end
 
 
 @lru_cache(maxsize=2)
