@@ -5,10 +5,12 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +21,7 @@ from termloom.plans.staging import write_stage
 WORD = r"[^\x20\x09-\x0D]+"
 _WORD = re.compile(WORD)
 # Entries of a per-process cache of words; a full cache is emptied, so its memory is bounded.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,23 +44,34 @@ def split_words(text: str | None) -> list[str]:
     return _WORD.findall(text) if text else []
 
 
-class WordCodes:
-    """64-bit hashes of words. Most words of a batch repeat, so each is hashed once."""
+def indexed_words(texts: pa.Array, bytes_at_once: int = 8 << 20) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """(distinct words, place of every word among them, word offsets of the texts) of runs of texts.
 
-    def __init__(self) -> None:
-        self._known: dict[str, bytes] = {}
-
-    def __call__(self, words: list[str]) -> np.ndarray:
-        if len(self._known) > CACHE_WORDS:
-            self._known.clear()
-        known = self._known
-        try:
-            packed = b"".join(map(known.__getitem__, words))
-        except KeyError:
-            for word in set(words).difference(known):
-                known[word] = xxhash.xxh3_64_digest(word.encode("utf-8", "surrogatepass"))
-            packed = b"".join(map(known.__getitem__, words))
-        return np.frombuffer(packed, dtype="<u8")
+    Arrow splits and numbers the words, so Python sees each distinct word of a run once. White space
+    at an end of a text gives an empty word. A run holds about ``bytes_at_once``, one text at least.
+    """
+    start = 0
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    while start < len(texts):
+        before = sizes[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(sizes, before + bytes_at_once)))
+        run = pc.fill_null(texts[start:stop], "")
+        lists = pc.ascii_split_whitespace(run.cast(pa.large_string()))
+        coded = lists.flatten().dictionary_encode()
+        ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])
+        yield coded.dictionary, coded.indices.to_numpy(zero_copy_only=False), ends.astype(np.int64)
+        start = stop
+
+
+def word_codes(texts: pa.Array) -> Iterator[np.ndarray]:
+    """64-bit hashes of the words of each text; each distinct word of a run is hashed once."""
+    for words, places, ends in indexed_words(texts):
+        codes = np.fromiter(map(xxhash.xxh3_64_intdigest, words.cast(pa.large_binary()).to_pylist()), np.uint64, len(words))
+        full = pc.binary_length(words).to_numpy(zero_copy_only=False)[places] > 0
+        kept = codes[places[full]]
+        upto = np.concatenate([[0], np.cumsum(full)])
+        for start, end in zip(upto[ends[:-1]], upto[ends[1:]]):
+            yield kept[start:end]
 
 
 def gram_codes(codes: np.ndarray, n: int) -> np.ndarray:
@@ -86,9 +99,9 @@ class Encoder:
     """Token ids of whole texts.
 
     The tokenizer drops ASCII white space and never joins what it separates, so a text's ids are
-    those of its words one after another, and a word is encoded once while it is in the cache. Nor
-    does it join full stops and commas to a letter or digit before them, or tell capitals apart, so
-    words are looked up without them too.
+    those of its words one after another. Nor does it join full stops and commas to a letter or
+    digit before them, or tell ASCII capitals apart, so a word is looked up as its core in small
+    letters and its tail of such marks. A core is encoded once while it is in the cache.
     """
 
     def __init__(self, path: str, end_id: int, dtype: str) -> None:
@@ -99,45 +112,43 @@ class Encoder:
         self._end = np.array([end_id], dtype=dtype).tobytes()
         self._dtype = dtype
         self._known: dict[str, bytes] = {}
-        self._cores: dict[str, bytes] = {}
-
-    def _learn(self, words: list[str]) -> None:
-        cut = []
-        for word in words:
-            core = word.rstrip(".,")
-            if core and core[-1].lower()[-1].isalnum():
-                cut.append((word, core.lower() if core.isascii() else core, word[len(core) :]))
-            else:
-                cut.append((word, word, ""))
-        new = list({part for _, core, tail in cut for part in (core, tail)}.difference(self._cores))
-        for start in range(0, len(new), 20_000):
-            part = new[start : start + 20_000]
-            for word, got in zip(part, self._tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self._cores[word] = array("I", got.ids).tobytes() if self._dtype == "<u4" else array("H", got.ids).tobytes()
-        for word, core, tail in cut:
-            self._known[word] = self._cores[core] + self._cores[tail] if tail else self._cores[core]
-
-    def many(self, texts: Iterable[str | None]) -> Iterator[bytes]:
-        """The ids of each text and the end id, as little-endian integers."""
-        held, size = [], 0
-        for text in texts:
-            held.append(split_words(text))
-            size += len(held[-1])
-            if size > 300_000:
-                yield from self._encode(held)
-                held, size = [], 0
-        yield from self._encode(held)
-
-    def _encode(self, texts: list[list[str]]) -> Iterator[bytes]:
+
+    def _coded(self, parts: list[str]) -> list[bytes]:
         if len(self._known) > CACHE_WORDS:
             self._known.clear()
-            self._cores.clear()
-        new = set().union(*texts).difference(self._known)
-        if new:
-            self._learn(list(new))
-        find = self._known.__getitem__
-        for words in texts:
-            yield b"".join(map(find, words)) + self._end
+        code = "I" if self._dtype == "<u4" else "H"
+        new = list(set(parts).difference(self._known))
+        for start in range(0, len(new), 20_000):
+            some = new[start : start + 20_000]
+            for part, got in zip(some, self._tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                self._known[part] = array(code, got.ids).tobytes()
+        return list(map(self._known.__getitem__, parts))
+
+    def column(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of each text of a column and the end id, as little-endian integers."""
+        width = np.dtype(self._dtype).itemsize
+        for words, places, ends in indexed_words(texts):
+            small = pc.utf8_rtrim(pc.ascii_lower(words), ".,")
+            # Special tokens keep their case; a capital beyond ASCII may end in a mark when made small.
+            plain = pc.and_(
+                pc.match_substring_regex(small, r"[\p{Ll}\p{Lo}\p{Nd}]$"), pc.invert(pc.match_substring(words, "<|"))
+            )
+            tails = pc.if_else(plain, pc.replace_substring_regex(words, r"(?s)^.*?([.,]*)$", r"\1"), "")
+            cores, tails = pc.if_else(plain, small, words).dictionary_encode(), tails.dictionary_encode()
+            parts = cores.dictionary.to_pylist() + tails.dictionary.to_pylist()
+            coded = self._coded(parts)
+            sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // width
+            flat = np.frombuffer(b"".join(coded), dtype=self._dtype)
+            units = np.empty((len(places), 2), np.int64)
+            units[:, 0] = cores.indices.to_numpy(zero_copy_only=False)[places]
+            units[:, 1] = tails.indices.to_numpy(zero_copy_only=False)[places] + len(cores.dictionary)
+            units = units.ravel()
+            taken = sizes[units]
+            upto = np.concatenate([[0], np.cumsum(taken)])
+            first = (np.cumsum(sizes) - sizes)[units]
+            ids = flat[np.repeat(first - upto[:-1], taken) + np.arange(upto[-1])].tobytes()
+            for start, end in zip(upto[2 * ends[:-1]], upto[2 * ends[1:]]):
+                yield ids[width * start : width * end] + self._end
 
 
 @lru_cache(maxsize=2)
@@ -145,11 +156,6 @@ def encoder(path: str, end_id: int, dtype: str = "<u4") -> Encoder:
     return Encoder(path, end_id, dtype)
 
 
-@lru_cache(maxsize=1)
-def word_codes() -> WordCodes:
-    return WordCodes()
-
-
 # A table of one row per group is broadcast up to this many rows; a larger one is joined by salted keys.
 BROADCAST_ROWS = 100_000
 SALTS = 32

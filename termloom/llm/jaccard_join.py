@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm.common import fresh, gram_codes, mixed, split_words, word_codes
+from termloom.llm.common import fresh, gram_codes, mixed, word_codes
 from termloom.plans.staging import write_stage
 
 WORDS = 5
@@ -36,12 +36,10 @@ def choose_bands(threshold: float, recall: float, hashes: int) -> tuple[int, int
     return best
 
 
-def gram_set(text: str | None, n: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word n-grams; a shorter text is one gram of all its words."""
-    words = split_words(text)
-    if not words:
-        return np.empty(0, dtype=np.uint64)
-    return np.unique(gram_codes(word_codes()(words), min(n, len(words))))
+def gram_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
+    """Sorted distinct 64-bit hashes of the word n-grams of each text; a shorter one is one gram of all its words."""
+    for codes in word_codes(texts):
+        yield np.unique(gram_codes(codes, min(n, len(codes)))) if len(codes) else codes
 
 
 class BandHasher:
@@ -162,8 +160,7 @@ def join_similar(
         hasher = BandHasher(n_bands, n_rows)
         for batch in batches:
             flat, ends = [], [0]
-            for text in batch.column(1):
-                grams = gram_set(text.as_py(), words)
+            for grams in gram_sets(batch.column(1), words):
                 if len(grams):
                     flat.append(hasher(grams))
                 ends.append(ends[-1] + (n_bands if len(grams) else 0))
@@ -228,7 +225,7 @@ def _gram_sets(docs: DataFrame, texts: DataFrame, members: DataFrame, id_column:
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            packed = [gram_set(t.as_py(), words).astype("<u8").tobytes() for t in batch.column(1)]
+            packed = [g.astype("<u8").tobytes() for g in gram_sets(batch.column(1), words)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["key", "grams"])
 
     wanted = texts.join(members.select("key").distinct(), "key", "left_semi").select("key", "doc")

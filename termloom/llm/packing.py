@@ -130,8 +130,7 @@ def pack(
                 yield (doc, start, length, zlib.crc32(part), tokens, first + bin_, offset, part)[: len(fields)]
 
         def pieces_of(batch: pa.RecordBatch) -> Iterator[tuple]:
-            texts = (t.as_py() for t in batch.column(1))
-            for doc, ids in zip(batch.column(0).to_pylist(), encode.many(texts)):
+            for doc, ids in zip(batch.column(0).to_pylist(), encode.column(batch.column(1))):
                 yield from packer.add((doc, ids, len(ids) // 4), len(ids) // 4)
 
         schema = None

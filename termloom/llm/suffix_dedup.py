@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from termloom.llm.common import gram_codes, split_words, word_codes
+from termloom.llm.common import gram_codes, word_codes
 from termloom.plans.staging import write_stage
 
 # Words of a passage and of the grams among which positions are selected.
@@ -172,8 +172,7 @@ def repeated_passages(
         """Thin rows (hash, key, pos), and a row (key, words as pos, doc) for each document."""
         for batch in batches:
             hashes, owners, places, counts = [], [], [], []
-            for i, text in enumerate(batch.column(1)):
-                codes = word_codes()(split_words(text.as_py()))
+            for i, codes in enumerate(word_codes(batch.column(1))):
                 at, found = minimisers(codes, passage, gram)
                 hashes.append(found.view(np.int64))
                 owners.append(np.full(len(at), i))
@@ -214,8 +213,8 @@ def repeated_passages(
         for batch in batches:
             kinds = batch.column(0).to_pylist()
             rows: list[tuple] = []
-            for k, text, at in zip(kinds, batch.column(1), batch.column(2)):
-                codes = (word_codes()(split_words(text.as_py())) >> np.uint64(32)).astype(">u4")
+            for k, codes, at in zip(kinds, word_codes(batch.column(1)), batch.column(2)):
+                codes = (codes >> np.uint64(32)).astype(">u4")
                 back = codes[::-1].tobytes()
                 forth, n = codes.tobytes(), len(codes)
                 for p in at.as_py():

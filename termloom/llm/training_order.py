@@ -105,7 +105,7 @@ def materialise(
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, total = encoder(tokenizer, end_id, dtype), 0
         for batch in batches:
-            total += sum(map(len, encode.many(t.as_py() for t in batch.column(1))))
+            total += sum(map(len, encode.column(batch.column(1))))
         made = [TaskContext.get().partitionId()], [-(-total // stride)]
         yield pa.RecordBatch.from_arrays([pa.array(made[0], pa.int32()), pa.array(made[1], pa.int64())], names=["part", "n"])
 
@@ -137,8 +137,7 @@ def materialise(
         kind = None
         for batch in batches:
             kind, found = batch.schema.field(0).type, []
-            texts = (t.as_py() for t in batch.column(1))
-            for doc, coded in zip(batch.column(0).to_pylist(), encode.many(texts)):
+            for doc, coded in zip(batch.column(0).to_pylist(), encode.column(batch.column(1))):
                 for piece in chunker.add(doc, coded):
                     found.append(piece)
                     if len(found) == 1024:
