@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -82,86 +83,92 @@ def materialise(
     """Write all token sequences below ``path`` in training order and return the manifest.
 
     The documents of a task form one stream of ids, each text closed by ``end_id``, cut into sequences
-    of ``length``; the last of a task is padded. A first pass counts the sequences of each task, so
-    that every sequence has a number in 0 .. N - 1 (one count per task reaches the driver). The keyed
-    Feistel permutation turns the number into a global slot. Slots are range-partitioned by shard, and
-    each shard is one file ``shard-NNNNNNNN.bin`` of fixed-stride records in slot order: slot s is record
-    ``s % shard_sequences`` of shard ``s // shard_sequences``, so a reader can start anywhere. A file is
-    written under another name and then renamed; a task that is run again writes the same bytes.
-
-    ``docs`` must give the same rows in the same tasks when it is read again, as a table does; the
-    second pass checks its counts. ``path`` may be any URI that pyarrow can write.
+    of ``length``; the last of a task is padded. The sequences are written once to the shared folder,
+    compressed, and counted by task, so that every one has a number in 0 .. N - 1 (one count per task
+    reaches the driver). The keyed Feistel permutation turns the number into a global slot. Slots are
+    range-partitioned by shard, and each shard is one file ``shard-NNNNNNNN.bin`` of fixed-stride
+    records in slot order: slot s is record ``s % shard_sequences`` of shard ``s // shard_sequences``, so a
+    reader can start anywhere. A file is written under another name and then renamed; a task that is
+    run again writes the same bytes. ``path`` may be any URI that pyarrow can write.
 
     Manifest: sequence, slot, shard, byte_offset, n_tokens (without padding), ids_crc32 (of the whole
     record) and doc_ids in order. Null and empty texts are their end id; null ids stay null in the
     list; repeated rows are documents of their own; an empty table writes no file.
     """
     width = np.dtype(dtype).itemsize
-    stride = length * width
     id_type = docs.schema[id_column].dataType.simpleString()
-    rows = docs.select(id_column, text_column)
-    pad = np.array([pad_id], dtype=dtype).tobytes()
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, total = encoder(tokenizer, end_id, dtype), 0
-        for batch in batches:
-            total += sum(map(len, encode.column(batch.column(1))))
-        made = [TaskContext.get().partitionId()], [-(-total // stride)]
-        yield pa.RecordBatch.from_arrays([pa.array(made[0], pa.int32()), pa.array(made[1], pa.int64())], names=["part", "n"])
 
-    counts = dict(rows.mapInArrow(count, "part int, n bigint").filter("n > 0").collect())
-    total, first = 0, {}
-    for part in sorted(counts):
-        first[part] = total
-        total += counts[part]
-
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, chunker = encoder(tokenizer, end_id, dtype), Chunker(length, width)
-        part = TaskContext.get().partitionId()
-        done = 0
+        part, done, kind = TaskContext.get().partitionId(), 0, None
 
-        def cut(found: list[tuple[bytes, list]], ids: pa.DataType) -> pa.RecordBatch:
+        def batch_of(found: list[tuple[bytes, list]]) -> pa.RecordBatch:
             nonlocal done
-            sequence = np.arange(done, done + len(found), dtype=np.int64) + first.get(part, 0)
+            numbers = np.arange(done, done + len(found), dtype=np.int64)
             done += len(found)
-            if done > counts.get(part, 0):
-                raise RuntimeError("The documents differ between two reads; write them to a table first")
             return pa.RecordBatch.from_arrays(
-                [pa.array(sequence), pa.array(feistel(sequence, total, key)),
+                [pa.array(np.full(len(found), part, np.int32)), pa.array(numbers),
                  pa.array([len(f[0]) // width for f in found], pa.int32()),
-                 pa.array([f[0] + pad * (length - len(f[0]) // width) for f in found], pa.binary()),
-                 pa.array([f[1] for f in found], pa.list_(ids))],
-                names=["sequence", "slot", "n_tokens", "ids", "doc_ids"],
+                 pa.array([shrink(f[0], width) for f in found], pa.binary()),
+                 pa.array([f[1] for f in found], pa.list_(kind))],
+                names=["part", "number", "n_tokens", "ids", "doc_ids"],
             )
 
-        kind = None
         for batch in batches:
             kind, found = batch.schema.field(0).type, []
             for doc, coded in zip(batch.column(0).to_pylist(), encode.column(batch.column(1))):
                 for piece in chunker.add(doc, coded):
                     found.append(piece)
                     if len(found) == 1024:
-                        yield cut(found, kind)
+                        yield batch_of(found)
                         found = []
             if found:
-                yield cut(found, kind)
+                yield batch_of(found)
         if kind is not None and (last := list(chunker.finish())):
-            yield cut(last, kind)
+            yield batch_of(last)
+
+    shape = f"part int, number bigint, n_tokens int, ids binary, doc_ids array<{id_type}>"
+    cut_up = write_stage(docs.select(id_column, text_column).mapInArrow(cut, shape), "sequences")
+    counts = dict(cut_up.groupBy("part").count().collect())
+    total, first = 0, {}
+    for part in sorted(counts):
+        first[part] = total
+        total += counts[part]
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            starts = np.array([first[p] for p in batch.column("part").to_pylist()], dtype=np.int64)
+            sequence = batch.column("number").to_numpy() + starts
+            slot = feistel(sequence, total, key)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(sequence), pa.array(slot), pa.array((slot // shard_sequences).astype(np.int32)),
+                 batch.column("n_tokens"), batch.column("ids"), batch.column("doc_ids")],
+                names=["sequence", "slot", "shard", "n_tokens", "ids", "doc_ids"],
+            )
 
-    numbered = rows.mapInArrow(number, f"sequence bigint, slot bigint, n_tokens int, ids binary, doc_ids array<{id_type}>")
+    shape = f"sequence bigint, slot bigint, shard int, n_tokens int, ids binary, doc_ids array<{id_type}>"
     shards = -(-total // shard_sequences)
-    width_of_write = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = (
-        numbered.withColumn("shard", F.floor(F.col("slot") / shard_sequences).cast("int"))
-        .repartitionByRange(max(1, min(shards, width_of_write)), "shard")
+        cut_up.mapInArrow(place, shape)
+        .repartitionByRange(max(1, min(shards, tasks)), "shard")
         .sortWithinPartitions("shard", "slot")
     )
-    write = _shard_writer(path, shard_sequences, stride)
+    write = _shard_writer(path, shard_sequences, length, np.array([pad_id], dtype=dtype).tobytes())
     return ordered.mapInArrow(
         write, f"sequence bigint, slot bigint, shard int, byte_offset bigint, n_tokens int, ids_crc32 bigint, doc_ids array<{id_type}>"
     )
 
 
+def shrink(ids: bytes, width: int) -> bytes:
+    """``ids`` compressed, first bytes of all integers first, which compresses better."""
+    return zstandard.compress(np.frombuffer(ids, np.uint8).reshape(-1, width).T.tobytes(), 3)
+
+
+def grow(packed: bytes, width: int) -> bytes:
+    return np.frombuffer(zstandard.decompress(packed), np.uint8).reshape(width, -1).T.tobytes()
+
+
 def open_folder(path: str) -> tuple[pafs.FileSystem, str]:
     if "://" in path or path.startswith("file:"):
         return pafs.FileSystem.from_uri(path.replace("file:///", "file:/").replace("file:/", "file:///"))
@@ -172,7 +179,9 @@ def shard_name(shard: int) -> str:
     return f"shard-{shard:08d}.bin"
 
 
-def _shard_writer(path: str, shard_sequences: int, stride: int):
+def _shard_writer(path: str, shard_sequences: int, length: int, pad: bytes):
+    width, stride = len(pad), length * len(pad)
+
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, folder = open_folder(path)
         files.create_dir(folder, recursive=True)
@@ -190,7 +199,8 @@ def _shard_writer(path: str, shard_sequences: int, stride: int):
                     close()
                     shard, temporary = own, posixpath.join(folder, f".{uuid.uuid4().hex}")
                     out = files.open_output_stream(temporary)
-                record = ids.as_py()
+                record = grow(ids.as_py(), width)
+                record += pad * (length - len(record) // width)
                 out.write(record)
                 crcs.append(zlib.crc32(record))
             slots = batch.column("slot").to_numpy()
