@@ -21,7 +21,7 @@ from termloom.plans.staging import write_stage
 WORD = r"[^\x20\x09-\x0D]+"
 _WORD = re.compile(WORD)
 # Entries of a per-process cache of words; a full cache is emptied, so its memory is bounded.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 600_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

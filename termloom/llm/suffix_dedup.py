@@ -15,6 +15,7 @@ from termloom.plans.staging import write_stage
 # Words of a passage and of the grams among which positions are selected.
 PASSAGE = 50
 GRAM = 10
+SALTS = 8
 
 
 def minimisers(codes: np.ndarray, passage: int = PASSAGE, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
@@ -197,9 +198,10 @@ def repeated_passages(
     # A hash of a key stands in for it where keys are only told apart, as it adds up faster.
     hashed = F.xxhash64("key")
     shared = places.groupBy("hash").agg(F.min(hashed).alias("a"), F.max(hashed).alias("b")).filter("a <> b")
-    marks = (
-        places.join(shared.select("hash"), "hash", "left_semi").groupBy("key").agg(F.collect_set("pos").alias("places"))
-    )
+    # A gram may be in a third of all texts, so both sides are dealt over salts too.
+    salted = shared.select("hash", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    held = places.withColumn("salt", F.pmod(hashed, F.lit(SALTS)).cast("int"))
+    marks = held.join(salted, ["hash", "salt"], "left_semi").groupBy("key").agg(F.collect_set("pos").alias("places"))
     texts = documents.groupBy("key").agg(
         F.min("doc").alias("first"), F.max("doc").alias("last"), F.count("doc").alias("ids"),
         F.count("*").alias("rows"), F.max("pos").alias("words"),

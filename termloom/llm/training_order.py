@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from termloom.llm.common import encoder, mixed
 from termloom.plans.staging import staging_folder, write_stage
 
-SEQUENCE = 1024
-SHARD_SEQUENCES = 4096
+SEQUENCE = 2048
+SHARD_SEQUENCES = 2048
 ROUNDS = 6
 
 
@@ -109,7 +109,7 @@ def materialise(
             return pa.RecordBatch.from_arrays(
                 [pa.array(np.full(len(found), part, np.int32)), pa.array(numbers),
                  pa.array([len(f[0]) // width for f in found], pa.int32()),
-                 pa.array([shrink(f[0], width) for f in found], pa.binary()),
+                 pa.array([zstandard.compress(f[0], 3) for f in found], pa.binary()),
                  pa.array([f[1] for f in found], pa.list_(kind))],
                 names=["part", "number", "n_tokens", "ids", "doc_ids"],
             )
@@ -160,15 +160,6 @@ def materialise(
     )
 
 
-def shrink(ids: bytes, width: int) -> bytes:
-    """``ids`` compressed, first bytes of all integers first, which compresses better."""
-    return zstandard.compress(np.frombuffer(ids, np.uint8).reshape(-1, width).T.tobytes(), 3)
-
-
-def grow(packed: bytes, width: int) -> bytes:
-    return np.frombuffer(zstandard.decompress(packed), np.uint8).reshape(width, -1).T.tobytes()
-
-
 def open_folder(path: str) -> tuple[pafs.FileSystem, str]:
     if "://" in path or path.startswith("file:"):
         return pafs.FileSystem.from_uri(path.replace("file:///", "file:/").replace("file:/", "file:///"))
@@ -199,7 +190,7 @@ def _shard_writer(path: str, shard_sequences: int, length: int, pad: bytes):
                     close()
                     shard, temporary = own, posixpath.join(folder, f".{uuid.uuid4().hex}")
                     out = files.open_output_stream(temporary)
-                record = grow(ids.as_py(), width)
+                record = zstandard.decompress(ids.as_py())
                 record += pad * (length - len(record) // width)
                 out.write(record)
                 crcs.append(zlib.crc32(record))
