@@ -11,6 +11,8 @@ from termloom.llm.common import fresh, join_groups
 MAX_RATIO = 0.1
 MIN_PAGES = 5
 BLANK = " \t\n\x0b\f\r"
+HIDDEN = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->"
+INLINE = r"(?i)</?(?:a|b|i|u|em|strong|span|small|sup|sub|code)(?:\s[^>]*)?>"
 
 
 def url_host(url: Column) -> Column:
@@ -21,16 +23,8 @@ def url_host(url: Column) -> Column:
 
 def html_lines(html: Column) -> Column:
     """Visible lines of a page: scripts, styles and comments go, inline tags vanish, others end a line."""
-    text = F.coalesce(html, F.lit(""))
-    for pattern, by in (
-        (r"(?is)<script\b.*?</script\s*>", "\n"),
-        (r"(?is)<style\b.*?</style\s*>", "\n"),
-        (r"(?s)<!--.*?-->", "\n"),
-        (r"(?i)</?(?:a|b|i|u|em|strong|span|small|sup|sub|code)(?:\s[^>]*)?>", ""),
-        (r"<[^>]*>", "\n"),
-    ):
-        text = F.regexp_replace(text, pattern, by)
-    return F.filter(F.split(text, "\n", -1), lambda x: F.length(F.translate(x, BLANK, "")) > 0)
+    text = F.regexp_replace(F.coalesce(html, F.lit("")), HIDDEN, "\n")
+    return F.filter(F.split(F.regexp_replace(text, INLINE, ""), r"<[^>]*>|\n", -1), _has_word)
 
 
 def text_lines(text: Column) -> Column:
@@ -42,7 +36,7 @@ def _code(line: Column) -> Column:
 
 
 def _has_word(line: Column) -> Column:
-    return F.length(F.translate(line, BLANK, "")) > 0
+    return F.btrim(line, F.lit(BLANK)) != ""
 
 
 def site_lines(pages: DataFrame, site: Column, lines: Column, max_ratio: float, min_pages: int) -> DataFrame:

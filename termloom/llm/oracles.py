@@ -129,9 +129,8 @@ WITH p AS (
   SELECT row_number() OVER () AS rid, page_id,
     nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '') AS host,
     list_filter(string_split(
-      regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''),
-        '(?is)<script\b.*?</script\s*>', chr(10), 'g'), '(?is)<style\b.*?</style\s*>', chr(10), 'g'),
-        '(?s)<!--.*?-->', chr(10), 'g'),
+      regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''),
+        '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->', chr(10), 'g'),
         '(?i)</?(?:a|b|i|u|em|strong|span|small|sup|sub|code)(?:\s[^>]*)?>', '', 'g'), '<[^>]*>', chr(10), 'g'),
       chr(10)), lambda x: length({_BARE.format('x')}) > 0) AS lines
   FROM pages
