@@ -21,7 +21,7 @@ from termloom.plans.staging import write_stage
 WORD = r"[^\x20\x09-\x0D]+"
 _WORD = re.compile(WORD)
 # Entries of a per-process cache of words; a full cache is emptied, so its memory is bounded.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 450_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,7 +44,7 @@ def split_words(text: str | None) -> list[str]:
     return _WORD.findall(text) if text else []
 
 
-def indexed_words(texts: pa.Array, bytes_at_once: int = 8 << 20) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+def indexed_words(texts: pa.Array, bytes_at_once: int = 4 << 20) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
     """(distinct words, place of every word among them, word offsets of the texts) of runs of texts.
 
     Arrow splits and numbers the words, so Python sees each distinct word of a run once. White space
@@ -61,6 +61,7 @@ def indexed_words(texts: pa.Array, bytes_at_once: int = 8 << 20) -> Iterator[tup
         ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])
         yield coded.dictionary, coded.indices.to_numpy(zero_copy_only=False), ends.astype(np.int64)
         start = stop
+    pa.default_memory_pool().release_unused()
 
 
 def word_codes(texts: pa.Array) -> Iterator[np.ndarray]:
@@ -139,7 +140,7 @@ class Encoder:
             coded = self._coded(parts)
             sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // width
             flat = np.frombuffer(b"".join(coded), dtype=self._dtype)
-            units = np.empty((len(places), 2), np.int64)
+            units = np.empty((len(places), 2), np.int32)
             units[:, 0] = cores.indices.to_numpy(zero_copy_only=False)[places]
             units[:, 1] = tails.indices.to_numpy(zero_copy_only=False)[places] + len(cores.dictionary)
             units = units.ravel()
