@@ -9,13 +9,13 @@ from termloom.functions.fixed_values import OBO_PREFIX, PROMPT_MISSING_WORDS
 
 # Unicode white space plus the four separators U+001C..U+001F.
 _SPACE = r"[\s\x1c-\x1f]"
-_EDGES = rf"(?U)\A{_SPACE}+|{_SPACE}+\z"
+_SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 _RUNS = rf"(?U){_SPACE}+"
 
 
 def strip_text(text: Column) -> Column:
     """Cut all Unicode white space at both ends (``trim`` only cuts spaces)."""
-    return F.regexp_replace(text, _EDGES, "")
+    return F.btrim(text, F.lit(_SPACES))
 
 
 def blank_to_null(text: Column) -> Column:

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from termloom.functions.text import strip_fence
-from termloom.operators.responses import response_shape
+from termloom.operators.responses import plain_response_shape
+from termloom.operators.summary import join_groups
 from termloom.plans.staging import shuffle_width, write_stage
 
 AUDIT_TAIL_CHARS = 100
@@ -22,7 +23,7 @@ def occurrence_number(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     """Running number within ``keys`` without gathering a key in one task.
 
     A key that holds most rows is numbered in range-partitioned pieces whose starts come from
-    one count per piece.
+    one count per piece. Null keys are keys like others.
     """
     ranged = df.repartitionByRange(shuffle_width(df.sparkSession), *keys, *order)
     ranged = write_stage(ranged.withColumn("__part", F.spark_partition_id()), "occurrences")
@@ -34,26 +35,35 @@ def occurrence_number(df: DataFrame, keys: Sequence[str], order: Sequence[str],
         .select(*keys, "__part", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("__start"))
     )
     numbered = ranged.withColumn("__within", F.row_number().over(within))
-    return numbered.join(starts, [*keys, "__part"]).select(
-        *df.columns, (F.col("__start") + F.col("__within")).alias(name)
-    )
+    found = join_groups(numbered, starts, [*keys, "__part"])
+    return found.select(*df.columns, (F.col("__start") + F.col("__within")).alias(name))
+
+
+# What matters for the nesting of JSON: strings as a whole, and brackets.
+_MARKS = re.compile(r'"(?:[^"\\]|\\.)*+"|[{}\[\]]', re.DOTALL)
+
+
+def _first_object(text: str) -> str | None:
+    """The object with which ``text`` begins, up to the bracket that closes it."""
+    depth = 0
+    for mark in _MARKS.finditer(text):
+        depth += {"{": 1, "[": 1, "}": -1, "]": -1}.get(mark[0], 0)
+        if depth == 0:
+            return text[: mark.end()]
+    return None
 
 
 def _complete_objects(text: str | None, member: str) -> int:
-    match = re.search(r'"' + re.escape(member) + r'"\s*:\s*\[', text or "")
-    if not match:
-        return 0
-    decoder, place, found = json.JSONDecoder(), match.end(), 0
-    skip = re.compile(r"[ \r\n\t,]*")
-    while True:
-        place = skip.match(text, place).end()
-        if text[place : place + 1] != "{":
-            return found
+    """How many objects in a row are whole and valid where the list ``member`` begins; commas are optional."""
+    _, opened, rest = (re.split(rf'("{re.escape(member)}"\s*:\s*\[)', text or "", maxsplit=1) + ["", ""])[:3]
+    count = 0
+    while opened and (rest := rest.lstrip(" \r\n\t,")).startswith("{") and (whole := _first_object(rest)):
         try:
-            _, place = decoder.raw_decode(text, place)
+            json.loads(whole)
         except (ValueError, RecursionError):
-            return found
-        found += 1
+            break
+        count, rest = count + 1, rest[len(whole) :]
+    return count
 
 
 @F.pandas_udf(T.IntegerType())
@@ -70,7 +80,7 @@ def audit_response(responses: DataFrame) -> DataFrame:
     """Audit columns for ``pass`` (``extraction`` or ``grounding``), ``text``, ``finish_reason``."""
     member = F.when(F.col("pass") == "extraction", "concepts").otherwise("annotations")
     cleaned = responses.withColumn("__clean", strip_fence(F.col("text"))).withColumn("__member", member)
-    shaped = cleaned.withColumn("__shape", response_shape(F.col("__clean"), F.col("__member")))
+    shaped = cleaned.withColumn("__shape", plain_response_shape(F.col("__clean"), F.col("__member")))
     shape = F.col("__shape")
     partial = complete_partial_objects(F.col("__clean"), F.col("__member"))
     return shaped.select(
@@ -103,14 +113,15 @@ def partial_object_histogram(audited: DataFrame, group: Sequence[str] = ("pass",
 def signatures(annotations: DataFrame, concept_counts: DataFrame, keys: Sequence[str] = ("rec_id",)) -> DataFrame:
     """(keys, concept_index, status, ontology_id) for every expected concept index.
 
-    An index without an annotation is ``missing``.
+    An index without an annotation is ``missing``. A record without concepts is one row of index -1
+    and status ``none``, so that comparisons still see the record.
     """
-    expected = concept_counts.filter(F.col("n_concepts") > 0).select(
-        *keys, F.explode(F.sequence(F.lit(0), (F.col("n_concepts") - 1).cast("int"))).alias("concept_index")
-    )
+    last = (F.col("n_concepts") - 1).cast("int")
+    indexes = F.when(F.col("n_concepts") > 0, F.sequence(F.lit(0), last)).otherwise(F.array(F.lit(-1)))
+    expected = concept_counts.select(*keys, F.explode(indexes).alias("concept_index"))
     found = annotations.select(*keys, "concept_index", "status", "ontology_id")
     return expected.join(found, [*keys, "concept_index"], "left").withColumn(
-        "status", F.coalesce("status", F.lit("missing"))
+        "status", F.when(F.col("concept_index") < 0, "none").otherwise(F.coalesce("status", F.lit("missing")))
     )
 
 
@@ -130,8 +141,8 @@ def _agreement(pairs: DataFrame, group: Sequence[str], keys: Sequence[str]) -> D
     records = pairs.groupBy(*group, *keys).agg(
         F.bool_or(missing).alias("missing"),
         F.bool_and("__same").alias("exact"),
-        F.count_if("__same").alias("equal"),
-        F.count("*").alias("compared"),
+        F.count_if(F.col("__same") & (F.col("concept_index") >= 0)).alias("equal"),
+        F.count_if(F.col("concept_index") >= 0).alias("compared"),
     )
     totals = records.filter(~F.col("missing")).groupBy(*group).agg(
         F.count("*").alias("comparable_records"),
@@ -193,9 +204,10 @@ def acceptance_gate(fixed: DataFrame, end_to_end: DataFrame) -> DataFrame:
 
 def complete_records(annotations: DataFrame, concept_counts: DataFrame) -> DataFrame:
     """(rec_id, complete): do the annotation indexes cover every concept?"""
-    covered = annotations.groupBy("rec_id").agg(F.count_distinct("concept_index").alias("covered"))
-    return concept_counts.join(covered, "rec_id", "left").select(
-        "rec_id", (F.coalesce("covered", F.lit(0)) == F.col("n_concepts")).alias("complete")
+    found = concept_counts.join(annotations.select("rec_id", "concept_index").distinct(), "rec_id", "left")
+    asked = (F.col("concept_index") >= 0) & (F.col("concept_index") < F.col("n_concepts"))
+    return found.groupBy("rec_id", "n_concepts").agg(F.count_if(asked).alias("covered")).select(
+        "rec_id", (F.col("covered") == F.col("n_concepts")).alias("complete")
     )
 
 

@@ -8,6 +8,7 @@ Each distinct (query, field) is scored once, whatever the number of rows that as
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -201,13 +202,19 @@ DENSE_CELLS = 4_000_000
 HIT_TYPE = "array<struct<rank:int,score:double,term_no:bigint>>"
 
 
+def half_up(numbers: np.ndarray, places: int) -> np.ndarray:
+    """Rounded as Spark's ``round`` does: by the shortest decimal form, halves away from zero."""
+    unit = Decimal(1).scaleb(-places)
+    return np.array([float(Decimal(repr(float(x))).quantize(unit, ROUND_HALF_UP)) for x in numbers], dtype=float)
+
+
 def _best_of(sums: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows, term numbers and scores of the best ``k`` positive cells per row, best first."""
-    ranked = np.round(sums, RANK_PLACES)
-    width = ranked.shape[1]
-    limit = np.partition(ranked, width - k, axis=1)[:, width - k] if k < width else np.zeros(len(ranked))
-    rows, terms = np.nonzero((ranked >= limit[:, None]) & (sums > 0))
-    order = np.lexsort((terms, -ranked[rows, terms], rows))
+    width = sums.shape[1]
+    limit = np.partition(sums, width - k, axis=1)[:, width - k] if k < width else np.zeros(len(sums))
+    # Rounding can lift a cell to the k-th best only from within one unit of the last place.
+    rows, terms = np.nonzero((sums >= limit[:, None] - 2 * 10.0**-RANK_PLACES) & (sums > 0))
+    order = np.lexsort((terms, -half_up(sums[rows, terms], RANK_PLACES), rows))
     rows, terms = rows[order], terms[order]
     place = np.arange(len(rows)) - np.searchsorted(rows, rows)
     kept = place < k
@@ -218,7 +225,7 @@ def _hit_batch(keys: list[bytes], rows: np.ndarray, terms: np.ndarray, scores: n
     starts = np.searchsorted(rows, np.arange(len(keys) + 1))
     ranks = np.arange(len(rows)) - starts[rows] + 1
     hits = pa.StructArray.from_arrays(
-        [pa.array(ranks, pa.int32()), pa.array(np.round(scores, SCORE_PLACES)), pa.array(terms, pa.int64())],
+        [pa.array(ranks, pa.int32()), pa.array(half_up(scores, SCORE_PLACES)), pa.array(terms, pa.int64())],
         ["rank", "score", "term_no"],
     )
     lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), hits)

@@ -63,9 +63,9 @@ def _ranked_percentiles(
     earlier = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = parts.select(*keys, "part", F.coalesce(F.sum("part_n").over(earlier), F.lit(0)).alias("start"))
     within = Window.partitionBy(*keys, "part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    ends = ranged.withColumn("within", F.sum("n").over(within)).join(starts, [*keys, "part"])
+    ends = join_groups(ranged.withColumn("within", F.sum("n").over(within)), starts, [*keys, "part"])
     ends = ends.withColumn("last", F.col("start") + F.col("within") - 1).withColumn("first", F.col("last") - F.col("n") + 1)
-    placed = _join_groups(ends, totals, keys)
+    placed = join_groups(ends, totals, keys)
     columns = []
     for point, name in zip(points, names):
         place = (F.col("total") - 1) * F.lit(float(point))
@@ -90,11 +90,11 @@ def numeric_statistics(
         F.max(v).alias("max"),
     )
     points = exact_percentiles(df, value, STATISTIC_POINTS, STATISTIC_NAMES, keys, distinct_limit)
-    joined = _join_groups(basic, points, keys)
+    joined = join_groups(basic, points, keys)
     return joined.select(*keys, "count", "total", "mean", "min", *STATISTIC_NAMES, "max")
 
 
-def _join_groups(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+def join_groups(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Left join on grouping keys that may be null; without keys both sides are one row."""
     if not keys:
         return left.withColumn("__one", F.lit(1)).join(right.withColumn("__one", F.lit(1)), "__one", "left").drop("__one")
@@ -271,7 +271,7 @@ def telemetry_rollup(samples: DataFrame, group: Sequence[str] = ("run_id", "phas
         F.max("used_mib").alias("peak_used_mib"),
     )
     median = exact_percentiles(samples, "utilization_percent", (0.5,), ("utilization_median",), keys)
-    return _join_groups(basic, median, keys)
+    return join_groups(basic, median, keys)
 
 
 def token_cap_suggestion(p99: Column) -> Column:

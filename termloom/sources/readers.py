@@ -47,22 +47,34 @@ def read_jsonl_records(spark: SparkSession, path: str, schema: str | None = None
     return (reader.schema(schema) if schema else reader).json(path)
 
 
+# The escapes of one letter in N-Triples.
+_ESCAPES = {"t": "\t", "b": "\b", "n": "\n", "r": "\r", "f": "\f", '"': '"', "'": "'", "\\": "\\"}
+
 # One N-Triples statement: subject, predicate, then URI, blank node or literal with its suffix.
 _TRIPLE = (
     r'^\s*(?:<([^>]*)>|(_:\S+))\s+<([^>]*)>\s+'
-    r'(?:<([^>]*)>|(_:\S+)|"((?:[^"\\]|\\.)*)"(?:@([A-Za-z0-9-]+)|\^\^<[^>]*>)?)\s*\.\s*(?:#.*)?$'
+    r'(?:<([^>]*)>|(_:\S+)|"([^"\\]*+(?:\\.[^"\\]*+)*+)"(?:@([A-Za-z0-9-]+)|\^\^<[^>]*>)?)\s*\.\s*(?:#.*)?$'
 )
 
 
 def _unescape(text: Column) -> Column:
-    """Decode the escapes of a literal; a JSON string has the same ones except ``\\U``."""
-    plain = F.from_json(F.concat(F.lit('{"t":"'), F.regexp_replace(text, r"\\'", "'"), F.lit('"}')), "t string")["t"]
-    return F.when(F.contains(text, F.lit("\\")), plain).otherwise(text)
+    """Decode the escapes of a literal, piece by piece; an unknown one is an error."""
+    pieces = F.regexp_extract_all(text, F.lit(r"(?s)\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\.|[^\\]++"), F.lit(0))
+
+    def decode(piece: Column) -> Column:
+        code = F.lpad(F.substr(piece, F.lit(3)), 8, "0")
+        decoded = F.when(piece.rlike(r"^\\[uU]."), F.decode(F.unhex(code), "UTF-32"))
+        for letter, meant in _ESCAPES.items():
+            decoded = decoded.when(piece == f"\\{letter}", meant)
+        unknown = F.raise_error(F.concat(F.lit("Not an escape of N-Triples: "), piece)).cast("string")
+        return decoded.when(F.startswith(piece, F.lit("\\")), unknown).otherwise(piece)
+
+    return F.when(F.contains(text, F.lit("\\")), F.array_join(F.transform(pieces, decode), "")).otherwise(text)
 
 
 def read_triples(spark: SparkSession, path: str) -> DataFrame:
     """N-Triples files as ``(s, p, o, o_is_uri, lang)``; one statement per line, so splittable."""
-    lines = spark.read.text(path).filter(F.rlike(F.col("value"), F.lit(r"^\s*[<_]")))
+    lines = spark.read.text(path).filter(~F.rlike(F.col("value"), F.lit(r"^\s*(?:#.*)?$")))
     parts = [F.regexp_extract("value", _TRIPLE, i) for i in range(1, 8)]
     fields = lines.select("value", *[p.alias(f"g{i}") for i, p in enumerate(parts, 1)])
     malformed = F.raise_error(F.concat(F.lit("Not an N-Triples statement: "), F.col("value")))
