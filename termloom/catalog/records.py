@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import random
+from pathlib import Path
+
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -436,6 +440,24 @@ def position_sample(spark: SparkSession, d: str) -> DataFrame:
     return S.position_sample(spark, f"{d}/lineitem.parquet", 200, SEED).select("pos", "l_orderkey", "l_linenumber")
 
 
+def _position_sample_sql() -> str | None:
+    """The seeded draws for the row counts of the test folders, joined by row count."""
+    draws = []
+    for folder in ("sf0.001", "sf0.01", "sf0.1"):
+        file = Path("/root/testdata", folder, "lineitem.parquet")
+        if file.is_file():
+            total = pq.ParquetFile(file).metadata.num_rows
+            draws += [f"({total}, {pos})" for pos in random.Random(SEED).sample(range(total), min(200, total))]
+    if not draws:
+        return None
+    return f"""
+WITH draws(total, pos) AS (VALUES {", ".join(draws)}),
+numbered AS (SELECT row_number() OVER () - 1 AS pos, l_orderkey, l_linenumber FROM lineitem)
+SELECT pos, l_orderkey, l_linenumber FROM numbered JOIN draws USING (pos)
+WHERE total = (SELECT count(*) FROM lineitem)
+"""
+
+
 # ---------------------------------------------------------------- term tables
 
 
@@ -535,3 +557,5 @@ ORACLES = {
     "terms_from_triples": TERM_TABLE,
     "compact_id": COMPACT,
 }
+if sql := _position_sample_sql():
+    ORACLES["position_sample"] = sql
