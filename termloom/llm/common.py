@@ -20,8 +20,8 @@ from termloom.plans.staging import write_stage
 # A word, as the quality, mixing, packing and de-duplication operators count it.
 WORD = r"[^\x20\x09-\x0D]+"
 _WORD = re.compile(WORD)
-# Entries of a per-process cache of words; a full cache is emptied, so its memory is bounded.
-CACHE_WORDS = 600_000
+# Entries of a per-process cache of words (about 220 bytes each); a full cache is emptied.
+CACHE_WORDS = 250_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -105,17 +105,18 @@ class Encoder:
     letters and its tail of such marks. A core is encoded once while it is in the cache.
     """
 
-    def __init__(self, path: str, end_id: int, dtype: str) -> None:
+    def __init__(self, path: str, end_id: int, dtype: str, cache_words: int) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
         self._end = np.array([end_id], dtype=dtype).tobytes()
         self._dtype = dtype
+        self._cache_words = cache_words
         self._known: dict[str, bytes] = {}
 
     def _coded(self, parts: list[str]) -> list[bytes]:
-        if len(self._known) > CACHE_WORDS:
+        if len(self._known) > self._cache_words:
             self._known.clear()
         code = "I" if self._dtype == "<u4" else "H"
         new = list(set(parts).difference(self._known))
@@ -153,8 +154,8 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, end_id: int, dtype: str = "<u4") -> Encoder:
-    return Encoder(path, end_id, dtype)
+def encoder(path: str, end_id: int, dtype: str = "<u4", cache_words: int = CACHE_WORDS) -> Encoder:
+    return Encoder(path, end_id, dtype, cache_words)
 
 
 # A table of one row per group is broadcast up to this many rows; a larger one is joined by salted keys.

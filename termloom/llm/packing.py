@@ -150,7 +150,7 @@ def _schema(id_type: pa.DataType, id_column: str, keep_ids: bool) -> pa.Schema:
     return pa.schema(fields + [("ids", pa.binary())] * keep_ids)
 
 
-def _in_batches(rows: Iterator[tuple], schema: pa.Schema, size: int = 4096) -> Iterator[pa.RecordBatch]:
+def _in_batches(rows: Iterator[tuple], schema: pa.Schema, size: int = 1024) -> Iterator[pa.RecordBatch]:
     held: list[tuple] = []
 
     def batch() -> pa.RecordBatch:

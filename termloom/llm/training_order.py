@@ -21,6 +21,8 @@ from termloom.plans.staging import staging_folder, write_stage
 SEQUENCE = 2048
 SHARD_SEQUENCES = 2048
 ROUNDS = 6
+# Nothing else runs beside this operator, so more words may be kept than in packing.
+CACHE_WORDS = 600_000
 
 
 def feistel(values: np.ndarray, size: int, key: int, rounds: int = ROUNDS) -> np.ndarray:
@@ -99,7 +101,7 @@ def materialise(
     id_type = docs.schema[id_column].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, chunker = encoder(tokenizer, end_id, dtype), Chunker(length, width)
+        encode, chunker = encoder(tokenizer, end_id, dtype, CACHE_WORDS), Chunker(length, width)
         part, done, kind = TaskContext.get().partitionId(), 0, None
 
         def batch_of(found: list[tuple[bytes, list]]) -> pa.RecordBatch:
