@@ -386,7 +386,7 @@ SELECT o_orderkey, o_totalprice FROM orders ORDER BY md5('{SEED}:' || o_orderkey
 
 def large_hash_sample(spark: SparkSession, d: str) -> DataFrame:
     key = ["l_orderkey", "l_partkey", "l_linenumber", "l_extendedprice"]
-    sampled = S.hash_sample(table(spark, d, "lineitem"), 5000, SEED, key, top_n_rows=1000)
+    sampled = S.hash_sample(table(spark, d, "lineitem"), 5000, SEED, key)
     return sampled.select("l_orderkey", "l_partkey", "l_linenumber", "l_extendedprice")
 
 
@@ -429,6 +429,32 @@ FROM (SELECT 1 + (c_acctbal > 0)::INT + (c_nationkey <= 12)::INT AS f FROM custo
 """
 
 
+def source_sample(spark: SparkSession, d: str) -> DataFrame:
+    return S.source_sample(spark, f"{d}/orders.parquet", 200, SEED, ["o_orderkey"]).select("pos", "o_orderkey")
+
+
+SOURCE_SAMPLE = f"""
+SELECT pos, o_orderkey FROM (SELECT row_number() OVER () - 1 AS pos, o_orderkey FROM orders)
+ORDER BY md5('{SEED}:' || o_orderkey), o_orderkey LIMIT 200
+"""
+
+
+def source_sample_provenance(spark: SparkSession, d: str) -> DataFrame:
+    """Provenance of ``source_sample``: its positions as text, so that every engine compares them alike."""
+    rows = table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
+    population = C.canonicalise(rows, keep=["o_orderkey"], columns=rows.columns)
+    found = S.sample_provenance(population, 200, SEED, "parquet", positions=source_sample(spark, d).select("pos"))
+    return found.withColumn("source_row_indices", F.concat_ws(",", F.col("source_row_indices").cast("array<string>")))
+
+
+SOURCE_SAMPLE_PROVENANCE = f"""
+SELECT 'smallest_hash' AS method, count(*) AS population_records, count(*) AS eligible_records,
+       least(200, count(*)) AS sampled_records, 'parquet' AS input_format, 200 AS requested_records, {SEED} AS seed,
+       0 AS min_nonempty_fields, (SELECT string_agg(pos::VARCHAR, ',' ORDER BY pos) FROM ({SOURCE_SAMPLE})) AS source_row_indices
+FROM orders
+"""
+
+
 def source_position(spark: SparkSession, d: str) -> DataFrame:
     return S.source_position(spark, f"{d}/orders.parquet").select("pos", "o_orderkey")
 
@@ -523,6 +549,8 @@ QUERIES = {
     "hash_sample_by_ranges": large_hash_sample,
     "sample_records": sampled_records,
     "sample_provenance": sample_provenance,
+    "source_sample": source_sample,
+    "source_sample_provenance": source_sample_provenance,
     "source_position": source_position,
     "position_sample": position_sample,
     "labelled_subjects": labelled_subjects,
@@ -552,6 +580,8 @@ ORACLES = {
     "hash_sample_by_ranges": LARGE_HASH_SAMPLE,
     "sample_records": SAMPLED_RECORDS,
     "sample_provenance": PROVENANCE,
+    "source_sample": SOURCE_SAMPLE,
+    "source_sample_provenance": SOURCE_SAMPLE_PROVENANCE,
     "source_position": SOURCE_POSITION,
     "labelled_subjects": LABELLED,
     "terms_from_triples": TERM_TABLE,

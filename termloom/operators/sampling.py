@@ -3,19 +3,17 @@
 from __future__ import annotations
 
 import random
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from urllib.parse import unquote
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from termloom.operators.canonical import at_least_fields, canonicalise
-from termloom.plans.staging import shuffle_width, write_stage
+from termloom.plans.staging import broadcast_if_small, shuffle_width, write_stage
 
-# Up to this many rows the cut is a per-task top-n; a larger sample is cut by hash ranges.
-TOP_N_ROWS = 100_000
+# Hexadecimal digits of a hash range; at most 65,536 counts reach the driver.
 _BUCKET_HEX = 4
 
 
@@ -45,15 +43,17 @@ def source_position(spark: SparkSession, path: str | Sequence[str], name: str =
     """All Parquet rows with their global row number over the files in path order.
 
     The number depends neither on batches nor on row groups. Row counts come from the file
-    footers; the table of starts has one row per file and is joined without a hint.
+    footers; the table of starts has one row per file and is broadcast under the size limit.
     """
     paths = [path] if isinstance(path, str) else list(path)
     rows = spark.read.parquet(*paths)
     located = rows.select(
         "*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row")
     )
-    starts = _file_starts(spark, paths).select(F.col("file").alias("__file"), F.col("start").alias("__start"))
-    return located.join(starts, "__file").select(
+    files, starts, _ = _file_starts(spark, paths)
+    table = spark.createDataFrame(list(zip(files, starts.tolist())), "__file string, __start long")
+    size = sum(map(len, files)) + 64 * len(files)
+    return located.join(broadcast_if_small(table, size), "__file").select(
         *rows.columns, (F.col("__start") + F.col("__row")).cast("long").alias(name)
     )
 
@@ -63,18 +63,16 @@ def sample_key(seed: int, *key_columns: str) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in key_columns]))
 
 
-def hash_sample(
-    df: DataFrame, n: int, seed: int, key_columns: Sequence[str], top_n_rows: int = TOP_N_ROWS
-) -> DataFrame:
-    """Uniform sample of ``n`` rows: the ``n`` smallest hashes of the row keys."""
+def hash_sample(df: DataFrame, n: int, seed: int, key_columns: Sequence[str]) -> DataFrame:
+    """Uniform sample of ``n`` rows: the ``n`` smallest hashes of the row keys, in no order.
+
+    Counts per hash range find the range that holds the n-th smallest hash. All lower ranges are
+    kept whole; only that one, a 65,536th of the table, is numbered over range partitions.
+    """
     if n < 0:
         raise ValueError("The sample size must not be negative")
     keyed = df.withColumn("__hash", sample_key(seed, *key_columns))
     order = ["__hash", *key_columns]
-    if n <= top_n_rows:
-        return keyed.orderBy(*order).limit(n).drop("__hash")
-    # Counts per hash range find the range that holds the n-th smallest hash. All lower
-    # ranges are kept whole and only that one range is sorted. At most 65,536 counts move.
     bucket = F.substring("__hash", 1, _BUCKET_HEX)
     counts = keyed.groupBy(bucket.alias("bucket")).count().orderBy("bucket").collect()
     kept, cut = 0, None
@@ -86,34 +84,19 @@ def hash_sample(
     if cut is None:
         return keyed.drop("__hash")
     whole = keyed.filter(bucket < cut)
-    part = keyed.filter(bucket == cut).orderBy(*order).limit(n - kept)
+    part = dense_number(keyed.filter(bucket == cut), order, "__no").filter(F.col("__no") < n - kept).drop("__no")
     return whole.union(part).drop("__hash")
 
 
-def _file_starts(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """(file, start, rows): first global row number and row count of every file, from footers."""
-    files = spark.read.parquet(*paths).select(F.col("_metadata.file_path").alias("file"))
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        files.groupBy("file")
-        .agg(F.count("*").alias("rows"))
-        .select("file", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("start"), "rows")
-    )
-
-
-def _files_of_positions(starts: DataFrame, drawn: Sequence[int]) -> DataFrame:
-    """(file, row, pos) of each drawn position; the sorted draw is searched once per file."""
-    wanted = np.asarray(drawn, dtype="int64")
+def _file_starts(spark: SparkSession, paths: Sequence[str]) -> tuple[list[str], np.ndarray, int]:
+    """Files in path order, the global number of the first row of each, and the row total.
 
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for files in batches:
-            first = np.searchsorted(wanted, files["start"].to_numpy())
-            last = np.searchsorted(wanted, (files["start"] + files["rows"]).to_numpy())
-            for file, start, lo, hi in zip(files["file"], files["start"], first, last):
-                if lo < hi:
-                    yield pd.DataFrame({"file": file, "row": wanted[lo:hi] - start, "pos": wanted[lo:hi]})
-
-    return starts.mapInPandas(search, "file string, row long, pos long")
+    One row per file reaches the driver, which lists the files of the table anyway.
+    """
+    located = spark.read.parquet(*paths).select(F.col("_metadata.file_path").alias("file"))
+    counts = sorted(tuple(r) for r in located.groupBy("file").count().collect())
+    ends = np.cumsum([0] + [rows for _, rows in counts], dtype="int64")
+    return [file for file, _ in counts], ends[:-1], int(ends[-1])
 
 
 def position_sample(
@@ -121,32 +104,31 @@ def position_sample(
 ) -> DataFrame:
     """The rows at ``n`` positions drawn from the row count alone, in position order.
 
-    Row counts come from the footers. A sample of up to ``TOP_N_ROWS`` rows then reads only the
-    files that hold a drawn row, so its cost does not grow with the table; a larger sample
-    filters the full scan with a join.
+    Row counts come from the footers. Only the files that hold a drawn row are read, and those as a
+    whole: Spark does not skip row groups by row number. The draw is made in the driver, so ``n`` is
+    a number of rows that a driver can hold.
     """
     if n < 0:
         raise ValueError("The sample size must not be negative")
     paths = [path] if isinstance(path, str) else list(path)
-    total = spark.read.parquet(*paths).count()
-    drawn = sorted(random.Random(seed).sample(range(total), min(n, total)))
-    if len(drawn) > TOP_N_ROWS:
-        positions = spark.createDataFrame(pd.DataFrame({name: drawn}))
-        return source_position(spark, paths, name).join(positions, name, "left_semi").orderBy(name)
-    located = _files_of_positions(_file_starts(spark, paths), drawn).collect()
-    rows = spark.read.parquet(*(sorted({unquote(r["file"]) for r in located}) or paths))
-    columns = rows.columns
+    files, starts, total = _file_starts(spark, paths)
+    drawn = np.array(sorted(random.Random(seed).sample(range(total), min(n, total))), dtype="int64")
+    at = np.searchsorted(starts, drawn, "right") - 1
     picked = spark.createDataFrame(
-        [(r["file"], r["row"], r["pos"]) for r in located], f"__file string, __row long, `{name}` long"
-    )
-    # At most TOP_N_ROWS small rows, so this side is safe to broadcast.
-    return (
-        rows.withColumn("__file", F.col("_metadata.file_path"))
-        .withColumn("__row", F.col("_metadata.row_index"))
-        .join(F.broadcast(picked), ["__file", "__row"])
-        .select(*columns, name)
-        .orderBy(name)
+        [(files[i], row, pos) for i, row, pos in zip(at.tolist(), (drawn - starts[at]).tolist(), drawn.tolist())],
+        f"__file string, __row long, `{name}` long",
     )
+    rows = spark.read.parquet(*([unquote(files[i]) for i in np.unique(at)] or paths))
+    located = rows.withColumn("__file", F.col("_metadata.file_path")).withColumn("__row", F.col("_metadata.row_index"))
+    # The size of the drawn side is known when the query is planned, so the planner decides on a broadcast.
+    return located.join(picked, ["__file", "__row"]).select(*rows.columns, name).orderBy(name)
+
+
+def source_sample(
+    spark: SparkSession, path: str | Sequence[str], n: int, seed: int, key_columns: Sequence[str], name: str = "pos"
+) -> DataFrame:
+    """The rows of ``hash_sample`` with their position in the source, in that order."""
+    return hash_sample(source_position(spark, path, name), n, seed, key_columns).orderBy(name)
 
 
 def sample_records(
@@ -166,15 +148,22 @@ def sample_provenance(
     input_format: str,
     min_nonempty_fields: int = 0,
     method: str = "smallest_hash",
+    positions: DataFrame | None = None,
 ) -> DataFrame:
     """One row: how the sample was drawn and from how many records.
 
-    ``population`` holds the canonical records before the threshold.
+    ``population`` holds the canonical records before the threshold. ``positions``, one column of the
+    drawn rows, adds their ``source_row_indices`` in order; it is as large as the sample.
     """
     eligible = F.size("metadata") >= min_nonempty_fields
     counted = population.agg(
         F.count("*").alias("population_records"), F.count_if(eligible).alias("eligible_records")
     )
+    given = ()
+    if positions is not None:
+        listed = positions.agg(F.array_sort(F.collect_list(positions.columns[0])).alias("source_row_indices"))
+        counted = counted.withColumn("__one", F.lit(1)).join(listed.withColumn("__one", F.lit(1)), "__one")
+        given = ("source_row_indices",)
     return counted.select(
         F.lit(method).alias("method"),
         "population_records",
@@ -184,4 +173,5 @@ def sample_provenance(
         F.lit(n).cast("long").alias("requested_records"),
         F.lit(seed).cast("long").alias("seed"),
         F.lit(min_nonempty_fields).cast("long").alias("min_nonempty_fields"),
+        *given,
     )

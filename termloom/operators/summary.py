@@ -15,9 +15,6 @@ STATISTIC_NAMES = ("median", "p90", "p95", "p99")
 DISTRIBUTION_POINTS = (0.0, 0.5, 0.9, 0.95, 0.99, 1.0)
 DISTRIBUTION_NAMES = ("min", "median", "p90", "p95", "p99", "max")
 
-# A group with more distinct values than this gets its percentiles from distributed ranks.
-DISTINCT_LIMIT = 1_000_000
-
 
 def _value_counts(df: DataFrame, value: str, group: Sequence[str]) -> DataFrame:
     return df.filter(F.col(value).isNotNull()).groupBy(*group, F.col(value).cast("double").alias("v")).agg(
@@ -31,29 +28,13 @@ def exact_percentiles(
     points: Sequence[float],
     names: Sequence[str],
     group: Sequence[str] = (),
-    distinct_limit: int = DISTINCT_LIMIT,
 ) -> DataFrame:
     """Exact, linearly interpolated percentiles of ``value`` per ``group``.
 
-    Equal values are counted before anything is gathered. Spark's exact ``percentile`` then
-    holds one entry per distinct value, which is checked first; a group with more distinct
-    values is ranked across range partitions instead, and only the rows at the wanted ranks
-    are gathered.
+    Equal values are counted where they are. The counts are ranked by a prefix sum over range
+    partitions, so no task sees a whole group, and only values at the wanted ranks are gathered.
     """
     counts = _value_counts(df, value, group)
-    distinct = counts.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
-    if distinct > distinct_limit:
-        return _ranked_percentiles(counts, points, names, group)
-    quantiles = F.percentile("v", F.array(*[F.lit(p) for p in points]), F.col("n"))
-    return counts.groupBy(*group).agg(quantiles.alias("q")).select(
-        *group, *[F.col("q")[i].alias(name) for i, name in enumerate(names)]
-    )
-
-
-def _ranked_percentiles(
-    counts: DataFrame, points: Sequence[float], names: Sequence[str], group: Sequence[str]
-) -> DataFrame:
-    """Percentiles through a prefix sum over range partitions; no task sees a whole group."""
     keys = list(group)
     width = shuffle_width(counts.sparkSession)
     ranged = counts.repartitionByRange(width, *keys, "v").withColumn("part", F.spark_partition_id())
@@ -76,9 +57,7 @@ def _ranked_percentiles(
     return placed.groupBy(*keys).agg(*columns) if keys else placed.agg(*columns)
 
 
-def numeric_statistics(
-    df: DataFrame, value: str, group: Sequence[str] = (), distinct_limit: int = DISTINCT_LIMIT
-) -> DataFrame:
+def numeric_statistics(df: DataFrame, value: str, group: Sequence[str] = ()) -> DataFrame:
     """count, total, mean, min, median, p90, p95, p99 and max of the non-null values."""
     keys = list(group)
     v = F.col(value).cast("double")
@@ -89,7 +68,7 @@ def numeric_statistics(
         F.min(v).alias("min"),
         F.max(v).alias("max"),
     )
-    points = exact_percentiles(df, value, STATISTIC_POINTS, STATISTIC_NAMES, keys, distinct_limit)
+    points = exact_percentiles(df, value, STATISTIC_POINTS, STATISTIC_NAMES, keys)
     joined = join_groups(basic, points, keys)
     return joined.select(*keys, "count", "total", "mean", "min", *STATISTIC_NAMES, "max")
 
@@ -106,11 +85,9 @@ def join_groups(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataF
     return left.join(renamed, on, "left").drop(*[f"__{k}" for k in keys])
 
 
-def distribution(
-    df: DataFrame, value: str, group: Sequence[str] = (), distinct_limit: int = DISTINCT_LIMIT
-) -> DataFrame:
+def distribution(df: DataFrame, value: str, group: Sequence[str] = ()) -> DataFrame:
     """min, median, p90, p95, p99 and max."""
-    return exact_percentiles(df, value, DISTRIBUTION_POINTS, DISTRIBUTION_NAMES, group, distinct_limit)
+    return exact_percentiles(df, value, DISTRIBUTION_POINTS, DISTRIBUTION_NAMES, group)
 
 
 # ---------------------------------------------------------------- roll-ups of results

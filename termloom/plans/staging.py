@@ -41,14 +41,8 @@ def broadcast_if_small(df: DataFrame, size: int, limit: int = BROADCAST_BYTES) -
 
 
 def shuffle_width(spark: SparkSession) -> int:
-    """Partitions of an explicit shuffle: the configured number.
-
-    A local session has a fixed number of cores, so there a large default is cut to twice that.
-    """
-    configured = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    if spark.sparkContext.master.startswith("local"):
-        return min(configured, 2 * spark.sparkContext.defaultParallelism)
-    return configured
+    """Partitions of an explicit shuffle: the configured number."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def spread(df: DataFrame, *columns: str) -> DataFrame:
@@ -59,8 +53,4 @@ def spread(df: DataFrame, *columns: str) -> DataFrame:
     The number differs from the configured one, because Spark drops a repartition that equals the
     partitioning below it and would then merge the partitions that remain.
     """
-    spark = df.sparkSession
-    width = 2 * shuffle_width(spark)
-    if width == int(spark.conf.get("spark.sql.shuffle.partitions")):
-        width += 1
-    return df.repartition(width, *columns)
+    return df.repartition(2 * shuffle_width(df.sparkSession), *columns)

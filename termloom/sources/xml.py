@@ -154,7 +154,7 @@ def read_xml_records(spark: SparkSession, path: str, tag: str) -> DataFrame:
         F.monotonically_increasing_id().alias("source_order"),
         "value",
     )
-    if path.endswith(".gz"):
+    if any(file.endswith(".gz") for file in chunks.inputFiles()):  # such a file is one task
         chunks = chunks.repartition(shuffle_width(spark))
     parsed = chunks.mapInPandas(
         parse,
