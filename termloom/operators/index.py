@@ -26,7 +26,7 @@ from termloom.functions.text import (
     word_tokens,
     word_unigrams_and_bigrams,
 )
-from termloom.plans.staging import BROADCAST_BYTES, broadcast_if_small, spread, staging_folder, write_stage
+from termloom.plans.staging import BROADCAST_BYTES, salted_join, spread, staging_folder, write_stage
 
 WORD, CHAR, NAME = "w", "c", "n"
 # Small enough that an Arrow batch of posting lists stays in the low hundreds of megabytes.
@@ -130,11 +130,14 @@ def l2_normalise(weighted: DataFrame, *group: str, weight: str = "raw", name: st
     return weighted.withColumn(name, F.col(weight) / norm)
 
 
-def build_postings(terms: DataFrame, vocab: DataFrame) -> DataFrame:
-    """(analyzer, token, term_no, df, w): normalised weights, flat. Pass ``vocab`` hinted if small."""
+def build_postings(terms: DataFrame, vocab: DataFrame, broadcast_vocab: bool = True) -> DataFrame:
+    """(analyzer, token, term_no, df, w): normalised weights, flat.
+
+    A vocabulary that may not be broadcast is joined by token and salt, as a gram may be in every term.
+    """
+    counted, keys = term_frequencies(terms), ["analyzer", "token"]
     weighted = (
-        term_frequencies(terms)
-        .join(vocab, ["analyzer", "token"])
+        (counted.join(F.broadcast(vocab), keys) if broadcast_vocab else salted_join(counted, vocab, keys, F.col("term_no"), "inner"))
         .withColumn("raw", term_frequency_weight(F.col("tf")) * F.col("idf"))
     )
     flat = l2_normalise(weighted, "term_no", "analyzer")
@@ -152,6 +155,11 @@ def block_count(df: Column, block_postings: int = BLOCK_POSTINGS) -> Column:
     return F.ceil(df / F.lit(block_postings)).cast("long")
 
 
+_BLOCK_TYPE = (
+    "analyzer string, token string, block long, list array<struct<term_no:long,w:double>>, terms binary, weights binary"
+)
+
+
 def _pack_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         lists = batch.column(3)
@@ -179,10 +187,35 @@ def block_postings(postings: DataFrame, size: int = BLOCK_POSTINGS) -> DataFrame
         .groupBy("analyzer", "token", "block")
         .agg(F.collect_list(F.struct("term_no", "w")).alias("list"))
     )
-    return blocks.mapInArrow(
-        _pack_lists,
-        "analyzer string, token string, block long, list array<struct<term_no:long,w:double>>, terms binary, weights binary",
-    )
+    return blocks.mapInArrow(_pack_lists, _BLOCK_TYPE)
+
+
+def postings_shards(index: TermIndex, shard_bytes: int) -> list[DataFrame]:
+    """(analyzer, token, terms, weights) in shards of at most ``shard_bytes``, as measured.
+
+    Shard s of n holds the terms whose number leaves s when divided by n, counted from 0.
+    """
+    columns = ("analyzer", "token", "terms", "weights")
+    shards = max(1, -(-index.postings_bytes // max(1, shard_bytes)))
+    if shards == 1:
+        return [index.postings.select(*columns)]
+    while True:
+        shards = min(shards, index.n_terms)
+        row = F.posexplode(F.transform(
+            F.sequence(F.lit(0), F.lit(shards - 1)),
+            lambda s: F.transform(
+                F.filter("list", lambda x: x["term_no"] % shards == s),
+                lambda x: F.struct(F.floor(x["term_no"] / shards).cast("long").alias("term_no"), x["w"].alias("w")),
+            ),
+        )).alias("shard", "list")
+        parts = index.postings.select("analyzer", "token", row).filter(F.size("list") > 0)
+        packed = parts.select("analyzer", "token", F.col("shard").cast("long").alias("block"), "list").mapInArrow(_pack_lists, _BLOCK_TYPE)
+        stored = write_stage(packed.select("block", *columns), "shards")
+        size = F.sum(F.octet_length("token") + _ROW_BYTES + F.octet_length("terms") / 8 * _POSTING_BYTES)
+        largest = stored.groupBy("block").agg(size.alias("bytes")).agg(F.max("bytes")).first()[0]
+        if largest <= shard_bytes or shards == index.n_terms:
+            return [stored.filter(F.col("block") == s).select(*columns) for s in range(shards)]
+        shards *= 2
 
 
 def postings_rows(index: TermIndex) -> DataFrame:
@@ -206,8 +239,7 @@ def build_index(terms: DataFrame, path: str | None = None, broadcast_bytes: int
     if n_terms == 0:
         raise ValueError("No labelled terms found")
     vocab = write_stage(build_vocab(stored_terms, n_terms), "vocab", f"{path}/vocab")
-    sized = broadcast_if_small(vocab, _vocab_bytes(vocab), broadcast_bytes)
-    blocks = block_postings(build_postings(stored_terms, sized))
+    blocks = block_postings(build_postings(stored_terms, vocab, _vocab_bytes(vocab) <= broadcast_bytes))
     write_stage(blocks, "postings", f"{path}/postings")
     return load_index(spark, path)
 

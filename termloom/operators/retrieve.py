@@ -32,14 +32,17 @@ from termloom.operators.index import (
     WORD,
     TermIndex,
     block_count,
+    postings_shards,
 )
-from termloom.plans.staging import BROADCAST_BYTES, broadcast_if_small, spread
+from termloom.plans.staging import BROADCAST_BYTES, broadcast_if_small, salted_join, spread, write_stage
 
 # Ranks compare scores at this many places, so equal texts tie whatever the order of summation.
 RANK_PLACES = 9
 SCORE_PLACES = 4
 # Above this many query rows per token, a shuffled join spreads the rows of the token.
 SALT_ROWS = 100_000
+# Rows of blank queries, which have no key, are dealt over so many parts.
+BLANK_SALTS = 4096
 
 
 def query_key(query: Column, field: Column) -> Column:
@@ -78,9 +81,13 @@ def _tagged(analyzer: str, in_value: int, tokens: Column) -> Column:
     )
 
 
-def query_weights(asked: DataFrame, vocab: DataFrame) -> DataFrame:
+def query_weights(asked: DataFrame, index: TermIndex, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(qkey, analyzer, token, df, qw): folded weight of every token that the index knows.
 
+    With a vocabulary under the limit, grams and weights of a query stay in the partition that
+    ``distinct_queries`` put it in. A larger one is joined by token and salt, as a gram may be in
+    every query.
+
     The context text is the field name followed by the value, so each value token belongs to
     both texts. Only the tokens of the field, and the word pair where field and value meet, are
     added for the context. Unknown tokens leave before they are counted; the name token stays
@@ -103,12 +110,12 @@ def query_weights(asked: DataFrame, vocab: DataFrame) -> DataFrame:
         _tagged(CHAR, 0, padded_char_ngrams(F.col("field_padded"))),
         _tagged(NAME, 1, F.array("name")),
     )
-    known = (
-        texts.select("qkey", F.explode(tokens).alias("t"))
-        .select("qkey", "t.*")
-        .join(vocab, ["analyzer", "token"], "left")
-        .filter(F.col("idf").isNotNull() | (F.col("analyzer") == NAME))
-    )
+    grams = texts.select("qkey", F.explode(tokens).alias("t")).select("qkey", "t.*")
+    if index.vocab_bytes <= broadcast_bytes:
+        looked_up = grams.join(F.broadcast(index.vocab), ["analyzer", "token"], "left")
+    else:
+        looked_up = salted_join(grams, index.vocab, ["analyzer", "token"], F.col("qkey"), "left")
+    known = looked_up.filter(F.col("idf").isNotNull() | (F.col("analyzer") == NAME))
     counted = known.groupBy("qkey", "analyzer", "token").agg(
         F.sum("in_value").alias("in_value"),
         F.count("*").alias("in_context"),
@@ -139,7 +146,7 @@ def query_weights(asked: DataFrame, vocab: DataFrame) -> DataFrame:
 
 
 def _salted_join(weights: DataFrame, postings: DataFrame, salt_rows: int) -> DataFrame:
-    """Token join for an index that is too large to broadcast.
+    """Token join of all pairs for an index that is too large to broadcast.
 
     A frequent token is a grid: its postings are cut into blocks, and its query rows are dealt
     to salts. Each cell of the grid is a separate join key, so no task gets a whole token.
@@ -174,11 +181,9 @@ def score_terms(
 
     A query also keeps one row without a term, which sorts last and marks a query without hits.
 
-    With an index under the broadcast limit nothing is shuffled here: grams, weights, products
-    and sums of a query all stay in the partition that ``distinct_queries`` put it in.
+    The result has a row for nearly every pair, so this is for analysis; ``retrieve`` makes no such rows.
     """
-    vocab = broadcast_if_small(index.vocab, index.vocab_bytes, broadcast_bytes)
-    weights = query_weights(asked, vocab)
+    weights = query_weights(asked, index, broadcast_bytes)
     if index.postings_bytes <= broadcast_bytes:
         joined = weights.join(F.broadcast(index.postings), ["analyzer", "token"], "left")
     else:
@@ -187,18 +192,19 @@ def score_terms(
     return products.groupBy("qkey", "term_no").agg(F.sum(F.col("qw") * F.col("w")).alias("score"))
 
 
-def top_k(scores: DataFrame, k: int) -> DataFrame:
-    """(qkey, hits): the best ``k`` terms of each query as an array of (rank, score, term_no)."""
-    best = Window.partitionBy("qkey").orderBy(F.round("score", RANK_PLACES).desc_nulls_last(), F.col("term_no"))
-    ranked = scores.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-    hit = F.when(
-        F.col("term_no").isNotNull(), F.struct("rank", F.round("score", SCORE_PLACES).alias("score"), "term_no")
+def best_hits(found: DataFrame, k: int) -> DataFrame:
+    """(qkey, hits): the best ``k`` of raw (term_no, score) hits as (rank, score, term_no), rounded here alone."""
+    keyed = F.transform("hits", lambda h: F.struct((-F.round(h["score"], RANK_PLACES)).alias("key"), h["term_no"].alias("term_no"), h["score"].alias("score")))
+    ranked = F.transform(
+        F.slice(F.array_sort(keyed), 1, k),
+        lambda h, i: F.struct((i + 1).alias("rank"), F.round(h["score"], SCORE_PLACES).alias("score"), h["term_no"].alias("term_no")),
     )
-    return ranked.groupBy("qkey").agg(F.array_sort(F.collect_list(hit)).alias("hits"))
+    return found.select("qkey", ranked.alias("hits"))
 
 
 # Dense score cells that one step of the array scoring may hold (8 bytes each).
 DENSE_CELLS = 4_000_000
+RAW_HIT_TYPE = "array<struct<term_no:bigint,score:double>>"
 HIT_TYPE = "array<struct<rank:int,score:double,term_no:bigint>>"
 
 
@@ -223,11 +229,7 @@ def _best_of(sums: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 def _hit_batch(keys: list[bytes], rows: np.ndarray, terms: np.ndarray, scores: np.ndarray) -> pa.RecordBatch:
     starts = np.searchsorted(rows, np.arange(len(keys) + 1))
-    ranks = np.arange(len(rows)) - starts[rows] + 1
-    hits = pa.StructArray.from_arrays(
-        [pa.array(ranks, pa.int32()), pa.array(half_up(scores, SCORE_PLACES)), pa.array(terms, pa.int64())],
-        ["rank", "score", "term_no"],
-    )
+    hits = pa.StructArray.from_arrays([pa.array(terms, pa.int64()), pa.array(scores, pa.float64())], ["term_no", "score"])
     lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), hits)
     return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), lists], ["qkey", "hits"])
 
@@ -240,14 +242,22 @@ def _unpacked(packed: pa.BinaryArray, kind: type) -> tuple[np.ndarray, np.ndarra
     return np.diff(offsets) // 8, numbers
 
 
-def _array_scorer(k: int, n_terms: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Sum the products of each query and keep its best terms.
+def _array_scorer(
+    k: int, n_terms: int, shard: int, shards: int
+) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Sum the products of each query and keep its best terms of one shard, with raw scores.
 
+    A shard holds the terms whose number divided by ``shards`` leaves ``shard``; its postings count them from 0.
     Rows are (qkey, qw, terms, weights) with the rows of a query next to each other. The query at the end
     of a batch is carried on as a vector of sums.
     """
+    n_terms = -(-(n_terms - shard) // shards)
     step = max(1, DENSE_CELLS // n_terms)
 
+    def hits(keys: list[bytes], sums: np.ndarray) -> pa.RecordBatch:
+        rows, terms, scores = _best_of(sums, k)
+        return _hit_batch(keys, rows, terms * shards + shard, scores)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_key: bytes | None = None
         open_sums = np.zeros(n_terms)
@@ -261,7 +271,7 @@ def _array_scorer(k: int, n_terms: int) -> Callable[[Iterator[pa.RecordBatch]],
             products = weights * np.repeat(batch.column(1).to_numpy(), lengths)
             owners = np.repeat(codes, lengths)
             if open_key is not None and keys[0] != open_key:
-                yield _hit_batch([open_key], *_best_of(open_sums[None, :], k))
+                yield hits([open_key], open_sums[None, :])
                 open_sums = np.zeros(n_terms)
             for first in range(0, len(keys), step):
                 last = min(first + step, len(keys))
@@ -276,25 +286,48 @@ def _array_scorer(k: int, n_terms: int) -> Callable[[Iterator[pa.RecordBatch]],
                     open_key, open_sums = keys[-1], sums[-1].copy()
                     sums, last = sums[:-1], last - 1
                 if last > first:
-                    yield _hit_batch(keys[first:last], *_best_of(sums, k))
+                    yield hits(keys[first:last], sums)
         if open_key is not None:
-            yield _hit_batch([open_key], *_best_of(open_sums[None, :], k))
+            yield hits([open_key], open_sums[None, :])
 
     return run
 
 
-def top_k_in_arrays(asked: DataFrame, index: TermIndex, k: int, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """(qkey, hits) with an index under the broadcast limit.
+def top_k(
+    asked: DataFrame,
+    index: TermIndex,
+    k: int,
+    broadcast_bytes: int = BROADCAST_BYTES,
+    shard_bytes: int = BROADCAST_BYTES,
+) -> DataFrame:
+    """(qkey, hits): the best ``k`` terms of each query as an array of (rank, score, term_no).
 
-    Spark brings every query token together with its postings; the products, far more than
-    any other rows here, are summed as arrays inside the task and never become rows.
+    The postings are cut by term number into shards that can be broadcast; an index under the limit is
+    one shard. Spark brings the tokens of a query together with the postings of a shard. The products,
+    far more than any other rows here, are summed as arrays inside the task and never become rows:
+    a shard gives the ``k`` best terms of a query with raw scores. Several shards are scored one after
+    another, so that one at a time is broadcast, over the same stored query weights.
     """
-    vocab = broadcast_if_small(index.vocab, index.vocab_bytes, broadcast_bytes)
-    weights = query_weights(asked, vocab)
-    listed = weights.join(F.broadcast(index.postings), ["analyzer", "token"], "left")
-    # The rows already come sorted by query, so this states a fact and adds no sort.
-    rows = listed.select("qkey", "qw", "terms", "weights").sortWithinPartitions("qkey")
-    return rows.mapInArrow(_array_scorer(k, index.n_terms), f"qkey binary, hits {HIT_TYPE}")
+    weights = query_weights(asked, index, broadcast_bytes)
+    shards = postings_shards(index, shard_bytes)
+    if len(shards) == 1 and index.vocab_bytes <= broadcast_bytes:
+        # Rows of a query already come one after another, so the sort below states a fact and adds none.
+        return best_hits(_shard_hits(weights.select("qkey", "analyzer", "token", "qw"), shards[0], index, k, 0, 1), k)
+    per_query = weights.groupBy("qkey").agg(F.collect_list(F.struct("analyzer", "token", "qw")).alias("tokens"))
+    per_query = write_stage(per_query, "query-weights")
+    rows = per_query.select("qkey", F.inline("tokens"))
+    found = None
+    for shard, postings in enumerate(shards):
+        part = write_stage(_shard_hits(rows, postings, index, k, shard, len(shards)), "shard-hits")
+        found = part if found is None else found.unionByName(part)
+    merged = found.groupBy("qkey").agg(F.flatten(F.collect_list("hits")).alias("hits"))
+    return best_hits(merged, k)
+
+
+def _shard_hits(rows: DataFrame, postings: DataFrame, index: TermIndex, k: int, shard: int, shards: int) -> DataFrame:
+    listed = rows.join(F.broadcast(postings), ["analyzer", "token"], "left")
+    ordered = listed.select("qkey", "qw", "terms", "weights").sortWithinPartitions("qkey")
+    return ordered.mapInArrow(_array_scorer(k, index.n_terms, shard, shards), f"qkey binary, hits {RAW_HIT_TYPE}")
 
 
 def fill_zero_scores(hits: Column, k: int, n_terms: int) -> Column:
@@ -321,29 +354,24 @@ def retrieve_distinct(
     index: TermIndex,
     k: int = 5,
     broadcast_bytes: int = BROADCAST_BYTES,
-    salt_rows: int = SALT_ROWS,
+    shard_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """(qkey, hits) for each distinct non-blank (query, field)."""
-    asked = distinct_queries(queries)
-    if index.postings_bytes <= broadcast_bytes:
-        best = top_k_in_arrays(asked, index, k, broadcast_bytes)
-    else:
-        best = top_k(score_terms(asked, index, broadcast_bytes, salt_rows), k)
+    best = top_k(distinct_queries(queries), index, k, broadcast_bytes, shard_bytes)
     return best.withColumn("hits", fill_zero_scores(F.col("hits"), k, index.n_terms))
 
 
 def hydrate_hits(found: DataFrame, index: TermIndex, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(qkey, candidates): hits with id, label, synonyms, definition, parents and iri."""
-    terms = broadcast_if_small(index.terms, index.terms_bytes, broadcast_bytes)
     candidate = F.struct(
         "rank", "score", "id", "label", "synonyms", "definition", "parents", "iri"
     )
-    return (
-        found.select("qkey", F.inline("hits"))
-        .join(terms, "term_no")
-        .groupBy("qkey")
-        .agg(F.array_sort(F.collect_list(candidate)).alias("candidates"))
-    )
+    hits = found.select("qkey", F.inline("hits"))
+    if index.terms_bytes <= broadcast_bytes:
+        named = hits.join(F.broadcast(index.terms), "term_no")
+    else:
+        named = salted_join(hits, index.terms, ["term_no"], F.col("qkey"), "inner")
+    return named.groupBy("qkey").agg(F.array_sort(F.collect_list(candidate)).alias("candidates"))
 
 
 def retrieve(
@@ -351,17 +379,33 @@ def retrieve(
     index: TermIndex,
     k: int = 5,
     broadcast_bytes: int = BROADCAST_BYTES,
+    shard_bytes: int = BROADCAST_BYTES,
     salt_rows: int = SALT_ROWS,
 ) -> DataFrame:
-    """Every input row with its ``candidates``; blank queries get an empty array."""
-    found = retrieve_distinct(queries, index, k, broadcast_bytes, salt_rows)
+    """Every input row with its ``candidates``; blank queries get an empty array.
+
+    Rows of a query that more than ``salt_rows`` rows ask, and rows of blank queries, are dealt over
+    salts by a hash of the row, so that none of them meet in one task.
+    """
+    found = retrieve_distinct(queries, index, k, broadcast_bytes, shard_bytes)
     candidates = hydrate_hits(found, index, broadcast_bytes)
-    keyed = queries.withColumn("qkey", query_key(strip_text(F.col("query")), F.col("field")))
     none = F.array().cast(candidates.schema["candidates"].dataType)
+    text = strip_text(F.col("query"))
+    keyed = queries.withColumn("qkey", F.when(text != "", query_key(text, F.col("field"))))
+    hot = keyed.filter(F.col("qkey").isNotNull()).groupBy("qkey").count().filter(F.col("count") > salt_rows)
+    hot = write_stage(hot.select("qkey", F.ceil(F.col("count") / F.lit(salt_rows)).cast("int").alias("salts")), "hot-queries")
+    # At most one row for every ``salt_rows`` input rows.
+    hot = broadcast_if_small(hot, hot.count() * 64, broadcast_bytes)
+    row = F.xxhash64(*[c for c, t in queries.dtypes if "map<" not in t and "variant" not in t])
+    salts = F.when(F.col("qkey").isNull(), BLANK_SALTS).otherwise(F.coalesce("salts", F.lit(1)))
+    keyed = keyed.join(hot, "qkey", "left").withColumn("salt", F.pmod(row, salts).cast("int")).drop("salts")
+    dealt = candidates.join(hot, "qkey", "left").select(
+        "qkey", "candidates", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt")
+    )
     return (
-        keyed.join(candidates, "qkey", "left")
+        keyed.join(dealt, ["qkey", "salt"], "left")
         .withColumn("candidates", F.coalesce("candidates", none))
-        .drop("qkey")
+        .drop("qkey", "salt")
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # A broadcast side may take this many bytes in its in-memory form; beyond it joins shuffle.
@@ -40,6 +40,16 @@ def broadcast_if_small(df: DataFrame, size: int, limit: int = BROADCAST_BYTES) -
     return F.broadcast(df) if size <= limit else df
 
 
+def salted_join(rows: DataFrame, table: DataFrame, keys: list[str], by: Column, how: str, salts: int = 16) -> DataFrame:
+    """Join to a table with one row per key that is too large to broadcast, where keys of ``rows`` may be hot.
+
+    Every row of ``table`` is repeated for each salt, and ``rows`` are dealt over the salts by a hash of ``by``.
+    """
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
+    repeated = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(repeated, [*keys, "__salt"], how).drop("__salt")
+
+
 def shuffle_width(spark: SparkSession) -> int:
     """Partitions of an explicit shuffle: the configured number."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
