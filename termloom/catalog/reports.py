@@ -144,10 +144,18 @@ def order_results(spark: SparkSession, d: str) -> DataFrame:
     lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(concept).alias("concepts"))
     orders = table(spark, d, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     failed = F.when(F.col("o_orderstatus") == "P", "grounding").when(F.col("o_orderpriority") == "5-LOW", "concept_extraction")
+    cut = F.col("o_orderpriority") == "1-URGENT"
+
     def stage(attempted, tokens):
         return F.struct(
             attempted.alias("attempted"), F.when(attempted, tokens).alias("prompt_tokens"),
             F.when(attempted, F.lit(7).cast("long")).alias("generated_tokens"),
+            F.when(attempted, F.lit(0.25)).alias("wall_seconds"),
+            F.when(attempted, F.when(cut, "length").otherwise("stop")).alias("finish_reason"),
+            F.when(attempted, cut).alias("truncated"),
+            F.when(attempted, ~cut).alias("json_valid"),
+            F.when(attempted & ~cut, F.col("o_orderpriority") != "4-NOT SPECIFIED").alias("schema_valid"),
+            F.lit(None).cast("string").alias("model_error"),
         )
     return orders.select(
         F.col("o_orderkey").cast("string").alias("rec_id"),
@@ -191,6 +199,54 @@ SELECT * FROM r, c
 """
 
 
+def run_summary(spark: SparkSession, d: str) -> DataFrame:
+    """The whole summary, its maps and structs taken apart."""
+    results = order_results(spark, d)
+    provenance = results.agg(F.count("*").alias("population_records")).select(F.lit("all").alias("method"), "population_records")
+    found = S.run_summary(results, provenance)
+    extraction, grounding = F.col("stages")["extraction"], F.col("stages")["grounding"]
+    return _rounded(
+        found.select(
+            *S.record_rollup(results).columns, "records_per_second", "completed_records_per_second",
+            *[F.coalesce(F.col("failures_by_stage")[s], F.lit(0)).alias(f"{s}_failures") for s in ("grounding", "concept_extraction")],
+            F.col("concepts_per_record.mean").alias("concepts_mean"), F.col("concepts_per_record.p90").alias("concepts_p90"),
+            extraction["attempted_records"].alias("extraction_attempted"), grounding["skipped_records"].alias("grounding_skipped"),
+            extraction["truncation_rate"].alias("extraction_truncation_rate"),
+            grounding["schema_failures"].alias("grounding_schema_failures"),
+            grounding["records_per_second"].alias("grounding_records_per_second"),
+            extraction["finish_reasons"]["length"].alias("extraction_length_stops"),
+            grounding["finish_reasons"]["stop"].alias("grounding_stops"),
+            extraction["prompt_tokens_statistics"]["p95"].alias("extraction_prompt_p95"),
+            grounding["generated_tokens_statistics"]["total"].alias("grounding_generated_total"),
+            F.col("sample_input.method").alias("method"), F.col("sample_input.population_records").alias("population_records"),
+        ),
+        6,
+    )
+
+
+RUN_SUMMARY = f"""
+WITH rolled AS ({RECORD_ROLLUP}), {_RESULTS},
+flags AS (
+  SELECT *, o_orderpriority = '1-URGENT' AS cut, failed_stage IS DISTINCT FROM 'concept_extraction' AS grounded FROM results),
+n AS (SELECT o_orderkey, count(l_orderkey) AS concepts FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1),
+f AS (
+  SELECT round(count(*) / (count(*) * 2.0::DOUBLE), 6) AS records_per_second,
+         round(count(*) FILTER (failed_stage IS NULL) / (count(*) * 2.0::DOUBLE), 6) AS completed_records_per_second,
+         count(*) FILTER (failed_stage = 'grounding') AS grounding_failures,
+         count(*) FILTER (failed_stage = 'concept_extraction') AS concept_extraction_failures,
+         count(*) AS extraction_attempted, count(*) FILTER (NOT grounded) AS grounding_skipped,
+         round(count(*) FILTER (cut) / count(*)::DOUBLE, 6) AS extraction_truncation_rate,
+         count(*) FILTER (grounded AND NOT cut AND o_orderpriority = '4-NOT SPECIFIED') AS grounding_schema_failures,
+         4.0::DOUBLE AS grounding_records_per_second, count(*) FILTER (cut) AS extraction_length_stops,
+         count(*) FILTER (grounded AND NOT cut) AS grounding_stops,
+         round(quantile_cont(o_custkey::DOUBLE, 0.95), 6) AS extraction_prompt_p95,
+         7.0::DOUBLE * count(*) FILTER (grounded) AS grounding_generated_total, 'all' AS method, count(*) AS population_records
+  FROM flags),
+c AS (SELECT round(avg(concepts), 6) AS concepts_mean, round(quantile_cont(concepts::DOUBLE, 0.9), 6) AS concepts_p90 FROM n)
+SELECT * FROM rolled, f, c
+"""
+
+
 def failures(spark: SparkSession, d: str) -> DataFrame:
     return S.failures_by_stage(order_results(spark, d))
 
@@ -502,6 +558,7 @@ QUERIES = {
     "finish_reasons": finish_reasons,
     "stage_token_statistics": stage_tokens,
     "record_rollup": record_rollup,
+    "run_summary": run_summary,
     "failures_by_stage": failures,
     "concept_count_statistics": concept_statistics,
     "annotation_rollup": annotation_rollup,
@@ -534,6 +591,7 @@ ORACLES = {
     "finish_reasons": FINISH_REASONS,
     "stage_token_statistics": STAGE_TOKENS,
     "record_rollup": RECORD_ROLLUP,
+    "run_summary": RUN_SUMMARY,
     "failures_by_stage": FAILURES,
     "concept_count_statistics": CONCEPT_STATISTICS,
     "annotation_rollup": ANNOTATION_ROLLUP,

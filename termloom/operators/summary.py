@@ -195,6 +195,44 @@ def concepts_per_record(results: DataFrame) -> DataFrame:
     return results.select("rec_id", F.size("concepts").alias("concepts"))
 
 
+def run_summary(results: DataFrame, provenance: DataFrame | None = None) -> DataFrame:
+    """One row with the whole summary of a run.
+
+    The columns of ``record_rollup``, both rates of ``throughput`` over the records' wall seconds,
+    ``failures_by_stage`` (map), ``concepts_per_record`` (statistics), ``stages`` (map from stage to its
+    roll-up, ``finish_reasons`` and token statistics) and, with the one row of ``provenance``, ``sample_input``.
+    """
+    # Read several times below: two rows of numbers a record, and its count of concepts.
+    rows = write_stage(stage_rows(results), "summary-stages")
+    counts = write_stage(concepts_per_record(results), "summary-concepts")
+    reasons = finish_reasons(rows).groupBy("stage").agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("finish_reason", "calls")))).alias("finish_reasons")
+    )
+    stages = stage_rollup(rows).join(reasons, "stage", "left")
+    for column in ("prompt_tokens", "generated_tokens"):
+        found = stage_token_statistics(rows, column)
+        numbers = F.struct(*[c for c in found.columns if c != "stage"]).alias(f"{column}_statistics")
+        stages = stages.join(found.select("stage", numbers), "stage", "left")
+    block = F.struct(*[c for c in stages.columns if c != "stage"])
+    seconds = F.nullif("record_wall_seconds", F.lit(0.0))
+    concepts = numeric_statistics(counts, "concepts")
+    # Every part below is one row; stages and their failures are a handful.
+    parts = [
+        record_rollup(results).select("*", *throughput(F.col("processed_records"), F.col("completed_records"), seconds)),
+        failures_by_stage(results).agg(
+            F.map_from_entries(F.array_sort(F.collect_list(F.struct("failed_stage", "records")))).alias("failures_by_stage")
+        ),
+        concepts.select(F.struct(*concepts.columns).alias("concepts_per_record")),
+        stages.agg(F.map_from_entries(F.collect_list(F.struct(F.col("stage"), block.alias("block")))).alias("stages")),
+    ]
+    if provenance is not None:
+        parts.append(provenance.select(F.struct(*provenance.columns).alias("sample_input")))
+    summary = parts[0]
+    for part in parts[1:]:
+        summary = join_groups(summary, part, ())
+    return summary
+
+
 def annotation_rollup(annotations: DataFrame, group: Sequence[str] = ()) -> DataFrame:
     """Counts over one row per concept with a nullable ``status``."""
     return annotations.groupBy(*group).agg(

@@ -26,6 +26,16 @@ def test_percentiles_of_null_groups(spark):
     assert got == {g: pytest.approx(tuple(np.percentile(vs, points))) for g, vs in values.items()}
 
 
+def test_summary_of_no_results_is_one_row(spark):
+    stage = ("struct<attempted:boolean,prompt_tokens:long,generated_tokens:long,wall_seconds:double,finish_reason:string,"
+             "truncated:boolean,json_valid:boolean,schema_valid:boolean,model_error:string>")
+    shape = (f"rec_id string, status string, failed_stage string, concepts array<struct<annotation:struct<status:string>>>, "
+             f"diagnostics struct<extraction:{stage},grounding:{stage},retrieval_seconds:double,record_wall_seconds:double>")
+    row, = summary.run_summary(spark.createDataFrame([], shape)).collect()
+    assert (row.processed_records, row.records_per_second, row.stages, row.failures_by_stage) == (0, None, {}, {})
+    assert row.concepts_per_record["count"] == 0 and row.concepts_per_record.median is None
+
+
 def test_records_without_concepts_are_compared(spark):
     counts = spark.createDataFrame([("r1", 1), ("r2", 0)], "rec_id string, n_concepts int")
     found = spark.createDataFrame([("r1", 0, "matched", "X:1")], "rec_id string, concept_index int, status string, ontology_id string")
