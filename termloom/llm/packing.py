@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -39,10 +39,15 @@ def cuts(length: int, capacity: int, slack: float) -> tuple[int, ...]:
 
 
 class Packer:
-    """The bins of one worker. It holds at most one open bin of each class."""
+    """The bins of one worker. It holds at most one open bin of each class.
 
-    def __init__(self, capacity: int, slack: float) -> None:
+    ``held`` makes what a bin keeps for a piece out of its document, start and length, so that a
+    bin need not keep whole documents.
+    """
+
+    def __init__(self, capacity: int, slack: float, held: Callable = lambda document, start, length: document) -> None:
         self.capacity = capacity
+        self._held = held
         self._cuts = [cuts.__wrapped__(n, capacity, slack) for n in range(capacity)]
         self._open: dict[int, list] = defaultdict(list)
         self._bins = 0
@@ -60,7 +65,7 @@ class Packer:
         for length in [self.capacity] * (tokens // self.capacity) + list(self._cuts[tokens % self.capacity]):
             k = self.capacity // length
             bin_ = self._open[k]
-            bin_.append((document, start, length))
+            bin_.append((self._held(document, start, length), start, length))
             start += length
             if len(bin_) == k:
                 del self._open[k]
@@ -121,17 +126,17 @@ def pack(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer, end_id)
-        packer = Packer(capacity, slack)
+        # The open bins hold less than one sequence of ids for each class, however long the documents.
+        packer = Packer(capacity, slack, lambda d, start, length: (d[0], d[1][4 * start : 4 * (start + length)], len(d[1]) // 4))
         first = TaskContext.get().partitionId() << 33
 
         def rows(pieces: Iterator[tuple]) -> Iterator[tuple]:
-            for (doc, ids, tokens), start, length, bin_, offset in pieces:
-                part = ids[4 * start : 4 * (start + length)]
+            for (doc, part, tokens), start, length, bin_, offset in pieces:
                 yield (doc, start, length, zlib.crc32(part), tokens, first + bin_, offset, part)[: len(fields)]
 
         def pieces_of(batch: pa.RecordBatch) -> Iterator[tuple]:
             for doc, ids in zip(batch.column(0).to_pylist(), encode.column(batch.column(1))):
-                yield from packer.add((doc, ids, len(ids) // 4), len(ids) // 4)
+                yield from packer.add((doc, ids), len(ids) // 4)
 
         schema = None
         for batch in batches:
