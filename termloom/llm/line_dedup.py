@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termloom.llm.common import fresh, join_groups
+from termloom.plans.staging import write_stage
 
 # A line is dropped if more than this part of its site's pages hold it, and at least so many pages.
 MAX_RATIO = 0.1
@@ -46,17 +47,15 @@ def site_lines(pages: DataFrame, site: Column, lines: Column, max_ratio: float,
     ``max_ratio`` common lines, so the array is small however large the site. All counts are
     combined in the tasks before they are shuffled, so a large site is many small partial sums.
     """
-    totals = pages.groupBy(site.alias("site")).agg(F.count("*").alias("pages"))
+    totals = write_stage(pages.groupBy(site.alias("site")).agg(F.count("*").alias("pages")), "sites")
     codes = F.array_distinct(F.transform(F.filter(lines, _has_word), _code))
     counts = pages.select(site.alias("site"), F.explode(codes).alias("code")).groupBy("site", "code").count()
-    frequent = counts.filter(F.col("count") >= min_pages).alias("f")
+    frequent = counts.filter(F.col("count") >= min_pages)
+    # Only common lines meet in one row of their site; rare ones are filtered before.
+    common = join_groups(frequent, totals, ["site"]).filter(F.col("count") > max_ratio * F.col("pages"))
+    lists = common.groupBy("site").agg(F.collect_list("code").alias("common")).alias("c")
     t = totals.alias("t")
-    common = (
-        t.join(frequent, F.col("f.site").eqNullSafe(F.col("t.site")), "left")
-        .groupBy(F.col("t.site").alias("site"), F.col("t.pages").alias("pages"))
-        .agg(F.collect_list(F.when(F.col("f.count") > max_ratio * F.col("t.pages"), F.col("f.code"))).alias("common"))
-    )
-    return common
+    return t.join(lists, F.col("c.site").eqNullSafe(F.col("t.site")), "left").select("t.site", "t.pages", "c.common")
 
 
 def drop_common_lines(
