@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from termloom.llm.common import gram_codes, word_codes
-from termloom.plans.staging import write_stage
+from termloom.llm.common import gram_codes, join_groups, word_codes
+from termloom.plans.staging import salted_join, write_stage
 
 # Words of a passage and of the grams among which positions are selected.
 PASSAGE = 50
@@ -42,10 +42,16 @@ def _equal_ahead(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -
 
 
 class Neighbours:
-    """Goes through sorted suffixes and compares each with its neighbours from other texts."""
+    """Goes through sorted suffixes and compares each with its neighbours from other texts.
 
-    def __init__(self, passage: int, gram: int) -> None:
-        self.passage, self.gram = passage, gram
+    ``reached`` collects (key, position, gram, ``most``, ``span``) of the suffixes whose match does not
+    fill both sides: the most words that any other text repeats on the side that is sorted by (to the
+    right, or to the left with ``backward``), and the longest span found.
+    """
+
+    def __init__(self, passage: int, gram: int, backward: bool = False) -> None:
+        self.passage, self.gram, self.backward = passage, gram, backward
+        self.reached: list[tuple] = []
         self._held: list[tuple] = []
         self._fresh = 0
         self._first = True
@@ -66,17 +72,23 @@ class Neighbours:
         n_behind = np.array([len(r[3]) // 4 for r in rows])
         found = []
         me = np.arange(start, stop)
+        most, span = np.full(n, -1), np.zeros(n, np.int64)
         for other in (begins[run[me]] - 1, ends[run[me]]):
             real = (other >= 0) & (other < n)
             i, j = me[real], other[real]
             right = _equal_ahead(ahead[i], ahead[j], n_ahead[i], n_ahead[j])
             left = _equal_ahead(behind[i], behind[j], n_behind[i], n_behind[j])
-            good = (right >= self.gram) & (left + right >= self.passage)
+            met = right >= self.gram
+            good = met & (left + right >= self.passage)
+            most[i] = np.maximum(most[i], np.where(met, left if self.backward else right, -1))
+            span[i] = np.maximum(span[i], np.where(good, left + right, 0))
             found += [(keys[k], rows[k][1] - int(a), rows[k][1] + int(b)) for k, a, b in zip(i[good], left[good], right[good])]
+        some = np.flatnonzero((most >= 0) & (span < self.passage + reach))
+        self.reached += [(keys[k], rows[k][1], rows[k][4], int(most[k]), int(span[k])) for k in some]
         return found
 
     def add(self, rows: list[tuple]) -> tuple[list[tuple], list[tuple]]:
-        """(spans, edge rows) of the (key, position, words ahead, words behind) given in order.
+        """(spans, edge rows) of the (key, position, words ahead, words behind, gram) given in order.
 
         The last run of one text waits for what follows it. The first rows of a task are edges, as
         their neighbour may be in the task before.
@@ -103,45 +115,88 @@ class Neighbours:
         return self._spans(self._held, self._fresh, len(self._held)), self._held
 
 
-_SPAN = "key binary, start bigint, stop bigint, pos bigint, ahead binary, behind binary"
+_SPAN = "key binary, start bigint, stop bigint, pos bigint, ahead binary, behind binary, gram bigint, most int, span int"
+
+
+def _gram(gram: int) -> Column:
+    return F.xxhash64(F.substring("ahead", 1, 4 * gram))
 
 
-def _compare(sorted_rows: DataFrame, passage: int, gram: int) -> DataFrame:
-    """Spans of sorted suffixes (``pos`` null), and the edge rows of each task (``start`` null)."""
+def _compare(sorted_rows: DataFrame, passage: int, gram: int, backward: bool) -> DataFrame:
+    """Spans of sorted suffixes (``start`` set), the edge rows of each task (``ahead`` set), and what
+    suffixes reach (``most`` set)."""
+    schema = pa.schema(
+        [("key", pa.binary()), ("start", pa.int64()), ("stop", pa.int64()), ("pos", pa.int64()), ("ahead", pa.binary()),
+         ("behind", pa.binary()), ("gram", pa.int64()), ("most", pa.int32()), ("span", pa.int32())]
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        walk = Neighbours(passage, gram)
+        walk = Neighbours(passage, gram, backward)
 
         def batch(spans: list[tuple], edges: list[tuple]) -> pa.RecordBatch:
-            none_s, none_e = [None] * len(spans), [None] * len(edges)
-            columns = (
-                ([s[0] for s in spans] + [e[0] for e in edges], pa.binary()),
-                ([s[1] for s in spans] + none_e, pa.int64()),
-                ([s[2] for s in spans] + none_e, pa.int64()),
-                (none_s + [e[1] for e in edges], pa.int64()),
-                (none_s + [e[2] for e in edges], pa.binary()),
-                (none_s + [e[3] for e in edges], pa.binary()),
-            )
-            names = ["key", "start", "stop", "pos", "ahead", "behind"]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], names=names)
+            rows = [(k, a, b, *[None] * 6) for k, a, b in spans]
+            rows += [(k, None, None, pos, ahead, behind, g, None, None) for k, pos, ahead, behind, g in edges]
+            rows += [(k, None, None, pos, None, None, g, most, span) for k, pos, g, most, span in walk.reached]
+            walk.reached.clear()
+            columns = zip(*rows) if rows else [()] * len(schema)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
 
         for b in batches:
-            yield batch(*walk.add(list(zip(*(b.column(c).to_pylist() for c in ("key", "pos", "ahead", "behind"))))))
+            yield batch(*walk.add(list(zip(*(c.to_pylist() for c in b.columns)))))
         yield batch(*walk.finish())
 
-    return sorted_rows.select("key", "pos", "ahead", "behind").mapInArrow(run, _SPAN)
+    return sorted_rows.select("key", "pos", "ahead", "behind", _gram(gram).alias("gram")).mapInArrow(run, _SPAN)
 
 
-def _spans_in_order(suffixes: DataFrame, order: list[Column], passage: int, gram: int, name: str) -> DataFrame:
-    """(key, start, stop) found by sorting in ``order`` and comparing neighbours, also across tasks."""
+def _spans_in_order(
+    suffixes: DataFrame, order: list[Column], passage: int, gram: int, backward: bool
+) -> tuple[DataFrame, DataFrame]:
+    """Spans (key, start, stop) found by sorting in ``order`` and comparing neighbours, also across
+    tasks, and (key, pos, gram, most, span) of what the suffixes reach."""
     width = int(suffixes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = [*order, F.col("key"), F.col("pos")]
     ranged = suffixes.repartitionByRange(width, *order).sortWithinPartitions(*order)
-    found = write_stage(_compare(ranged, passage, gram), name)
+    found = write_stage(_compare(ranged, passage, gram, backward), "backward" if backward else "forward")
     # Each task leaves its first and last runs, so this side grows with the tasks, not with the rows.
-    edges = found.filter("start is null").distinct().repartition(1).sortWithinPartitions(*order)
-    across = _compare(edges, passage, gram).filter("start is not null")
-    return found.filter("start is not null").select("key", "start", "stop").union(across.select("key", "start", "stop"))
+    edges = found.filter("ahead is not null").select("key", "pos", "ahead", "behind").distinct()
+    across = _compare(edges.repartition(1).sortWithinPartitions(*order), passage, gram, backward)
+    both = found.union(across)
+    return (
+        both.filter("start is not null").select("key", "start", "stop"),
+        both.filter("most is not null").select("key", "pos", "gram", "most", "span"),
+    )
+
+
+def _unsettled(suffixes: DataFrame, right: DataFrame, left: DataFrame, passage: int, gram: int) -> DataFrame:
+    """Spans that neighbours may miss: an exact look at the grams of suffixes that they do not settle.
+
+    No match of a suffix goes further right than its best neighbour in forward order, or further left
+    than its best in backward order. If one span reaches both, it holds all others. Where none does and
+    both together are long enough, all passages around the suffixes of that gram are compared by hash.
+    """
+    none = F.lit(None).cast("int")
+    reached = right.select("key", "pos", "gram", F.col("most").alias("right"), none.alias("left"), "span").union(
+        left.select("key", "pos", "gram", none.alias("right"), F.col("most").alias("left"), "span")
+    )
+    most = reached.groupBy("key", "pos", "gram").agg(
+        F.max("right").alias("right"), F.max("left").alias("left"), F.max("span").alias("span")
+    )
+    total = F.col("right") + F.col("left")
+    open_ = most.filter((total >= passage) & (F.col("span") < total)).select("gram").distinct()
+    rest = join_groups(suffixes.withColumn("gram", _gram(gram)), open_.withColumn("open", F.lit(True)), ["gram"])
+    back = F.explode(F.sequence(F.lit(0), F.lit(passage - gram)))
+    parts = rest.filter("open").select("key", "pos", "ahead", "behind", back.alias("back"))
+    whole = (F.octet_length("behind") >= 4 * F.col("back")) & (F.octet_length("ahead") >= 4 * (passage - F.col("back")))
+    before = F.substring(F.col("behind"), F.lit(1), 4 * F.col("back"))
+    after = F.substring(F.col("ahead"), F.lit(1), 4 * (passage - F.col("back")))
+    windows = parts.filter(whole).select(
+        "key", (F.col("pos") - F.col("back")).alias("start"), F.xxhash64("back", before, after).alias("code")
+    )
+    windows = write_stage(windows, "windows")
+    hashed = F.xxhash64("key")
+    shared = windows.groupBy("code").agg(F.min(hashed).alias("a"), F.max(hashed).alias("b")).filter("a <> b").select("code")
+    met = salted_join(windows, shared, ["code"], F.col("key"), "left_semi", SALTS)
+    return met.select("key", "start", (F.col("start") + passage).alias("stop"))
 
 
 def repeated_passages(
@@ -159,7 +214,9 @@ def repeated_passages(
     Method: only suffixes at minimiser positions are kept (about one in twenty). Grams that a single
     text holds are dropped by a count on thin rows. What is left is sorted by the words that follow,
     range-partitioned over all tasks, and again by the words before; each suffix is compared with its
-    neighbours from other texts and the match is extended to the right and to the left. A text that
+    neighbours from other texts and the match is extended to the right and to the left. Where the two
+    orders show that a farther suffix may match more, the passages of that gram are compared exactly.
+    A text that
     two documents share as a whole is one span, and is sorted once.
 
     Null, empty and short texts have no spans. Null ids stay null. Rows equal in id and text are one
@@ -209,7 +266,9 @@ def repeated_passages(
     texts = write_stage(texts, "texts")
     marks = marks.join(texts.select("key", F.col("first").alias("doc")), "key")
     same = [keyed["key"] == marks["key"], keyed["doc"].eqNullSafe(marks["doc"])]
-    marked = keyed.join(marks, same).select(keyed["key"], keyed["text"], marks["places"])
+    marked = keyed.join(marks, same).select(keyed["key"], keyed["doc"], keyed["text"], marks["places"])
+    # One row of each text is left before it becomes suffixes.
+    marked = marked.dropDuplicates(["key", "doc"]).select("key", "text", "places")
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -228,18 +287,18 @@ def repeated_passages(
                 yield pa.RecordBatch.from_pylist([dict(zip(("key", "pos", "ahead", "behind"), r)) for r in rows], schema=flat)
 
     flat = pa.schema([("key", pa.binary()), ("pos", pa.int64()), ("ahead", pa.binary()), ("behind", pa.binary())])
-    rows = marked.mapInArrow(suffixes, "key binary, pos bigint, ahead binary, behind binary").dropDuplicates(["key", "pos"])
+    rows = marked.mapInArrow(suffixes, "key binary, pos bigint, ahead binary, behind binary")
     rows = write_stage(rows, "suffixes")
     # Words that follow begin with the gram itself.
-    forward = _spans_in_order(rows, [F.col("ahead"), F.col("behind")], passage, gram, "forward")
-    backward = _spans_in_order(
-        rows, [F.substring("ahead", 1, 4 * gram), F.col("behind"), F.col("ahead")], passage, gram, "backward"
-    )
+    forward, right = _spans_in_order(rows, [F.col("ahead"), F.col("behind")], passage, gram, False)
+    start = F.substring("ahead", 1, 4 * gram)
+    backward, left = _spans_in_order(rows, [start, F.col("behind"), F.col("ahead")], passage, gram, True)
+    rest = _unsettled(rows, right, left, passage, gram)
     # Two ids, or one id and rows without one.
     copied = (F.col("first") < F.col("last")) | ((F.col("ids") > 0) & (F.col("ids") < F.col("rows")))
     whole = texts.filter(copied & (F.col("words") >= passage))
     spans = merge_spans(
-        forward.union(backward).union(whole.select("key", F.lit(0).cast("long"), F.col("words").cast("long")))
+        forward.union(backward).union(rest).union(whole.select("key", F.lit(0).cast("long"), F.col("words").cast("long")))
     )
     return (
         documents.select("doc", "key").distinct()

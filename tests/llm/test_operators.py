@@ -184,6 +184,26 @@ def test_passages_with_many_neighbours(spark):
     assert got == want
 
 
+def test_passage_that_no_order_brings_together(spark, monkeypatch):
+    """Longer matches to one side stand between two texts whose shared passage reaches to both."""
+    rng = np.random.default_rng(3)
+    words = lambda n: [f"z{x}" for x in rng.integers(0, 10**9, n)]
+    core = words(130)
+    [codes] = common.word_codes(pa.array([" ".join(core)]))
+    at, _ = suffix_dedup.minimisers(codes)
+    m = int(next(p for p in at if 40 <= p <= 70))
+    texts = [words(30) + core[m - 45 : m + 50] + words(30), words(30) + core[m - 25 : m + 27] + words(30)]
+    texts += [words(60) + core[m : m + 45] + words(60) for _ in range(60)]
+    texts += [words(60) + core[m - 39 : m + 10] + words(60) for _ in range(60)]
+    df = write_stage(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string"), "fixture")
+    found = []
+    exact = suffix_dedup._unsettled
+    monkeypatch.setattr(suffix_dedup, "_unsettled", lambda *a: found.append(exact(*a)) or found[0])
+    got = {(r.doc_id, r.start_word, r.end_word) for r in suffix_dedup.repeated_passages(df).collect()}
+    assert got == {(0, 50, 102), (1, 30, 82)}
+    assert found[0].count() > 0
+
+
 def test_similar_documents(docs):
     got = jaccard_join.join_similar(docs).collect()
     assert len(got) == len(rows())
