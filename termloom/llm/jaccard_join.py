@@ -135,11 +135,12 @@ def join_similar(
     recall: float = RECALL,
     hashes: int = HASHES,
 ) -> DataFrame:
-    """(id, text_key, class_id, n_links, n_words>0 as has_words) of every document.
+    """(id, text_key, class_id, n_links, n_words>0 as has_words, class_root) of every document.
 
     Two documents are linked if the Jaccard similarity of their sets of word n-grams is at least
     ``threshold``; ``n_links`` counts the other documents linked to one, and ``class_id`` is the
-    smallest id that can be reached by links. A text of fewer than ``words`` words is one gram.
+    smallest id that can be reached by links. ``class_root`` is a text key that only the texts of one
+    class share, whatever their ids; null without words. A text of fewer than ``words`` words is one gram.
 
     Method: equal texts are joined first. MinHash values are cut into bands, chosen so that a pair at
     the threshold meets with probability ``recall``; thin rows are shuffled on band hashes. A bucket
@@ -208,7 +209,7 @@ def join_similar(
     rooted = rooted.withColumn("root", F.coalesce("root", "key"))
     lowest = rooted.groupBy("root").agg(F.min("doc").alias("class_id"))
     per_text = rooted.join(lowest, "root").select(
-        "key", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
+        "key", "root", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
     )
     has = F.size("bands") > 0
     return signed.join(per_text, "key", "left").select(
@@ -217,6 +218,7 @@ def join_similar(
         F.when(has, F.col("class_id")).otherwise(F.col("doc")).alias("class_id"),
         F.when(has, F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links"),
         has.alias("has_words"),
+        F.when(has, F.col("root")).alias("class_root"),
     )
 
 
@@ -257,13 +259,15 @@ def close_classes(edges: DataFrame) -> DataFrame:
 def keep_one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``docs`` with one document of each class: that with the smallest id. Texts without words stay.
 
-    Rows are matched by id and text. Of rows that are equal in both one is kept. A class of null ids
-    keeps one of its rows.
+    Classes are told apart by their root, as texts without links may share an id or have none. A null id
+    is chosen only if the class has no other; of several texts with the id that of the smallest key is
+    kept. Rows are matched by id and text; of rows that are equal in both one is kept.
     """
     joined = join_similar(docs, id_column, text_column).filter("has_words")
-    keep = joined.filter(F.col(id_column).eqNullSafe(F.col("class_id"))).groupBy("class_id").agg(F.min("text_key").alias("text_key"))
+    first = F.min(F.struct(F.col(id_column).isNull().alias("none"), F.col(id_column).alias("id"), F.col("text_key").alias("text")))
+    keep = joined.groupBy("class_root").agg(first.alias("first"))
     key, mine, theirs = fresh(docs, "keep_key", "keep_id", "keep_text_key")
-    keep = write_stage(keep.select(F.col("class_id").alias(mine), F.col("text_key").alias(theirs)), "keep")
+    keep = write_stage(keep.select(F.col("first.id").alias(mine), F.col("first.text").alias(theirs)), "keep")
     rows = docs.withColumn(key, text_key(text_column))
     same = [rows[id_column].eqNullSafe(keep[mine]), rows[key] == keep[theirs]]
     kept = rows.join(keep, same, "left_semi").dropDuplicates([id_column, key]).drop(key)

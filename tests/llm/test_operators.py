@@ -217,6 +217,16 @@ def test_similar_documents(docs):
     assert sorted(r.doc_id for r in kept.filter("doc_id is not null").collect()) == [0, 1, 2, 3, 4, 5, 8, 10, 11, 12]
 
 
+def test_one_of_each_class_with_clashing_ids(spark):
+    """Unrelated texts without ids, and one id on two different texts, are classes of their own."""
+    text = lambda w: " ".join(f"{w}{i}" for i in range(30))
+    made = [(None, text("a")), (None, text("b")), (None, text("b") + " more"), (None, text("c")), (None, text("c")),
+            (7, text("d")), (7, text("e")), (8, text("e")), (None, text("e")), (9, "")]
+    df = write_stage(spark.createDataFrame(made, "doc_id long, text string").repartition(3), "fixture")
+    got = Counter((r.doc_id, r.text.split(" ")[0][:1]) for r in jaccard_join.keep_one_of_each(df).collect())
+    assert got == Counter([(None, "a"), (None, "b"), (None, "c"), (7, "d"), (7, "e"), (9, "")])
+
+
 def test_large_near_group_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK", 16)
     base = [f"b{i}" for i in range(100)]
