@@ -40,16 +40,23 @@ def _has_word(line: Column) -> Column:
     return F.btrim(line, F.lit(BLANK)) != ""
 
 
-def site_lines(pages: DataFrame, site: Column, lines: Column, max_ratio: float, min_pages: int) -> DataFrame:
+def site_lines(
+    pages: DataFrame, site: Column, lines: Column, max_ratio: float, min_pages: int, once: Column | None = None
+) -> DataFrame:
     """(site, pages, common): page total and codes of the common lines of every site.
 
-    A page counts once for a line that it repeats. A site has at most (mean lines of a page) /
+    A page counts once for a line that it repeats. With ``once``, the pages of a site that are equal in
+    it are one page, in the total as well. A site has at most (mean lines of a page) /
     ``max_ratio`` common lines, so the array is small however large the site. All counts are
     combined in the tasks before they are shuffled, so a large site is many small partial sums.
     """
-    totals = write_stage(pages.groupBy(site.alias("site")).agg(F.count("*").alias("pages")), "sites")
     codes = F.array_distinct(F.transform(F.filter(lines, _has_word), _code))
-    counts = pages.select(site.alias("site"), F.explode(codes).alias("code")).groupBy("site", "code").count()
+    held = pages.select(site.alias("site"), codes.alias("codes"))
+    if once is not None:
+        single = pages.select(site.alias("site"), once.alias("once"), codes.alias("codes")).groupBy("site", "once")
+        held = write_stage(single.agg(F.first("codes").alias("codes")).drop("once"), "texts")
+    totals = write_stage(held.groupBy("site").agg(F.count("*").alias("pages")), "sites")
+    counts = held.select("site", F.explode("codes").alias("code")).groupBy("site", "code").count()
     frequent = counts.filter(F.col("count") >= min_pages)
     # Only common lines meet in one row of their site; rare ones are filtered before.
     common = join_groups(frequent, totals, ["site"]).filter(F.col("count") > max_ratio * F.col("pages"))
@@ -64,6 +71,7 @@ def drop_common_lines(
     lines: Column,
     max_ratio: float = MAX_RATIO,
     min_pages: int = MIN_PAGES,
+    once: Column | None = None,
 ) -> tuple[DataFrame, dict[str, str]]:
     """``pages`` with the lines that are left, and the names of the added columns by meaning.
 
@@ -73,7 +81,7 @@ def drop_common_lines(
     """
     names = ("site", "pages", "common", "lines", "kept_lines")
     at = dict(zip(names, fresh(pages, *(f"line_{n}" for n in names))))
-    common = site_lines(pages, site, lines, max_ratio, min_pages)
+    common = site_lines(pages, site, lines, max_ratio, min_pages, once)
     staged = pages.withColumns({at["site"]: site, at["lines"]: lines})
     joined = join_groups(
         staged, common.withColumnsRenamed({n: at[n] for n in ("site", "pages", "common")}), [at["site"]]
@@ -97,7 +105,13 @@ def page_report(pages: DataFrame) -> DataFrame:
 
 
 def drop_lines_of_documents(docs: DataFrame, text_column: str = "text", site_column: str = "source") -> DataFrame:
-    """``docs`` without the common lines of their source; null texts stay null, no row is dropped."""
-    done, at = drop_common_lines(docs, F.col(site_column), text_lines(F.col(text_column)))
-    left = F.when(F.col(text_column).isNotNull(), F.concat_ws("\n", at["kept_lines"]))
+    """``docs`` without the common lines of their source; null texts stay null, no row is dropped.
+
+    A line counts once for every different text of the source, so a group of copies does not make its
+    own lines common; one copy of it is left to the stage that removes near copies.
+    """
+    text = F.col(text_column)
+    once = F.md5(F.coalesce(text, F.lit("")))
+    done, at = drop_common_lines(docs, F.col(site_column), text_lines(text), once=once)
+    left = F.when(text.isNotNull(), F.concat_ws("\n", at["kept_lines"]))
     return done.withColumn(text_column, left).select(*docs.columns)

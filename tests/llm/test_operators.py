@@ -258,6 +258,16 @@ def test_lines_of_documents_keep_columns(docs):
     assert {r.doc_id: r.text for r in done.collect()}[4] == LONG
 
 
+def test_copies_keep_their_lines_until_near_copies_go(spark):
+    copied = "\n".join(f"copied line {i} of one text" for i in range(9))
+    made = [(i, copied, "s") for i in range(15)] + [(20 + i, f"menu\nown text {i} of its document", "s") for i in range(30)]
+    df = write_stage(spark.createDataFrame(made, "doc_id long, text string, source string"), "fixture")
+    done = write_stage(line_dedup.drop_lines_of_documents(df), "lines")
+    texts = {r.doc_id: r.text for r in done.collect()}
+    assert all(texts[i] == copied for i in range(15)) and texts[20] == "own text 0 of its document"
+    assert {r.doc_id for r in jaccard_join.keep_one_of_each(done).collect() if r.doc_id < 20} == {0}
+
+
 def exact_neighbours(vectors, queries, k):
     out = {}
     for q in queries:
