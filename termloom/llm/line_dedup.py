@@ -11,6 +11,8 @@ from termloom.plans.staging import write_stage
 # A line is dropped if more than this part of its site's pages hold it, and at least so many pages.
 MAX_RATIO = 0.1
 MIN_PAGES = 5
+# Of the texts of a source the ratio alone decides: a line of one text is no repetition.
+MIN_TEXTS = 2
 BLANK = " \t\n\x0b\f\r"
 HIDDEN = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->"
 INLINE = r"(?i)</?(?:a|b|i|u|em|strong|span|small|sup|sub|code)(?:\s[^>]*)?>"
@@ -112,6 +114,6 @@ def drop_lines_of_documents(docs: DataFrame, text_column: str = "text", site_col
     """
     text = F.col(text_column)
     once = F.md5(F.coalesce(text, F.lit("")))
-    done, at = drop_common_lines(docs, F.col(site_column), text_lines(text), once=once)
+    done, at = drop_common_lines(docs, F.col(site_column), text_lines(text), min_pages=MIN_TEXTS, once=once)
     left = F.when(text.isNotNull(), F.concat_ws("\n", at["kept_lines"]))
     return done.withColumn(text_column, left).select(*docs.columns)

@@ -268,6 +268,13 @@ def test_copies_keep_their_lines_until_near_copies_go(spark):
     assert {r.doc_id for r in jaccard_join.keep_one_of_each(done).collect() if r.doc_id < 20} == {0}
 
 
+def test_ratio_decides_in_small_sources(spark):
+    made = [(i, f"menu\nown text {i}", f"s{n}") for n in (1, 2, 4) for i in range(n)]
+    df = spark.createDataFrame(made, "doc_id long, text string, source string")
+    got = {(r.source, r.doc_id): r.text for r in line_dedup.drop_lines_of_documents(df).collect()}
+    assert got == {(s, i): t if s == "s1" else f"own text {i}" for i, t, s in made}
+
+
 def exact_neighbours(vectors, queries, k):
     out = {}
     for q in queries:
