@@ -167,10 +167,48 @@ SELECT doc_id, CASE WHEN len(d.ws) > 0 THEN class_id ELSE doc_id END AS class_id
 FROM d LEFT JOIN t ON d.key = t.key LEFT JOIN classes c ON d.key = c.key LEFT JOIN links l ON d.key = l.key
 """
 
+_DIVERGENCE = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text
+  FROM documents
+), t AS (
+  SELECT rid, lang, source, translate(
+    unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'
+  ) AS term FROM d
+), k AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT rid) >= 3),
+c AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM t SEMI JOIN k USING (lang, term) GROUP BY lang, source, term),
+g AS (SELECT DISTINCT lang, source FROM d),
+vocab AS (SELECT lang, count(*)::HUGEINT AS v FROM k GROUP BY lang),
+sums AS (SELECT lang, source, sum(n)::HUGEINT AS total FROM c GROUP BY lang, source),
+p AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+    1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (coalesce(s.total, 0) + v.v) AS p
+  FROM g JOIN k ON g.lang = k.lang JOIN vocab v ON g.lang = v.lang
+  LEFT JOIN sums s ON g.lang = s.lang AND g.source = s.source
+  LEFT JOIN c ON g.lang = c.lang AND g.source = c.source AND k.term = c.term
+), q AS (
+  SELECT lang, term, 1 + (1000000000::HUGEINT * (sum(n)::HUGEINT + 1)) // (sum(sum(n)) OVER (PARTITION BY lang)::HUGEINT + any_value(v.v)) AS q
+  FROM c JOIN vocab v USING (lang) GROUP BY lang, term
+), far AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source
+), pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(far.value, 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN far ON far.lang = a.lang AND far.source = a.source AND far.item = b.source
+), terms AS (
+  SELECT p.lang, p.source, 'term' AS part, p.term AS item, (((p.p - q.q) * (p.p - q.q)) // q.q)::BIGINT AS value
+  FROM p JOIN q ON p.lang = q.lang AND p.term = q.term WHERE p.n > 0 AND p.p > q.q
+)
+SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (FROM pairs UNION ALL FROM terms)
+QUALIFY part = 'pair' OR rank <= 200
+"""
+
 ORACLES = {
     "op3_quality_rules": _QUALITY,
     "op4_mix_sources": _MIX,
     "op5_suffix_dedup": _SUFFIX,
     "op7_line_dedup": _LINES,
     "op9_jaccard_join": _JACCARD,
+    "op11_source_divergence": _DIVERGENCE,
 }

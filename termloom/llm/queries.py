@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from termloom.llm.ann import nearest
 from termloom.llm.common import table
+from termloom.llm.divergence import source_divergence
 from termloom.llm.jaccard_join import join_similar
 from termloom.llm.license_scan import scan_licenses
 from termloom.llm.line_dedup import page_report
@@ -74,6 +75,10 @@ def pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path(), keep_ids=False)
 
 
+def divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_license_scan": license_scan,
     "op2_reshard": reshard_documents,
@@ -85,4 +90,5 @@ QUERIES = {
     "op8_training_order": training_order,
     "op9_jaccard_join": jaccard_join,
     "op10_pack_sequences": pack_sequences,
+    "op11_source_divergence": divergence_audit,
 }
