@@ -204,6 +204,51 @@ SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC
 QUALIFY part = 'pair' OR rank <= 200
 """
 
+# Places 1 to 9 of each step list are a byte and eight shifts of the checksum's register.
+_TRIE = r"""
+WITH o AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, '')) AS pos,
+    count(*) OVER (PARTITION BY conv_id) AS n
+  FROM conversations WHERE conv_id IS NOT NULL
+), ids AS (
+  SELECT DISTINCT conv_id, n, conv_id - conv_id % 20 AS base,
+    xor(list_reduce(
+      list_concat([4294967295::BIGINT], flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda x: list_concat([ascii(x)::BIGINT], [-1, -1, -1, -1, -1, -1, -1, -1])))),
+      lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END
+    ), 4294967295) % 4 AS h
+  FROM o
+), c AS (
+  SELECT i.*, least(i.h, coalesce(b.n, 0)) AS m FROM ids i LEFT JOIN ids b ON i.base = b.conv_id
+), r AS (
+  SELECT c.conv_id, o.pos AS depth, role, text FROM c JOIN o ON o.conv_id = c.base AND o.pos <= c.m
+  UNION ALL SELECT c.conv_id, o.pos - c.h + c.m, role, text FROM c JOIN o ON o.conv_id = c.conv_id AND o.pos > c.h
+), said AS (
+  SELECT conv_id, depth, text, md5(length(role) || ':' || role || text) AS t FROM r
+), path AS (
+  SELECT conv_id, depth, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words,
+    string_agg(t, '') OVER (PARTITION BY conv_id ORDER BY depth ROWS UNBOUNDED PRECEDING) AS node
+  FROM said
+  UNION ALL SELECT conv_id, 0, 0, '' FROM c
+), ends AS (
+  SELECT node, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS ends_sha256
+  FROM (SELECT conv_id, max_by(node, depth) AS node FROM path GROUP BY conv_id) GROUP BY node
+), nodes AS (
+  SELECT node, depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * min(words) AS saved FROM path GROUP BY node, depth
+), children AS (
+  SELECT left(node, length(node) - 32) AS node, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1
+), full_nodes AS (
+  SELECT nodes.*, coalesce(children.n, 0) AS n_children FROM nodes LEFT JOIN children ON nodes.node = children.node
+), sums AS (
+  SELECT path.node, sum(f.saved) AS saved_tokens, count(*) FILTER (f.n_children = 0) AS n_leaves
+  FROM full_nodes f JOIN path ON path.conv_id = f.conv_id AND path.depth <= f.depth GROUP BY path.node
+)
+SELECT f.conv_id, f.depth, p.conv_id AS parent_conv_id, f.n_convs, f.n_children, sums.n_leaves,
+  sums.saved_tokens::BIGINT AS saved_tokens, coalesce(ends.ends_sha256, sha256('')) AS ends_sha256
+FROM full_nodes f JOIN sums ON f.node = sums.node LEFT JOIN ends ON f.node = ends.node
+LEFT JOIN nodes p ON f.depth > 0 AND p.node = left(f.node, length(f.node) - 32)
+"""
+
 ORACLES = {
     "op3_quality_rules": _QUALITY,
     "op4_mix_sources": _MIX,
@@ -211,4 +256,5 @@ ORACLES = {
     "op7_line_dedup": _LINES,
     "op9_jaccard_join": _JACCARD,
     "op11_source_divergence": _DIVERGENCE,
+    "op12_prefix_trie": _TRIE,
 }

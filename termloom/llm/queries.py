@@ -14,10 +14,12 @@ from termloom.llm.line_dedup import page_report
 from termloom.llm.mixing import mix_report
 from termloom.llm.oracles import ORACLES as ORACLES
 from termloom.llm.packing import pack
+from termloom.llm.prefix_trie import numbered_turns, prefix_trie, with_shared_heads
 from termloom.llm.quality import quality_report
 from termloom.llm.reshard import reshard
 from termloom.llm.suffix_dedup import repeated_passages
 from termloom.llm.training_order import training_report
+from termloom.plans.staging import write_stage
 
 OLD_SHARDS, SHARDS = 32, 40
 
@@ -79,6 +81,12 @@ def divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(table(spark, sf_dir, "documents"))
 
 
+def trie_of_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of conversations that start with turns of the first conversation of their twenty."""
+    turns = write_stage(numbered_turns(table(spark, sf_dir, "conversations")), "turns")
+    return prefix_trie(*with_shared_heads(turns))
+
+
 QUERIES = {
     "op1_license_scan": license_scan,
     "op2_reshard": reshard_documents,
@@ -91,4 +99,5 @@ QUERIES = {
     "op9_jaccard_join": jaccard_join,
     "op10_pack_sequences": pack_sequences,
     "op11_source_divergence": divergence_audit,
+    "op12_prefix_trie": trie_of_conversations,
 }
