@@ -18,6 +18,7 @@ from termloom.llm.prefix_trie import numbered_turns, prefix_trie, with_shared_he
 from termloom.llm.quality import quality_report
 from termloom.llm.reshard import reshard
 from termloom.llm.suffix_dedup import repeated_passages
+from termloom.llm.toxicity import toxicity_report
 from termloom.llm.training_order import training_report
 from termloom.plans.staging import write_stage
 
@@ -87,6 +88,10 @@ def trie_of_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(*with_shared_heads(turns))
 
 
+def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_license_scan": license_scan,
     "op2_reshard": reshard_documents,
@@ -100,4 +105,5 @@ QUERIES = {
     "op10_pack_sequences": pack_sequences,
     "op11_source_divergence": divergence_audit,
     "op12_prefix_trie": trie_of_conversations,
+    "op13_toxicity": toxicity,
 }
