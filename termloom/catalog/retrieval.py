@@ -210,7 +210,7 @@ SELECT term_no, analyzer, token, round(1.0::DOUBLE + ln(tf::DOUBLE), {PLACES}) A
 
 def vocabulary(spark: SparkSession, d: str) -> DataFrame:
     terms = number_terms(benchmark_terms(spark, d))
-    vocab = I.build_vocab(terms, terms.count()).filter(F.col("analyzer") != I.NAME)
+    vocab = I.build_vocab(I.term_frequencies(terms), terms.count()).filter(F.col("analyzer") != I.NAME)
     return vocab.select("analyzer", "token", "df", F.round("idf", PLACES).alias("idf"))
 
 

@@ -1,7 +1,7 @@
 """TF-IDF inverted index over term texts, for word and character grams and exact names.
 
 The index is three tables. ``terms`` has a row per term. ``vocab`` has a row per (analyzer,
-token) with its inverse document frequency. ``postings`` holds the weights; the list of a
+token) with a number and its inverse document frequency. ``postings`` holds the weights; the list of a
 token is cut into blocks of bounded size, so a token that occurs in every term never forms
 one row or one group.
 
@@ -15,6 +15,7 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -67,13 +68,11 @@ def _tagged(analyzer: str, tokens: Column) -> Column:
     return F.transform(tokens, lambda t: F.struct(F.lit(analyzer).alias("analyzer"), t.alias("token")))
 
 
-def _term_tokens(terms: DataFrame, distinct: bool = False) -> DataFrame:
-    """(term_no, tokens): all tokens of a term as one array, with or without repeats."""
+def _term_tokens(terms: DataFrame) -> DataFrame:
+    """(term_no, tokens): all tokens of a term as one array, with repeats."""
     text = build_text(F.col("label"), F.col("synonyms"), F.col("definition"))
     names = F.concat(F.array("label"), F.coalesce("synonyms", F.array().cast("array<string>")))
     normal = F.array_distinct(F.transform(names, normalize_name))
-    # Arrays of plain strings are made distinct by hashing; arrays of structs would not be.
-    once = F.array_distinct if distinct else (lambda tokens: tokens)
     # Tokens are named in a step of their own, so that each text is scanned once per analyzer.
     staged = terms.select("term_no", text.alias("text"), normal.alias("names")).select(
         "term_no", "names", word_tokens(F.col("text")).alias("words"), pad_words(F.col("text")).alias("padded")
@@ -81,8 +80,8 @@ def _term_tokens(terms: DataFrame, distinct: bool = False) -> DataFrame:
     return staged.select(
         "term_no",
         F.concat(
-            _tagged(WORD, once(word_unigrams_and_bigrams(F.col("words")))),
-            _tagged(CHAR, once(padded_char_ngrams(F.col("padded")))),
+            _tagged(WORD, word_unigrams_and_bigrams(F.col("words"))),
+            _tagged(CHAR, padded_char_ngrams(F.col("padded"))),
             _tagged(NAME, F.col("names")),
         ).alias("tokens"),
     )
@@ -112,16 +111,11 @@ def term_frequencies(terms: DataFrame) -> DataFrame:
     )
 
 
-def build_vocab(terms: DataFrame, n_terms: int) -> DataFrame:
-    """(analyzer, token, df, idf). A term counts a token once, so duplicates go before the shuffle."""
-    counted = (
-        _term_tokens(terms, distinct=True)
-        .select(F.explode("tokens").alias("t"))
-        .groupBy(F.col("t.analyzer").alias("analyzer"), F.col("t.token").alias("token"))
-        .agg(F.count("*").alias("df"))
-    )
+def build_vocab(counted: DataFrame, n_terms: int) -> DataFrame:
+    """(analyzer, token, df, idf) of counted (term_no, analyzer, token): a term has one row of each token."""
+    found = counted.groupBy("analyzer", "token").agg(F.count("*").alias("df"))
     idf = F.when(F.col("analyzer") == NAME, F.lit(1.0)).otherwise(smooth_idf(F.col("df"), n_terms))
-    return counted.withColumn("idf", idf)
+    return found.withColumn("idf", idf)
 
 
 def l2_normalise(weighted: DataFrame, *group: str, weight: str = "raw", name: str = "w") -> DataFrame:
@@ -130,12 +124,12 @@ def l2_normalise(weighted: DataFrame, *group: str, weight: str = "raw", name: st
     return weighted.withColumn(name, F.col(weight) / norm)
 
 
-def build_postings(terms: DataFrame, vocab: DataFrame, broadcast_vocab: bool = True) -> DataFrame:
-    """(analyzer, token, term_no, df, w): normalised weights, flat.
+def build_postings(counted: DataFrame, vocab: DataFrame, broadcast_vocab: bool = True) -> DataFrame:
+    """(analyzer, token, token_no, term_no, df, w): normalised weights, flat.
 
     A vocabulary that may not be broadcast is joined by token and salt, as a gram may be in every term.
     """
-    counted, keys = term_frequencies(terms), ["analyzer", "token"]
+    keys = ["analyzer", "token"]
     weighted = (
         (counted.join(F.broadcast(vocab), keys) if broadcast_vocab else salted_join(counted, vocab, keys, F.col("term_no"), "inner"))
         .withColumn("raw", term_frequency_weight(F.col("tf")) * F.col("idf"))
@@ -144,6 +138,7 @@ def build_postings(terms: DataFrame, vocab: DataFrame, broadcast_vocab: bool = T
     return flat.select(
         "analyzer",
         "token",
+        "token_no",
         "term_no",
         "df",
         F.when(F.col("analyzer") == NAME, F.lit(1.0)).otherwise(F.col("w")).alias("w"),
@@ -156,46 +151,53 @@ def block_count(df: Column, block_postings: int = BLOCK_POSTINGS) -> Column:
 
 
 _BLOCK_TYPE = (
-    "analyzer string, token string, block long, list array<struct<term_no:long,w:double>>, terms binary, weights binary"
+    "analyzer string, token string, token_no long, block long, list array<struct<term_no:long,w:double>>, "
+    "top double, terms binary, weights binary"
 )
 
 
 def _pack_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Order each list by falling weight, state the largest, and pack the numbers."""
     for batch in batches:
-        lists = batch.column(3)
-        rows = lists.flatten()
+        lists = batch.column(4)
+        rows, starts = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        terms, weights = (rows.field(name).to_numpy() for name in ("term_no", "w"))
+        order = np.lexsort((terms, -weights, np.repeat(np.arange(len(lists)), np.diff(starts))))
+        rows = rows.take(pa.array(order))
         # Offsets in bytes: every term number and every weight takes eight.
-        offsets = pa.array((lists.offsets.to_numpy() - lists.offsets[0].as_py()) * 8, pa.int32())
+        offsets = pa.array(starts * 8, pa.int32())
         packed = [
-            pa.Array.from_buffers(
-                pa.binary(), len(lists), [None, offsets.buffers()[1], pa.py_buffer(rows.field(name).to_numpy().tobytes())]
-            )
-            for name in ("term_no", "w")
+            pa.Array.from_buffers(pa.binary(), len(lists), [None, offsets.buffers()[1], pa.py_buffer(numbers[order].tobytes())])
+            for numbers in (terms, weights)
         ]
-        yield pa.RecordBatch.from_arrays([*batch.columns, *packed], [*batch.schema.names, "terms", "weights"])
+        ordered = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), rows)
+        tops = pa.array(weights[order][starts[:-1]])
+        yield pa.RecordBatch.from_arrays(
+            [*batch.columns[:4], ordered, tops, *packed], [*batch.schema.names, "top", "terms", "weights"]
+        )
 
 
 def block_postings(postings: DataFrame, size: int = BLOCK_POSTINGS) -> DataFrame:
     """Cut each token's list into blocks of about ``size`` terms.
 
-    A block is kept as rows in ``list`` and as packed numbers in ``terms`` and ``weights``;
-    packed blocks go through joins and Arrow as plain bytes.
+    A block is kept as rows in ``list`` and as packed numbers in ``terms`` and ``weights``, both by
+    falling weight, with its largest weight in ``top``. No list is empty.
     """
     block = F.pmod(F.col("term_no"), block_count(F.col("df"), size))
     blocks = (
         postings.withColumn("block", block)
-        .groupBy("analyzer", "token", "block")
+        .groupBy("analyzer", "token", "token_no", "block")
         .agg(F.collect_list(F.struct("term_no", "w")).alias("list"))
     )
     return blocks.mapInArrow(_pack_lists, _BLOCK_TYPE)
 
 
 def postings_shards(index: TermIndex, shard_bytes: int) -> list[DataFrame]:
-    """(analyzer, token, terms, weights) in shards of at most ``shard_bytes``, as measured.
+    """(token_no, terms, weights) in shards of at most ``shard_bytes``, as measured.
 
     Shard s of n holds the terms whose number leaves s when divided by n, counted from 0.
     """
-    columns = ("analyzer", "token", "terms", "weights")
+    columns = ("token_no", "terms", "weights")
     shards = max(1, -(-index.postings_bytes // max(1, shard_bytes)))
     if shards == 1:
         return [index.postings.select(*columns)]
@@ -208,9 +210,10 @@ def postings_shards(index: TermIndex, shard_bytes: int) -> list[DataFrame]:
                 lambda x: F.struct(F.floor(x["term_no"] / shards).cast("long").alias("term_no"), x["w"].alias("w")),
             ),
         )).alias("shard", "list")
-        parts = index.postings.select("analyzer", "token", row).filter(F.size("list") > 0)
-        packed = parts.select("analyzer", "token", F.col("shard").cast("long").alias("block"), "list").mapInArrow(_pack_lists, _BLOCK_TYPE)
-        stored = write_stage(packed.select("block", *columns), "shards")
+        parts = index.postings.select("analyzer", "token", "token_no", row).filter(F.size("list") > 0)
+        parts = parts.select("analyzer", "token", "token_no", F.col("shard").cast("long").alias("block"), "list")
+        packed = parts.mapInArrow(_pack_lists, _BLOCK_TYPE)
+        stored = write_stage(packed.select("block", "token", *columns), "shards")
         size = F.sum(F.octet_length("token") + _ROW_BYTES + F.octet_length("terms") / 8 * _POSTING_BYTES)
         largest = stored.groupBy("block").agg(size.alias("bytes")).agg(F.max("bytes")).first()[0]
         if largest <= shard_bytes or shards == index.n_terms:
@@ -226,9 +229,9 @@ def postings_rows(index: TermIndex) -> DataFrame:
 def build_index(terms: DataFrame, path: str | None = None, broadcast_bytes: int = BROADCAST_BYTES) -> TermIndex:
     """Build the index of numbered terms and write it below ``path`` (or the staging folder).
 
-    Two passes over the texts, like a fit and a transform: the first counts document
-    frequencies, the second weighs. With a small vocabulary the second pass has one shuffle of
-    texts and one of finished postings.
+    Grams are made once: the counts of (term, token) are written, document frequencies are counted
+    from them, and the second pass weighs them. Counts of a term are in one file, so with a small
+    vocabulary only the counts by term and the finished postings are shuffled again.
     """
     spark = terms.sparkSession
     if path is None:
@@ -238,8 +241,10 @@ def build_index(terms: DataFrame, path: str | None = None, broadcast_bytes: int
     n_terms = stored_terms.count()
     if n_terms == 0:
         raise ValueError("No labelled terms found")
-    vocab = write_stage(build_vocab(stored_terms, n_terms), "vocab", f"{path}/vocab")
-    blocks = block_postings(build_postings(stored_terms, vocab, _vocab_bytes(vocab) <= broadcast_bytes))
+    counted = write_stage(term_frequencies(stored_terms), "token-counts")
+    numbered = build_vocab(counted, n_terms).withColumn("token_no", F.monotonically_increasing_id())
+    vocab = write_stage(numbered, "vocab", f"{path}/vocab")
+    blocks = block_postings(build_postings(counted, vocab, _vocab_bytes(vocab) <= broadcast_bytes))
     write_stage(blocks, "postings", f"{path}/postings")
     return load_index(spark, path)
 

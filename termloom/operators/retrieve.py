@@ -12,6 +12,7 @@ from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +27,7 @@ from termloom.functions.text import (
     word_tokens,
     word_unigrams_and_bigrams,
 )
+from termloom.operators.blockmax import MARGIN, PostingShard
 from termloom.operators.index import (
     CHAR,
     NAME,
@@ -39,6 +41,8 @@ from termloom.plans.staging import BROADCAST_BYTES, broadcast_if_small, salted_j
 # Ranks compare scores at this many places, so equal texts tie whatever the order of summation.
 RANK_PLACES = 9
 SCORE_PLACES = 4
+# A shard of the postings is held by every Python worker, with a second copy by term.
+SHARD_BYTES = BROADCAST_BYTES // 4
 # Above this many query rows per token, a shuffled join spreads the rows of the token.
 SALT_ROWS = 100_000
 # Rows of blank queries, which have no key, are dealt over so many parts.
@@ -82,7 +86,7 @@ def _tagged(analyzer: str, in_value: int, tokens: Column) -> Column:
 
 
 def query_weights(asked: DataFrame, index: TermIndex, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """(qkey, analyzer, token, df, qw): folded weight of every token that the index knows.
+    """(qkey, analyzer, token, token_no, df, qw): folded weight of every token that the index knows.
 
     With a vocabulary under the limit, grams and weights of a query stay in the partition that
     ``distinct_queries`` put it in. A larger one is joined by token and salt, as a gram may be in
@@ -121,6 +125,7 @@ def query_weights(asked: DataFrame, index: TermIndex, broadcast_bytes: int = BRO
         F.count("*").alias("in_context"),
         F.max("df").alias("df"),
         F.max("idf").alias("idf"),
+        F.max("token_no").alias("token_no"),
     )
 
     def raw(count: str) -> Column:
@@ -141,7 +146,7 @@ def query_weights(asked: DataFrame, index: TermIndex, broadcast_bytes: int = BRO
     return (
         counted.withColumn("raw_value", raw("in_value"))
         .withColumn("raw_context", raw("in_context"))
-        .select("qkey", "analyzer", "token", F.coalesce("df", F.lit(1)).alias("df"), folded.alias("qw"))
+        .select("qkey", "analyzer", "token", "token_no", F.coalesce("df", F.lit(1)).alias("df"), folded.alias("qw"))
     )
 
 
@@ -202,8 +207,6 @@ def best_hits(found: DataFrame, k: int) -> DataFrame:
     return found.select("qkey", ranked.alias("hits"))
 
 
-# Dense score cells that one step of the array scoring may hold (8 bytes each).
-DENSE_CELLS = 4_000_000
 RAW_HIT_TYPE = "array<struct<term_no:bigint,score:double>>"
 HIT_TYPE = "array<struct<rank:int,score:double,term_no:bigint>>"
 
@@ -214,81 +217,40 @@ def half_up(numbers: np.ndarray, places: int) -> np.ndarray:
     return np.array([float(Decimal(repr(float(x))).quantize(unit, ROUND_HALF_UP)) for x in numbers], dtype=float)
 
 
-def _best_of(sums: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows, term numbers and scores of the best ``k`` positive cells per row, best first."""
-    width = sums.shape[1]
-    limit = np.partition(sums, width - k, axis=1)[:, width - k] if k < width else np.zeros(len(sums))
-    # Rounding can lift a cell to the k-th best only from within one unit of the last place.
-    rows, terms = np.nonzero((sums >= limit[:, None] - 2 * 10.0**-RANK_PLACES) & (sums > 0))
-    order = np.lexsort((terms, -half_up(sums[rows, terms], RANK_PLACES), rows))
-    rows, terms = rows[order], terms[order]
-    place = np.arange(len(rows)) - np.searchsorted(rows, rows)
-    kept = place < k
-    return rows[kept], terms[kept], sums[rows[kept], terms[kept]]
+def _best_of(terms: np.ndarray, sums: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Term numbers and sums of the best ``k`` positive sums, best first."""
+    limit = np.partition(sums, len(sums) - k)[len(sums) - k] if k < len(sums) else 0.0
+    # Rounding can lift a sum to the k-th best only from within one unit of the last place.
+    kept = (sums >= limit - MARGIN) & (sums > 0)
+    terms, sums = terms[kept], sums[kept]
+    order = np.lexsort((terms, -half_up(sums, RANK_PLACES)))[:k]
+    return terms[order], sums[order]
 
 
-def _hit_batch(keys: list[bytes], rows: np.ndarray, terms: np.ndarray, scores: np.ndarray) -> pa.RecordBatch:
-    starts = np.searchsorted(rows, np.arange(len(keys) + 1))
-    hits = pa.StructArray.from_arrays([pa.array(terms, pa.int64()), pa.array(scores, pa.float64())], ["term_no", "score"])
-    lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), hits)
-    return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), lists], ["qkey", "hits"])
-
-
-def _unpacked(packed: pa.BinaryArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
-    """Lengths and all numbers of a column of packed blocks; a null block is empty."""
-    offsets = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset : packed.offset + len(packed) + 1]
-    data = packed.buffers()[2]
-    numbers = np.frombuffer(data, kind, (offsets[-1] - offsets[0]) // 8, offsets[0]) if data else np.empty(0, kind)
-    return np.diff(offsets) // 8, numbers
-
-
-def _array_scorer(
-    k: int, n_terms: int, shard: int, shards: int
+def _block_search(
+    postings: Broadcast, k: int, shard: int, shards: int
 ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Sum the products of each query and keep its best terms of one shard, with raw scores.
+    """The best terms of each query (qkey, tokens, weights) in one shard, with raw scores.
 
     A shard holds the terms whose number divided by ``shards`` leaves ``shard``; its postings count them from 0.
-    Rows are (qkey, qw, terms, weights) with the rows of a query next to each other. The query at the end
-    of a batch is carried on as a vector of sums.
     """
-    n_terms = -(-(n_terms - shard) // shards)
-    step = max(1, DENSE_CELLS // n_terms)
-
-    def hits(keys: list[bytes], sums: np.ndarray) -> pa.RecordBatch:
-        rows, terms, scores = _best_of(sums, k)
-        return _hit_batch(keys, rows, terms * shards + shard, scores)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_key: bytes | None = None
-        open_sums = np.zeros(n_terms)
+        searched: PostingShard = postings.value
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            coded = batch.column(0).dictionary_encode()
-            keys, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-            lengths, terms = _unpacked(batch.column(2), np.int64)
-            _, weights = _unpacked(batch.column(3), np.float64)
-            products = weights * np.repeat(batch.column(1).to_numpy(), lengths)
-            owners = np.repeat(codes, lengths)
-            if open_key is not None and keys[0] != open_key:
-                yield hits([open_key], open_sums[None, :])
-                open_sums = np.zeros(n_terms)
-            for first in range(0, len(keys), step):
-                last = min(first + step, len(keys))
-                lo, hi = np.searchsorted(owners, [first, last])
-                cells = (owners[lo:hi] - first).astype(np.int64) * n_terms + terms[lo:hi]
-                # Without any cell, bincount would count in integers.
-                sums = np.bincount(cells, products[lo:hi], minlength=(last - first) * n_terms).astype(np.float64)
-                sums = sums.reshape(-1, n_terms)
-                if first == 0:
-                    sums[0] += open_sums
-                if last == len(keys):
-                    open_key, open_sums = keys[-1], sums[-1].copy()
-                    sums, last = sums[:-1], last - 1
-                if last > first:
-                    yield hits(keys[first:last], sums)
-        if open_key is not None:
-            yield hits([open_key], open_sums[None, :])
+            tokens, weights = batch.column(1), batch.column(2)
+            ends = tokens.offsets.to_numpy()
+            numbers, parts = tokens.values.to_numpy(), weights.values.to_numpy()
+            starts = weights.offsets.to_numpy()
+            found, sizes = [], [0]
+            for lo, hi, at in zip(ends[:-1], ends[1:], starts):
+                found.append(_best_of(*searched.search(numbers[lo:hi], parts[at : at + hi - lo], k), k))
+                sizes.append(len(found[-1][0]))
+            terms = np.concatenate([t for t, _ in found] or [np.empty(0, np.int64)]) * shards + shard
+            scores = np.concatenate([x for _, x in found] or [np.empty(0)])
+            hits = pa.StructArray.from_arrays([pa.array(terms, pa.int64()), pa.array(scores, pa.float64())], ["term_no", "score"])
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), hits)
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["qkey", "hits"])
 
     return run
 
@@ -298,36 +260,40 @@ def top_k(
     index: TermIndex,
     k: int,
     broadcast_bytes: int = BROADCAST_BYTES,
-    shard_bytes: int = BROADCAST_BYTES,
+    shard_bytes: int = SHARD_BYTES,
 ) -> DataFrame:
     """(qkey, hits): the best ``k`` terms of each query as an array of (rank, score, term_no).
 
-    The postings are cut by term number into shards that can be broadcast; an index under the limit is
-    one shard. Spark brings the tokens of a query together with the postings of a shard. The products,
-    far more than any other rows here, are summed as arrays inside the task and never become rows:
-    a shard gives the ``k`` best terms of a query with raw scores. Several shards are scored one after
-    another, so that one at a time is broadcast, over the same stored query weights.
+    The postings are cut by term number into shards of a measured size that each task can hold; an index under
+    the limit is one shard. A query is one row with its tokens; inside the task it visits posting blocks in the
+    order of their bounds and stops when no other term can be among its best. Products and sums never become
+    rows. Several shards are searched one after another over the same stored query weights, and each gives
+    the ``k`` best terms of a query with raw scores.
     """
     weights = query_weights(asked, index, broadcast_bytes)
     shards = postings_shards(index, shard_bytes)
-    if len(shards) == 1 and index.vocab_bytes <= broadcast_bytes:
-        # Rows of a query already come one after another, so the sort below states a fact and adds none.
-        return best_hits(_shard_hits(weights.select("qkey", "analyzer", "token", "qw"), shards[0], index, k, 0, 1), k)
-    per_query = weights.groupBy("qkey").agg(F.collect_list(F.struct("analyzer", "token", "qw")).alias("tokens"))
+    # Tokens that no term has, such as an unknown name, only keep the row of their query.
+    tokens = F.struct(F.coalesce("token_no", F.lit(-1)).alias("token_no"), "qw")
+    per_query = weights.groupBy("qkey").agg(F.collect_list(tokens).alias("t")).select(
+        "qkey", F.col("t.token_no").alias("tokens"), F.col("t.qw").alias("weights")
+    )
+    if len(shards) == 1:
+        return best_hits(_shard_hits(per_query, shards[0], index, k, 0, 1), k)
     per_query = write_stage(per_query, "query-weights")
-    rows = per_query.select("qkey", F.inline("tokens"))
     found = None
     for shard, postings in enumerate(shards):
-        part = write_stage(_shard_hits(rows, postings, index, k, shard, len(shards)), "shard-hits")
+        part = write_stage(_shard_hits(per_query, postings, index, k, shard, len(shards)), "shard-hits")
         found = part if found is None else found.unionByName(part)
     merged = found.groupBy("qkey").agg(F.flatten(F.collect_list("hits")).alias("hits"))
     return best_hits(merged, k)
 
 
-def _shard_hits(rows: DataFrame, postings: DataFrame, index: TermIndex, k: int, shard: int, shards: int) -> DataFrame:
-    listed = rows.join(F.broadcast(postings), ["analyzer", "token"], "left")
-    ordered = listed.select("qkey", "qw", "terms", "weights").sortWithinPartitions("qkey")
-    return ordered.mapInArrow(_array_scorer(k, index.n_terms, shard, shards), f"qkey binary, hits {RAW_HIT_TYPE}")
+def _shard_hits(per_query: DataFrame, postings: DataFrame, index: TermIndex, k: int, shard: int, shards: int) -> DataFrame:
+    # At most ``shard_bytes`` pass through the driver, as they do for any broadcast.
+    blocks = postings.toArrow().combine_chunks().to_batches()
+    held = PostingShard.of(blocks, -(-(index.n_terms - shard) // shards))
+    shared = per_query.sparkSession.sparkContext.broadcast(held)
+    return per_query.mapInArrow(_block_search(shared, k, shard, shards), f"qkey binary, hits {RAW_HIT_TYPE}")
 
 
 def fill_zero_scores(hits: Column, k: int, n_terms: int) -> Column:
@@ -354,7 +320,7 @@ def retrieve_distinct(
     index: TermIndex,
     k: int = 5,
     broadcast_bytes: int = BROADCAST_BYTES,
-    shard_bytes: int = BROADCAST_BYTES,
+    shard_bytes: int = SHARD_BYTES,
 ) -> DataFrame:
     """(qkey, hits) for each distinct non-blank (query, field)."""
     best = top_k(distinct_queries(queries), index, k, broadcast_bytes, shard_bytes)
@@ -379,7 +345,7 @@ def retrieve(
     index: TermIndex,
     k: int = 5,
     broadcast_bytes: int = BROADCAST_BYTES,
-    shard_bytes: int = BROADCAST_BYTES,
+    shard_bytes: int = SHARD_BYTES,
     salt_rows: int = SALT_ROWS,
 ) -> DataFrame:
     """Every input row with its ``candidates``; blank queries get an empty array.
