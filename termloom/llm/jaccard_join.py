@@ -266,10 +266,11 @@ def keep_one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: st
     joined = join_similar(docs, id_column, text_column).filter("has_words")
     first = F.min(F.struct(F.col(id_column).isNull().alias("none"), F.col(id_column).alias("id"), F.col("text_key").alias("text")))
     keep = joined.groupBy("class_root").agg(first.alias("first"))
-    key, mine, theirs = fresh(docs, "keep_key", "keep_id", "keep_text_key")
-    keep = write_stage(keep.select(F.col("first.id").alias(mine), F.col("first.text").alias(theirs)), "keep")
-    rows = docs.withColumn(key, text_key(text_column))
-    same = [rows[id_column].eqNullSafe(keep[mine]), rows[key] == keep[theirs]]
-    kept = rows.join(keep, same, "left_semi").dropDuplicates([id_column, key]).drop(key)
+    (key,) = fresh(docs, "keep_key")
+    both = lambda doc, text: F.concat(text, F.coalesce(doc.cast("string"), F.lit("-")))
+    keep = write_stage(keep.select(both(F.col("first.id"), F.col("first.text")).alias(key)), "keep")
+    # One column holds id and text key, so that the join and the removal of equal rows share one shuffle.
+    rows = docs.withColumn(key, both(F.col(id_column), text_key(text_column)))
+    kept = rows.join(keep, key, "left_semi").dropDuplicates([key]).select(docs.columns)
     blank = docs.filter(F.coalesce(F.regexp_replace(text_column, r"[\x20\x09-\x0D]+", ""), F.lit("")) == "")
     return kept.unionByName(blank)
