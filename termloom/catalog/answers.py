@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.catalog.common import table
+from termloom.catalog.common import sql_strip, table
 from termloom.functions import fixed_values as V
 from termloom.operators import canonical as C
 from termloom.operators import index as I
@@ -171,14 +171,22 @@ def parsed(spark: SparkSession, d: str) -> DataFrame:
         F.col("doc_id").alias("conv_id"), F.lit(-1).cast("long").alias("turn"), F.concat(F.lit("["), F.col("text")).alias("raw_response")
     )
     read = R.parse_responses(rows.unionByName(texts))
-    return read.select("conv_id", "turn", F.when(F.col("turn") >= 0, F.col("json")).alias("json"),
-                       F.when(F.col("turn") >= 0, F.col("error").isNotNull()).alias("failed"))
-
-
-PARSED = """
-SELECT conv_id, turn, CASE WHEN role = 'system' THEN '[' || turn || ']' ELSE '{"conv": ' || conv_id || ', "turn": [' || turn || ']}' END AS json,
-       false AS failed FROM conversations
-UNION ALL SELECT doc_id, -1, NULL, NULL FROM documents
+    return read.select("conv_id", "turn", "json", "error")
+
+
+PARSED = f"""
+WITH raw AS (
+  SELECT conv_id, turn, CASE WHEN role = 'system' THEN '[' || turn || ']' ELSE '{{"conv": ' || conv_id || ', "turn": [' || turn || ']}}' END AS json
+  FROM conversations
+), texts AS (SELECT doc_id, {sql_strip("'[' || text")} AS t FROM documents),
+spans AS (
+  SELECT doc_id, t, CASE WHEN contains(t, '{{') THEN regexp_extract(t, '(?s)[{{].*[}}]') END AS o, regexp_extract(t, '(?s)\\[.*\\]') AS l
+  FROM texts
+)
+SELECT conv_id, turn, json, NULL AS error FROM raw
+UNION ALL
+SELECT doc_id, -1, json, CASE WHEN t IS NULL THEN 'No response' WHEN json IS NULL THEN '{R.NO_JSON}' END FROM (
+  SELECT doc_id, t, CASE WHEN json_valid(t) THEN t WHEN o <> '' AND json_valid(o) THEN o WHEN l <> '' AND json_valid(l) THEN l END AS json FROM spans)
 """
 
 

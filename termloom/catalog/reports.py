@@ -369,9 +369,9 @@ FENCES = f"SELECT doc_id, md5({sql_strip('text')}) AS text_md5 FROM documents"
 
 
 def audit_rows(conversations: DataFrame) -> DataFrame:
-    """Responses with as many list members as the turn number; user turns are cut off."""
+    """Responses with a list of the line's text and as many members as the turn number; user turns are cut off."""
     member = F.when(F.col("role") == "system", "annotations").otherwise("concepts")
-    objects = F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), F.col("turn")), lambda i: F.concat(F.lit('{"i": '), i.cast("string"), F.lit("}"))), ", ")
+    objects = F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), F.col("turn")), lambda i: F.when(i == 0, F.to_json(F.struct("text"))).otherwise(F.concat(F.lit('{"i": '), i.cast("string"), F.lit("}")))), ", ")
     tail = F.when(F.col("role") == "user", ', {"i": ').otherwise("]}")
     return conversations.select(
         "conv_id", "turn", F.when(F.col("role") == "system", "grounding").otherwise("extraction").alias("pass"),
@@ -399,7 +399,7 @@ audit AS (
   SELECT conv_id, turn, role, CASE WHEN role = 'system' THEN 'grounding' ELSE 'extraction' END AS pass, role <> 'user' AS json_valid,
          role = 'user' AS truncated, CASE WHEN role <> 'user' THEN turn + 1 END AS parsed_items, turn + 1 AS complete_partial_objects,
          role <> 'user' AS closing_present,
-         least(100, CASE WHEN role = 'system' THEN 17 ELSE 14 END + (turn + 1) * 8 + turn * 2 + CASE WHEN role = 'user' THEN 7 ELSE 2 END) AS tail_length
+         least(100, CASE WHEN role = 'system' THEN 17 ELSE 14 END + length(to_json({'text': text})::VARCHAR) + turn * 10 + CASE WHEN role = 'user' THEN 7 ELSE 2 END) AS tail_length
   FROM conversations)
 """
 AUDITED = f"""

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from termloom.functions.text import strip_fence
-from termloom.operators.responses import plain_response_shape
+from termloom.operators.responses import plain_list_size
 from termloom.operators.summary import join_groups
 from termloom.plans.staging import shuffle_width, write_stage
 
@@ -39,30 +39,32 @@ def occurrence_number(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     return found.select(*df.columns, (F.col("__start") + F.col("__within")).alias(name))
 
 
-# What matters for the nesting of JSON: strings as a whole, and brackets.
-_MARKS = re.compile(r'"(?:[^"\\]|\\.)*+"|[{}\[\]]', re.DOTALL)
-
-
-def _first_object(text: str) -> str | None:
-    """The object with which ``text`` begins, up to the bracket that closes it."""
-    depth = 0
-    for mark in _MARKS.finditer(text):
-        depth += {"{": 1, "[": 1, "}": -1, "]": -1}.get(mark[0], 0)
-        if depth == 0:
-            return text[: mark.end()]
-    return None
+# What matters for the nesting of JSON: strings as a whole, or up to the end of a text that is cut off, and brackets.
+_MARKS = re.compile(r'"(?:[^"\\]|\\.)*+"?|[{}\[\]]', re.DOTALL)
+_STEP = {"{": 1, "[": 1, "}": -1, "]": -1}
 
 
 def _complete_objects(text: str | None, member: str) -> int:
-    """How many objects in a row are whole and valid where the list ``member`` begins; commas are optional."""
-    _, opened, rest = (re.split(rf'("{re.escape(member)}"\s*:\s*\[)', text or "", maxsplit=1) + ["", ""])[:3]
-    count = 0
-    while opened and (rest := rest.lstrip(" \r\n\t,")).startswith("{") and (whole := _first_object(rest)):
-        try:
-            json.loads(whole)
-        except (ValueError, RecursionError):
-            break
-        count, rest = count + 1, rest[len(whole) :]
+    """How many objects in a row are whole and valid where the list ``member`` begins; commas are optional.
+
+    One pass over the marks: the depth says where an object ends, and the next one goes on from there.
+    """
+    opened = re.search(rf'"{re.escape(member)}"\s*:\s*\[', text or "")
+    count = depth = begin = 0
+    end = opened.end() if opened else 0
+    for mark in _MARKS.finditer(text, end) if opened else ():
+        if depth == 0:
+            if mark[0] != "{" or text[end : mark.start()].strip(" \r\n\t,"):
+                break
+            begin = mark.start()
+        depth += _STEP.get(mark[0], 0)
+        if depth == 0:
+            end = mark.end()
+            try:
+                json.loads(text[begin:end])
+            except (ValueError, RecursionError):
+                break
+            count += 1
     return count
 
 
@@ -80,14 +82,14 @@ def audit_response(responses: DataFrame) -> DataFrame:
     """Audit columns for ``pass`` (``extraction`` or ``grounding``), ``text``, ``finish_reason``."""
     member = F.when(F.col("pass") == "extraction", "concepts").otherwise("annotations")
     cleaned = responses.withColumn("__clean", strip_fence(F.col("text"))).withColumn("__member", member)
-    shaped = cleaned.withColumn("__shape", plain_response_shape(F.col("__clean"), F.col("__member")))
+    shaped = cleaned.withColumn("__shape", plain_list_size(F.col("__clean"), F.col("__member")))
     shape = F.col("__shape")
     partial = complete_partial_objects(F.col("__clean"), F.col("__member"))
     return shaped.select(
         *responses.columns,
         shape["json_valid"].alias("json_valid"),
         (F.coalesce("finish_reason", F.lit("")) == "length").alias("truncated"),
-        F.when(shape["is_list"], F.size(shape["items"])).alias("parsed_items"),
+        shape["size"].alias("parsed_items"),
         partial.alias("complete_partial_objects"),
         closing_present(F.col("__clean")).alias("closing_present"),
         F.right(F.col("__clean"), F.lit(AUDIT_TAIL_CHARS)).alias("response_tail"),
