@@ -1,24 +1,27 @@
-"""XML sample records of any nesting depth, plain or gzip, with or without a namespace prefix.
+"""XML sample records of any nesting depth, plain or gzip, whatever their namespace prefix.
 
-Spark's text source splits files at the end tag of a record, so a plain file is read by many
-tasks. Each chunk is parsed on its own, in Arrow batches, into key/value entries in document
-order; merging and sorting are the same column expressions as for every other source.
+A plain file is read by many tasks. Whether a split starts in a comment, a CDATA section, a tag or a record is
+composed over the splits before it, so record bounds are right wherever Spark cuts the file, and a file
+that ends inside a record is an error. Each record is parsed on its own, in Arrow batches, into key/value
+entries in document order; merging and sorting are the same column expressions as for every other source.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 from xml.parsers import expat
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from termloom.functions.text import blank_to_null
 from termloom.operators.canonical import canonicalise_entries
-from termloom.plans.staging import shuffle_width
+from termloom.plans.staging import shuffle_width, write_stage
+from termloom.sources.splits import runs, split_pieces, start_states
 
 # Structural paths and attributes with a name of their own.
 TEXT_ALIASES = {
@@ -119,44 +122,157 @@ def _parse(text: str) -> ElementTree.Element:
     return builder.close()
 
 
-def _record_texts(chunk: str, tag: str, start: re.Pattern[str]) -> Iterator[str]:
-    """Records of a chunk that ended at a record's end tag: self-closing ones, then the last."""
-    place = 0
-    while match := start.search(chunk, place):
-        if match.group(1):
-            yield match.group(0)
-            place = match.end()
+# Where a scan may be: in text, in markup without elements, or in a tag, which may be inside a quoted value.
+_STOPS = {"comment": "-->", "cdata": "]]>", "pi": "?>"}
+_TAGS = ("start", "end", "other")
+STATES = ("text", *_STOPS, "declaration", "subset", *(f"{t}{q}" for t in _TAGS for q in ("", '"', "'")))
+_OPENING = re.compile(r"<!--|<!\[CDATA\[|<\?|<!|<(/?)([^\s/>]+)")
+_NAMED = {"<!--": "comment", "<![CDATA[": "cdata", "<?": "pi", "<!": "declaration"}
+_BOUNDS = {"declaration": re.compile(r"[\[>]"), "subset": re.compile(r"\]")}
+_AFTER = {"[": "subset", ">": "text", "]": "declaration"}
+_IN_TAG = re.compile(r"[\"'>]")
+
+
+def scan(state: str, text: str, local: str) -> tuple[str, list[tuple[int, int]]]:
+    """The state after a piece, and (+1 or -1, place) where a ``local`` element begins or has ended."""
+    events, at = [], 0
+    while at < len(text):
+        if state == "text":
+            if not (found := _OPENING.search(text, at)):
+                break
+            state = _NAMED.get(found[0], "other")
+            if found[2] and found[2].rpartition(":")[2] == local:
+                state = "end" if found[1] else "start"
+                if state == "start":
+                    events.append((1, found.start()))
+            at = found.end()
+            continue
+        if state in _STOPS or state[-1] in "\"'":
+            mark = _STOPS.get(state, state[-1])
+            if (place := text.find(mark, at)) < 0:
+                break
+            at, state = place + len(mark), "text" if state in _STOPS else state[:-1]
+            continue
+        if not (found := _BOUNDS.get(state, _IN_TAG).search(text, at)):
+            break
+        at = found.end()
+        if state in _BOUNDS:
+            state = _AFTER[found[0]]
+        elif found[0] != ">":
+            state += found[0]
         else:
-            yield f"{chunk[match.start():]}</{tag}>"
-            return
+            if state == "end" or (state == "start" and text[found.start() - 1 : found.start()] == "/"):
+                events.append((-1, at))
+            state = "text"
+    return state, events
+
+
+_SEPARATOR = "</"
+_TEXTS = "source_file string, split long, n long, begins boolean, ends boolean, text string"
+
+
+def _record_texts(local: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The texts of the outermost ``local`` elements of each split; those that reach over an end of it in parts."""
+
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (file, split), rows in runs(batches):
+            out, size, n = [], 0, 0
+            state = depth = last = None
+            held: list[str] | None = None
+            begins = True
+            for row, (value, first, counts, last) in enumerate(rows):
+                if state is None:
+                    state, depth = first, counts[0]
+                    held, begins = ([], False) if depth else (None, True)
+                piece, start = _SEPARATOR + value if row or split else value, 0
+                state, events = scan(state, piece, local)
+                for change, place in events:
+                    if change > 0 and depth == 0:
+                        held, begins, start = [], True, place
+                    depth += change
+                    if depth < 0:
+                        raise ValueError(f"{file}: an end tag of {local} without a start")
+                    if change < 0 and depth == 0:
+                        out.append((file, split, n, begins, True, "".join(held) + piece[start:place]))
+                        size, n, held = size + len(out[-1][-1]), n + 1, None
+                if held is not None:
+                    held.append(piece[start:])
+                if size > 4 << 20:
+                    yield _batch(out)
+                    out, size = [], 0
+            if held is not None:
+                out.append((file, split, n, begins, False, "".join(held)))
+            if last and (depth or state != "text"):
+                raise ValueError(f"{file} ends inside {f'an element {local}' if depth else 'markup'}")
+            yield _batch(out)
+
+    return texts
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    types = [pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.string()]
+    columns = zip(*rows) if rows else [()] * len(types)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], [k.split(" ")[0] for k in _TEXTS.split(", ")])
+
+
+def _stitched(parts: DataFrame) -> DataFrame:
+    """Whole texts of records that lie in several splits: at most two parts of each split meet."""
+    number = F.sum(F.col("begins").cast("long")).over(Window.partitionBy("source_file").orderBy("split", "n"))
+    part = F.struct("split", "n", "text")
+    found = parts.withColumn("record", number).groupBy("source_file", "record").agg(F.sort_array(F.collect_list(part)).alias("p"))
+    first = F.get("p", F.lit(0))
+    return found.select("source_file", first["split"].alias("split"), first["n"].alias("n"), F.array_join("p.text", "").alias("text"))
+
+
+def _records(element: ElementTree.Element, local: str) -> Iterator[ElementTree.Element]:
+    """Records inside an element, then the element; an inner record is none of the outer one's entries."""
+    for child in list(element):
+        yield from (found for found in _records(child, local) if found is not child)
+        if _local(child.tag) == local:
+            yield child
+            element.remove(child)
+    yield element
 
 
 def read_xml_records(spark: SparkSession, path: str, tag: str) -> DataFrame:
     """Canonical records of every ``tag`` element: source_file, source_order, accession, metadata.
 
-    ``tag`` is written as in the file, with its prefix if there is one. A gzip file cannot be
-    split, so its chunks are spread after reading.
+    Elements are found by their local name, so a prefix in ``tag`` or in the file does not matter; tags in comments
+    and CDATA sections are text. A record inside a record is one of its own, before the outer one, which
+    does not have its entries. ``source_order`` rises within a file, and ``source_suborder`` within an outer
+    record. A file that ends inside a record or a tag, or has an end tag too many, fails the job. A gzip file
+    cannot be split, so its records are spread after reading.
     """
-    start = re.compile(rf"<{re.escape(tag)}(?:\s+[^\s=>]+\s*=\s*(?:\"[^\"]*\"|'[^']*'))*\s*(/?)>")
+    local = tag.rpartition(":")[2]
+
+    def transition(state: str, piece: str) -> tuple[str, list[int]]:
+        after, events = scan(state, piece, local)
+        return after, [sum(change for change, _ in events)]
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for file, order, chunk in zip(pdf["source_file"], pdf["source_order"], pdf["value"]):
-                for n, text in enumerate(_record_texts(chunk, tag, start)):
-                    record = _parse(text)
+            for file, order, text in zip(pdf["source_file"], pdf["source_order"], pdf["text"]):
+                for n, record in enumerate(_records(_parse(text), local)):
                     entries = [{"key": k, "value": v} for k, v in record_entries(record) if v is not None]
                     rows.append((file, order, n, record.get("accession"), entries))
             yield pd.DataFrame(rows, columns=["source_file", "source_order", "n", "given", "raw"])
 
-    chunks = spark.read.option("lineSep", f"</{tag}>").text(path).select(
-        F.col("_metadata.file_path").alias("source_file"),
-        F.monotonically_increasing_id().alias("source_order"),
-        "value",
-    )
-    if any(file.endswith(".gz") for file in chunks.inputFiles()):  # such a file is one task
-        chunks = chunks.repartition(shuffle_width(spark))
-    parsed = chunks.mapInPandas(
+    pieces = split_pieces(spark, path, _SEPARATOR)
+    starts = start_states(pieces, _SEPARATOR, STATES, transition, 1)
+    # One row for each split of the input, so the rows of a split stay in order beside it.
+    placed = pieces.join(F.broadcast(starts), ["source_file", "split"])
+    texts = placed.select("source_file", "split", "value", "state", "counts", "is_last").mapInArrow(_record_texts(local), _TEXTS)
+    if starts.filter("split > 0").isEmpty():
+        texts = texts.select("source_file", "split", "n", "text")
+    else:
+        texts = write_stage(texts, "xml-records")
+        columns = ["source_file", "split", "n", "text"]
+        texts = texts.filter("begins AND ends").select(columns).unionByName(_stitched(texts.filter("NOT (begins AND ends)")))
+    texts = texts.select("source_file", (F.col("split") + F.col("n")).alias("source_order"), "text")
+    if any(file.endswith(".gz") for file in pieces.inputFiles()):  # such a file is one task
+        texts = texts.repartition(shuffle_width(spark))
+    parsed = texts.mapInPandas(
         parse,
         "source_file string, source_order long, n int, given string, raw array<struct<key:string,value:string>>",
     )

@@ -19,7 +19,7 @@ from termloom.plans.enrich import annotate, enrich
 
 HIT = "struct<rank:int,score:double,id:string,label:string,synonyms:array<string>,definition:string,parents:array<string>,iri:string>"
 BUNDLES = f"array<struct<concept_index:int,concept:struct<source_field:string>,candidates:array<{HIT}>>>"
-CAT = (1, 1.5, "NCBITaxon:9685", "Felis catus", ["cat"], "A domestic\n cat.", [], "t/1")
+GRANITE = (1, 1.5, "ROCK:412", "Granitum album", ["granite"], "A pale\n stone.", [], "t/1")
 
 
 @pytest.mark.parametrize(
@@ -35,14 +35,14 @@ CAT = (1, 1.5, "NCBITaxon:9685", "Felis catus", ["cat"], "A domestic\n cat.", []
         ('{"c":[]} trailing', "stop", (False, None, False, False)),
         ('{"c":[],"c":[]}', "stop", (True, True, True, False)),
         ('[1]', "stop", (True, False, False, False)),
-        ('{"c":[["host","x","y"]]}', "stop", (True, True, True, False)),
+        ('{"c":[["outcrop","x","y"]]}', "stop", (True, True, True, False)),
         ('{"c":[["unknown","x","y"]]}', "stop", (True, False, False, False)),
-        ('{"c":[["host","","y"]]}', "stop", (True, False, False, False)),
-        ('{"c":[["host","x",1]]}', "stop", (True, False, False, False)),
+        ('{"c":[["outcrop","","y"]]}', "stop", (True, False, False, False)),
+        ('{"c":[["outcrop","x",1]]}', "stop", (True, False, False, False)),
     ],
 )
 def test_extraction_check(spark, raw, finish, want):
-    df = spark.createDataFrame([("extraction", raw, finish, ["host"], [])],
+    df = spark.createDataFrame([("extraction", raw, finish, ["outcrop"], [])],
                                "stage string, raw_response string, finish_reason string, fields array<string>, candidate_counts array<int>")
     row = R.check_responses(df).first()
     assert (row.json_valid, row.schema_valid, row.accepted, row.truncated) == want
@@ -51,15 +51,15 @@ def test_extraction_check(spark, raw, finish, want):
 
 def test_selections(spark):
     cases = ['{"s":[0]}', '{"s":[null]}', '{"s":[-1]}', '{"s":[1]}', '{"s":[4]}', '{"s":[true]}', '{"s":[0.0]}',
-             '{"s":["NCBITaxon:9685"]}', '{"s":[]}', '{"t":[0]}']
-    df = spark.createDataFrame([(raw, [(0, ("host",), [CAT])]) for raw in cases], f"raw string, bundles {BUNDLES}")
+             '{"s":["ROCK:412"]}', '{"s":[]}', '{"t":[0]}']
+    df = spark.createDataFrame([(raw, [(0, ("outcrop",), [GRANITE])]) for raw in cases], f"raw string, bundles {BUNDLES}")
     shaped = df.withColumn("shape", R.response_shape(F.col("raw"), F.lit("s")))
     rows = shaped.select("raw", R.reconstruct_annotations(F.col("shape"), F.col("bundles")).alias("a"),
                          R.annotations_error(F.col("shape"), F.col("bundles")).alias("error"),
                          R.grounding_errors(F.col("shape"), F.array(F.lit(1))).alias("errors")).collect()
     found = {r.raw: r for r in rows}
     first = found['{"s":[0]}'].a[0]
-    assert (first.status, first.ontology_id, first.label, first.retrieval_score) == ("matched", "NCBITaxon:9685", "Felis catus", 1.5)
+    assert (first.status, first.ontology_id, first.label, first.retrieval_score) == ("matched", "ROCK:412", "Granitum album", 1.5)
     assert found['{"s":[null]}'].a[0].reason == V.REASON_NOT_SELECTED
     for raw in cases[2:8]:
         assert found[raw].a[0].status == "unresolved" and found[raw].a[0].ontology_id is None
@@ -71,37 +71,37 @@ def test_selections(spark):
 
 
 def test_prompt_has_one_short_definition_and_no_ids(spark):
-    hits = [CAT[:5] + ("", [], "t/0"), CAT, CAT] + [CAT] * 4
-    df = spark.createDataFrame([({"host": "cat", "x": " n/a "}, [(0, ("host",), hits)])], f"metadata map<string,string>, bundles {BUNDLES}")
+    hits = [GRANITE[:5] + ("", [], "t/0"), GRANITE, GRANITE] + [GRANITE] * 4
+    df = spark.createDataFrame([({"outcrop": "granite", "x": " n/a "}, [(0, ("outcrop",), hits)])], f"metadata map<string,string>, bundles {BUNDLES}")
     text = df.select(P.grounding_prompt(F.col("metadata"), F.col("bundles"))).first()[0]
     head, payload = text.split(V.GROUNDING_PROMPT_MIDDLE)
-    assert head == "Original metadata:\nhost=cat" and "NCBITaxon" not in payload
+    assert head == "Original metadata:\noutcrop=granite" and "ROCK" not in payload
     candidates = json.loads(payload)[0]["candidates"]
     assert [c["index"] for c in candidates] == [0, 1, 2, 3, 4]
-    assert [c.get("definition") for c in candidates] == [None, "A domestic cat.", None, None, None]
+    assert [c.get("definition") for c in candidates] == [None, "A pale stone.", None, None, None]
     schema = df.select(P.grounding_schema(F.col("bundles"))).first()[0]
     assert json.loads(schema)["properties"]["s"]["prefixItems"] == [{"enum": [None, "0", "1", "2", "3", "4"]}] or (
         json.loads(schema)["properties"]["s"]["prefixItems"] == [{"enum": [None, 0, 1, 2, 3, 4]}])
 
 
 RECORDS = [
-    ("good", {"host": "cat", "novel": "x"}), ("none", {"host": "cat"}), ("empty", {}), ("cut", {"host": "cat"}),
-    ("bad_index", {"host": "cat"}), ("unknown", {"host": "cat"}), ("blank", {"host": "cat"}), ("silent", {"host": "cat"}),
+    ("good", {"outcrop": "granite", "novel": "x"}), ("none", {"outcrop": "granite"}), ("empty", {}), ("cut", {"outcrop": "granite"}),
+    ("bad_index", {"outcrop": "granite"}), ("unknown", {"outcrop": "granite"}), ("blank", {"outcrop": "granite"}), ("silent", {"outcrop": "granite"}),
 ]
 ANSWERS = {
-    "good": ('{"c":[["host","organism","domestic cat"]]}', "stop", '{"s":[0]}'),
+    "good": ('{"c":[["outcrop","rock type","white granite"]]}', "stop", '{"s":[0]}'),
     "none": ('{"c":[]}', "stop", None),
     "cut": ('{"c":[]}', "length", None),
-    "bad_index": ('{"c":[["host","organism","cat"]]}', "stop", '{"s":[8]}'),
-    "unknown": ('{"c":[["nope","organism","cat"]]}', "stop", None),
-    "blank": ('{"c":[["host"," ","cat"]]}', "stop", None),
+    "bad_index": ('{"c":[["outcrop","rock type","granite"]]}', "stop", '{"s":[8]}'),
+    "unknown": ('{"c":[["nope","rock type","granite"]]}', "stop", None),
+    "blank": ('{"c":[["outcrop"," ","granite"]]}', "stop", None),
 }
 
 
 @pytest.fixture(scope="module")
 def results(spark):
-    terms = spark.createDataFrame([("NCBITaxon:9685", "t/1", "Felis catus", ["cat", "domestic cat"], "", []),
-                                   ("NCBITaxon:9606", "t/2", "Homo sapiens", ["human"], "", [])], TERM_SCHEMA)
+    terms = spark.createDataFrame([("ROCK:412", "t/1", "Granitum album", ["granite", "white granite"], "", []),
+                                   ("ROCK:7", "t/2", "Basaltum nigrum", ["basalt"], "", [])], TERM_SCHEMA)
     index = I.build_index(number_terms(terms))
     replies = [(k, "extraction", a, f, 10, 5, 2.0) for k, (a, f, _) in ANSWERS.items()]
     replies += [(k, "grounding", g, "stop", 10, 5, 3.0) for k, (_, _, g) in ANSWERS.items() if g]
@@ -117,9 +117,9 @@ def test_enrichment_flow(results):
     good = rows["good"]
     concept = good.concepts[0]
     assert (good.status, concept.raw_value, concept.evidence, concept.annotation.ontology_id) == (
-        "completed", "cat", "host=cat", "NCBITaxon:9685")
+        "completed", "granite", "outcrop=granite", "ROCK:412")
     assert good.diagnostics.extraction.accepted and good.diagnostics.grounding.accepted
-    assert good.metadata == {"host": "cat", "novel": "x"} and good.diagnostics.record_wall_seconds == 5.0
+    assert good.metadata == {"outcrop": "granite", "novel": "x"} and good.diagnostics.record_wall_seconds == 5.0
     assert rows["none"].status == "completed" and not rows["none"].diagnostics.grounding.attempted
     assert rows["none"].debug.grounding_raw == '{"s":[]}'
     assert rows["empty"].error == V.SKIP_EMPTY_METADATA and not rows["empty"].diagnostics.extraction.attempted
