@@ -75,7 +75,7 @@ def jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"), tokenizer_path(), keep_ids=False)
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path(), keep_ids=False, cache_words=600_000)
 
 
 def divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
