@@ -290,6 +290,47 @@ def id_frequency(spark: SparkSession, d: str) -> DataFrame:
 ID_FREQUENCY = "SELECT 'PART:' || l_partkey AS ontology_id, count(*) AS annotations FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1"
 
 
+def _line_results(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as results with metadata; the raw value of a line's concept is its order's priority, or that of no order."""
+    status = F.when(F.col("l_returnflag") == "A", "matched").when(F.col("l_returnflag") == "R", "unresolved")
+    concept = F.struct(
+        F.when(F.col("l_linestatus") == "F", "priority").otherwise("no_field").alias("source_field"),
+        F.when(F.col("l_linenumber") == 7, "other").otherwise(F.col("o_orderpriority")).alias("raw_value"),
+        F.when(status.isNotNull(), F.struct(status.alias("status"), F.col("l_partkey").cast("string").alias("ontology_id"))).alias("annotation"),
+    )
+    orders = table(spark, d, "orders").select("o_orderkey", "o_orderpriority")
+    lines = table(spark, d, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    return lines.groupBy(F.col("o_orderkey").alias("rec_id"), "o_orderpriority").agg(F.collect_list(F.struct("l_linenumber", concept.alias("c"))).alias("l")).select(
+        "rec_id", F.create_map(F.lit("priority"), F.col("o_orderpriority")).alias("metadata"), F.array_sort("l")["c"].alias("concepts")
+    )
+
+
+def result_counts(spark: SparkSession, d: str) -> DataFrame:
+    return S.result_counts(_line_results(spark, d), "priority")
+
+
+RESULT_COUNTS = """
+WITH l AS (SELECT * FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+SELECT 'status' AS measure, CASE l_returnflag WHEN 'A' THEN 'matched' WHEN 'R' THEN 'unresolved' END AS value, count(*) AS n FROM l GROUP BY 2
+UNION ALL SELECT 'ontology_id', l_partkey::VARCHAR, count(*) FROM l WHERE l_returnflag = 'A' GROUP BY 2
+UNION ALL SELECT 'priority', o_orderpriority, count(DISTINCT o_orderkey) FROM l GROUP BY 2
+"""
+
+
+def value_mismatches(spark: SparkSession, d: str) -> DataFrame:
+    return S.source_value_mismatches(_line_results(spark, d))
+
+
+VALUE_MISMATCHES = """
+SELECT rec_id, row_number() OVER (PARTITION BY rec_id ORDER BY l_linenumber, source_field, raw_value) - 1 AS concept_index, * EXCLUDE (rec_id, l_linenumber) FROM (
+  SELECT o_orderkey AS rec_id, l_linenumber, CASE WHEN l_linestatus = 'F' THEN 'priority' ELSE 'no_field' END AS source_field,
+    CASE WHEN l_linenumber = 7 THEN 'other' ELSE o_orderpriority END AS raw_value,
+    CASE WHEN l_linestatus = 'F' THEN o_orderpriority END AS source_value
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+QUALIFY raw_value IS DISTINCT FROM source_value
+"""
+
+
 def throughput(spark: SparkSession, d: str) -> DataFrame:
     seconds = F.when(F.col("processed_records") > 0, F.col("record_wall_seconds"))
     rolled = S.record_rollup(order_results(spark, d)).select(
@@ -502,6 +543,19 @@ SELECT round(avg(ordered::INT), 6) AS fixed_agreement, round(avg(bag::INT), 6) A
 """
 
 
+def acceptance_records(spark: SparkSession, d: str) -> DataFrame:
+    a, b = _run(spark, d, "quality"), _run(spark, d, "toxic")
+    matched = b.filter("status = 'matched'")
+    return A.acceptance_records(A.ordered_parity(a, b), A.multiset_parity(a, b), a, matched)
+
+
+ACCEPTANCE_RECORDS = f"""
+WITH {_RUNS}
+SELECT rec_id, bool_and(quality = toxic) AS fixed_parity, sum(quality) = sum(toxic) AS end_to_end_parity,
+       count(*) AS extracted_concepts, count(*) FILTER (toxic = 1) AS reference_concepts FROM l GROUP BY 1
+"""
+
+
 def complete_records(spark: SparkSession, d: str) -> DataFrame:
     return A.complete_records(_run(spark, d, "quality"), _counts(spark, d))
 
@@ -563,6 +617,8 @@ QUERIES = {
     "concept_count_statistics": concept_statistics,
     "annotation_rollup": annotation_rollup,
     "id_frequency": id_frequency,
+    "result_counts": result_counts,
+    "source_value_mismatches": value_mismatches,
     "throughput": throughput,
     "run_throughput": run_throughput,
     "telemetry_rollup": telemetry,
@@ -577,6 +633,7 @@ QUERIES = {
     "ordered_parity": ordered_parity,
     "multiset_parity": multiset_parity,
     "acceptance_gate": acceptance,
+    "acceptance_records": acceptance_records,
     "complete_records": complete_records,
     "rejected_ids": rejected,
     "candidate_membership": outside,
@@ -596,6 +653,8 @@ ORACLES = {
     "concept_count_statistics": CONCEPT_STATISTICS,
     "annotation_rollup": ANNOTATION_ROLLUP,
     "id_frequency": ID_FREQUENCY,
+    "result_counts": RESULT_COUNTS,
+    "source_value_mismatches": VALUE_MISMATCHES,
     "throughput": THROUGHPUT,
     "run_throughput": RUN_THROUGHPUT,
     "telemetry_rollup": TELEMETRY,
@@ -610,6 +669,7 @@ ORACLES = {
     "ordered_parity": ORDERED,
     "multiset_parity": MULTISET,
     "acceptance_gate": ACCEPTANCE,
+    "acceptance_records": ACCEPTANCE_RECORDS,
     "complete_records": COMPLETE,
     "rejected_ids": "SELECT count(*) FILTER (l_returnflag = 'R') AS rejected_ids FROM lineitem",
     "candidate_membership": OUTSIDE,

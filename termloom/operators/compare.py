@@ -204,6 +204,24 @@ def acceptance_gate(fixed: DataFrame, end_to_end: DataFrame) -> DataFrame:
     )
 
 
+def acceptance_records(fixed: DataFrame, end_to_end: DataFrame, extracted: DataFrame, reference: DataFrame) -> DataFrame:
+    """The lists behind the gate, one row per record of either side.
+
+    (rec_id, fixed_parity, end_to_end_parity, extracted_concepts, reference_concepts); ``extracted`` and ``reference``
+    have one row per concept, and a record without any has 0. A record that a parity table lacks has null there.
+    """
+    def counts(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy("rec_id").agg(F.count("*").alias(name))
+
+    parities = fixed.select("rec_id", F.col("parity").alias("fixed_parity")).join(
+        end_to_end.select("rec_id", F.col("parity").alias("end_to_end_parity")), "rec_id", "full"
+    )
+    joined = parities.join(counts(extracted, "extracted_concepts"), "rec_id", "full").join(
+        counts(reference, "reference_concepts"), "rec_id", "full"
+    )
+    return joined.na.fill(0, ["extracted_concepts", "reference_concepts"])
+
+
 def complete_records(annotations: DataFrame, concept_counts: DataFrame) -> DataFrame:
     """(rec_id, complete): do the annotation indexes cover every concept?"""
     found = concept_counts.join(annotations.select("rec_id", "concept_index").distinct(), "rec_id", "left")

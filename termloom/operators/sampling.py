@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
 import random
 from collections.abc import Sequence
 from urllib.parse import unquote
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,7 +16,8 @@ from termloom.operators.canonical import at_least_fields, canonicalise
 from termloom.plans.staging import broadcast_if_small, shuffle_width, write_stage
 
 # Hexadecimal digits of a hash range; at most 65,536 counts reach the driver.
-_BUCKET_HEX = 4
+# So many rows around the end of a sample may be sorted in one task.
+SORTED_ROWS = 200_000
 
 
 def dense_number(df: DataFrame, order: Sequence[str], name: str, stage: str = "numbered") -> DataFrame:
@@ -63,29 +66,54 @@ def sample_key(seed: int, *key_columns: str) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in key_columns]))
 
 
+# The hash order is cut by its first 52 bits.
+_HASH_HEX = 13
+
+
+def _cut(share: float) -> str:
+    """The smallest hash text that lies above ``share`` of all hashes."""
+    return format(min(max(int(share * 16**_HASH_HEX), 0), 16**_HASH_HEX - 1), f"0{_HASH_HEX}x") if share < 1 else "g"
+
+
+def _cuts(keyed: DataFrame, n: int, total: int) -> tuple[str, str, int, int]:
+    """(low, high, rows below low, rows below high): hash texts around the n-th smallest hash.
+
+    Hashes are even, so the number of rows below a hash strays from its mean by few roots of it; the margin is
+    seven of them, and doubles in the rare case, such as one key on many rows, that it does not hold.
+    """
+    margin = 7 * math.sqrt(n) + 30
+    while True:
+        low, high = _cut((n - margin) / total), _cut((n + margin) / total)
+        below, upto = keyed.agg(F.count_if(F.col("__hash") < low), F.count_if(F.col("__hash") < high)).first()
+        if below <= n <= upto or (margin > total and upto >= n):
+            return (low, high, below, upto) if below <= n else ("", high, 0, upto)
+        margin *= 2
+
+
 def hash_sample(df: DataFrame, n: int, seed: int, key_columns: Sequence[str]) -> DataFrame:
     """Uniform sample of ``n`` rows: the ``n`` smallest hashes of the row keys, in no order.
 
-    Counts per hash range find the range that holds the n-th smallest hash. All lower ranges are
-    kept whole; only that one, a 65,536th of the table, is numbered over range partitions.
+    The row count gives two hashes between which the n-th smallest lies: all rows below the lower one
+    are kept, and of the few rows between them the smallest. So a sample takes the row count, one
+    pass over the keys, and one over the rows. Rows between the two that are many, as one key may be on a great part
+    of all rows, are numbered over range partitions.
     """
     if n < 0:
         raise ValueError("The sample size must not be negative")
+    total = df.count()
+    if total <= n:
+        return df
+    if n == 0:
+        return df.limit(0)
     keyed = df.withColumn("__hash", sample_key(seed, *key_columns))
+    low, high, below, upto = _cuts(keyed, n, total)
+    between = keyed.filter((F.col("__hash") >= low) & (F.col("__hash") < high))
     order = ["__hash", *key_columns]
-    bucket = F.substring("__hash", 1, _BUCKET_HEX)
-    counts = keyed.groupBy(bucket.alias("bucket")).count().orderBy("bucket").collect()
-    kept, cut = 0, None
-    for row in counts:
-        if kept + row["count"] > n:
-            cut = row["bucket"]
-            break
-        kept += row["count"]
-    if cut is None:
-        return keyed.drop("__hash")
-    whole = keyed.filter(bucket < cut)
-    part = dense_number(keyed.filter(bucket == cut), order, "__no").filter(F.col("__no") < n - kept).drop("__no")
-    return whole.union(part).drop("__hash")
+    if upto - below <= SORTED_ROWS:
+        part = between.orderBy(*order).limit(n - below)
+    else:
+        part = dense_number(between, order, "__no").filter(F.col("__no") < n - below).drop("__no")
+    return keyed.filter(F.col("__hash") < low).union(part).drop("__hash")
 
 
 def _file_starts(spark: SparkSession, paths: Sequence[str]) -> tuple[list[str], np.ndarray, int]:
@@ -131,6 +159,17 @@ def source_sample(
     return hash_sample(source_position(spark, path, name), n, seed, key_columns).orderBy(name)
 
 
+def first_rows(df: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` rows: by file, split and place for a table read from files, else by partition and place."""
+    place = [F.monotonically_increasing_id().alias("__place")]
+    try:
+        keyed = df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__split"), *place)
+    except AnalysisException:
+        keyed = df.select("*", *place)
+    order = [c for c in ("__file", "__split", "__place") if c in keyed.columns]
+    return keyed.orderBy(*order).limit(n).drop(*order)
+
+
 def sample_records(
     df: DataFrame, n: int, seed: int, key_columns: Sequence[str], min_nonempty_fields: int = 0
 ) -> DataFrame:

@@ -257,6 +257,39 @@ def id_frequency(annotations: DataFrame) -> DataFrame:
     )
 
 
+def result_counts(results: DataFrame, field: str = "isolation_source") -> DataFrame:
+    """(measure, value, n) over enrichment results, in one pass.
+
+    Concepts by ``status`` (null without an annotation), matched concepts by ``ontology_id``, and records by the value
+    of metadata key ``field``, which is left out where a record has none. Only counts pass the shuffle.
+    """
+    def counted(measure: str, value: Column) -> Column:
+        return F.struct(F.lit(measure).alias("measure"), value.cast("string").alias("value"))
+
+    notes = F.transform("concepts", lambda c: c["annotation"])
+    matched = F.filter(notes, lambda a: F.coalesce(a["status"] == "matched", F.lit(False)))
+    own = F.try_element_at("metadata", F.lit(field))
+    values = F.concat(
+        F.transform(notes, lambda a: counted("status", a["status"])),
+        F.transform(matched, lambda a: counted("ontology_id", a["ontology_id"])),
+        F.array_compact(F.array(F.when(own.isNotNull(), counted(field, own)))),
+    )
+    return results.select(F.inline(values)).groupBy("measure", "value").agg(F.count("*").alias("n"))
+
+
+def source_value_mismatches(results: DataFrame) -> DataFrame:
+    """Concepts whose raw value is not the metadata value of their source field; expected to be empty.
+
+    (rec_id, concept_index, source_field, raw_value, source_value); a missing field or value counts as different from any text.
+    """
+    rows = results.select("rec_id", "metadata", F.posexplode("concepts").alias("concept_index", "c"))
+    found = rows.select(
+        "rec_id", "concept_index", F.col("c.source_field").alias("source_field"), F.col("c.raw_value").alias("raw_value"),
+        F.try_element_at("metadata", F.col("c.source_field")).alias("source_value"),
+    )
+    return found.filter(~F.col("raw_value").eqNullSafe(F.col("source_value")))
+
+
 def run_throughput(calls: DataFrame) -> DataFrame:
     """Tokens, rates and length stops per run over one row per call."""
     counted = calls.groupBy("run_id").agg(

@@ -18,6 +18,7 @@ from termloom.operators import responses as R
 from termloom.operators.canonical import fields_to_metadata
 from termloom.operators.index import TermIndex
 from termloom.operators.retrieve import retrieve_for_concepts
+from termloom.operators.sampling import first_rows
 from termloom.plans.staging import write_stage
 
 Ask = Callable[[DataFrame], DataFrame]
@@ -235,9 +236,9 @@ def annotate_table(
     include_candidates: bool = False,
     debug: bool = False,
 ) -> DataFrame:
-    """Annotate the rows of an all-text table, using only ``fields``; ``limit`` 0 means all."""
-    # A limit keeps no particular rows, so the kept ones are fixed before several stages read them.
-    chosen = write_stage(df.limit(limit), "limited") if limit else df
+    """Annotate the rows of an all-text table, using only ``fields``; ``limit`` keeps the first rows, 0 means all."""
+    # The kept rows are fixed before several stages read them.
+    chosen = write_stage(first_rows(df, limit), "limited") if limit else df
     names = list(fields) if fields else [c for c in df.columns if c != id_column]
     records = fields_to_metadata(chosen, names, keep=[id_column]).select(
         F.col(id_column).cast("string").alias("rec_id"), F.lit(None).cast("string").alias("accession"), "metadata"

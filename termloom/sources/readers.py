@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from termloom.functions.fixed_values import TSV_NULL_WORDS
 from termloom.operators.canonical import select_fields
+from termloom.operators.sampling import first_rows
 
 
 def read_parquet_records(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
@@ -38,7 +39,7 @@ def read_tsv_records(
             for c in chosen.columns
         ]
     )
-    return cleaned.limit(limit) if limit else cleaned
+    return first_rows(cleaned, limit) if limit else cleaned
 
 
 def read_jsonl_records(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
