@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from termloom.catalog import answers, reports
 from termloom.catalog.common import scratch, table
 from termloom.operators.responses import replay
-from termloom.streaming.jobs import stream_audit, stream_enrich, stream_summary
+from termloom.streaming.jobs import stream_audit, stream_enrich, stream_run_summary, stream_summary
 
 PARTS = 3
 
@@ -45,9 +46,20 @@ def summary(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(output)
 
 
-QUERIES = {"stream_audit": audit, "stream_enrich": enrichment, "stream_summary": summary}
+def run_summary(spark: SparkSession, d: str) -> DataFrame:
+    """The whole summary as it stands after the last of three batches."""
+    results = reports.order_results(spark, d)
+    population = results.agg(F.count("*").alias("population_records")).select(F.lit("all").alias("method"), "population_records")
+    output, checkpoint, state = (scratch(spark, f"stream-run-{n}") for n in ("summary", "checkpoint", "state"))
+    writer = stream_run_summary(_as_stream(spark, results, "rec_id"), state, checkpoint, lambda s: s.write.mode("overwrite").parquet(output), population)
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return reports.flat_summary(spark.read.parquet(output))
+
+
+QUERIES = {"stream_audit": audit, "stream_enrich": enrichment, "stream_summary": summary, "stream_run_summary": run_summary}
 ORACLES = {
     "stream_audit": reports.AUDITED,
     "stream_enrich": answers.ENRICHED,
     "stream_summary": f"SELECT *, 'running' AS run_status FROM ({reports.RECORD_ROLLUP})",
+    "stream_run_summary": reports.RUN_SUMMARY,
 }

@@ -7,10 +7,12 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
+from termloom.catalog import reports
 from termloom.operators import compare as A
 from termloom.operators import sampling as P
 from termloom.operators import summary as S
 from termloom.sources.readers import read_tsv_records
+from termloom.streaming.jobs import stream_run_summary
 
 
 def test_limit_keeps_the_first_rows(spark, tmp_path):
@@ -67,3 +69,26 @@ def test_acceptance_records_of_all_sides(spark):
     concepts = lambda ids: spark.createDataFrame([(i,) for i in ids], "rec_id string")
     got = A.acceptance_records(parity([("a", True), ("b", False)]), parity([("a", True)]), concepts("aab"), concepts("ac"))
     assert {tuple(r) for r in got.collect()} == {("a", True, True, 2, 1), ("b", False, None, 1, 0), ("c", None, None, 0, 1)}
+
+
+def test_running_summary_counts_a_replayed_batch_once(spark, tmp_path):
+    results = reports.order_results(spark, "/root/testdata/sf0.001")
+    kept = []
+    halves = [results.filter("cast(rec_id as int) % 2 = 0"), results.filter("cast(rec_id as int) % 2 = 1")]
+
+    class Stream:  # stands for a stream: calls the function that the writer is given
+        def __init__(self, df):
+            self.writeStream = self
+
+        def option(self, *_):
+            return self
+
+        def foreachBatch(self, save):  # noqa: N802
+            for batch_id in (0, 1, 1):
+                save(halves[batch_id], batch_id)
+
+    drawn = spark.createDataFrame([("all", 9)], "method string, population_records long")
+    publish = lambda s: kept.append(reports.flat_summary(s).collect())
+    stream_run_summary(Stream(results), str(tmp_path / "state"), "", publish, drawn)
+    want = reports.flat_summary(S.run_summary(results, drawn)).collect()
+    assert len(kept) == 3 and kept[1] == kept[2] == want and kept[0] != want
