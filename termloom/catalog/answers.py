@@ -16,6 +16,7 @@ from termloom.operators import prompts as P
 from termloom.operators import responses as R
 from termloom.operators.ontology import number_terms
 from termloom.plans import enrich as E
+from termloom.plans.staging import spread
 
 
 def extraction_prompts(spark: SparkSession, d: str) -> DataFrame:
@@ -202,7 +203,8 @@ def _event_responses(spark: SparkSession, d: str) -> DataFrame:
         .otherwise(F.concat(F.lit('```json\n{"s":['), k, F.lit("]}\n```")))
     )
     finish = F.element_at(F.array(F.lit("stop"), F.lit("length"), F.lit("abort")), (F.pmod("user_id", F.lit(3)) + 1).cast("int"))
-    return table(spark, d, "events").select(
+    events = table(spark, d, "events").select("event_id", "user_id", "event_type", "props")
+    return spread(events, "event_id").select(
         "event_id",
         F.when(kind.isin("click", "view"), "extraction").otherwise("grounding").alias("stage"),
         raw.alias("raw_response"),
@@ -278,7 +280,9 @@ def rebuilt_annotations(spark: SparkSession, d: str) -> DataFrame:
     selection = F.when(F.col("l_returnflag") == "R", "null").when(F.col("l_returnflag") == "A", F.concat((F.col("l_linenumber") - 1).cast("string"))).otherwise(
         F.concat((F.col("l_linenumber") - 1).cast("string"), F.lit(".0"))
     )
-    rows = table(spark, d, "lineitem").select(
+    # The table is one row group, which one task would read and work on alone.
+    lines = spread(table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_returnflag", "l_discount"), "l_orderkey")
+    rows = lines.select(
         "l_orderkey", "l_partkey", "l_linenumber",
         F.array(F.struct(F.lit(0).alias("concept_index"), F.array(*candidate).alias("candidates"))).alias("bundles"),
         F.concat(F.lit('{"s":['), selection, F.lit("]}")).alias("raw"),
