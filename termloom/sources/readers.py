@@ -7,9 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.functions.fixed_values import TSV_NULL_WORDS
-from termloom.operators.canonical import select_fields
-from termloom.operators.sampling import first_rows
+from termloom.sources.tsv import read_tsv_records as read_tsv_records
 
 
 def read_parquet_records(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
@@ -17,31 +15,6 @@ def read_parquet_records(spark: SparkSession, path: str | Sequence[str]) -> Data
     return spark.read.parquet(*([path] if isinstance(path, str) else path))
 
 
-def read_tsv_records(
-    spark: SparkSession, path: str, fields: Sequence[str] | None = None, limit: int = 0
-) -> DataFrame:
-    """All-text TSV; empty cells and the usual null words read as empty text."""
-    raw = (
-        spark.read.option("sep", "\t")
-        .option("header", True)
-        .option("inferSchema", False)
-        .option("multiLine", False)
-        .option("quote", '"')
-        .option("escape", '"')
-        .csv(path)
-    )
-    chosen = select_fields(raw, fields or raw.columns)
-    cleaned = chosen.select(
-        *[
-            F.when(F.col(f"`{c}`").isNull() | F.col(f"`{c}`").isin(*TSV_NULL_WORDS), "")
-            .otherwise(F.col(f"`{c}`"))
-            .alias(c)
-            for c in chosen.columns
-        ]
-    )
-    return first_rows(cleaned, limit) if limit else cleaned
-
-
 def read_jsonl_records(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """One JSON object per line. A schema avoids the inference pass over the data."""
     reader = spark.read.option("mode", "FAILFAST")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from termloom.plans.staging import write_stage
@@ -84,3 +84,15 @@ def start_states(pieces: DataFrame, separator: str, states: tuple[str, ...], sca
         return pa.table([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
 
     return write_stage(moves.groupBy("source_file").applyInArrow(compose, kinds), "starts")
+
+
+def stitched(parts: DataFrame, *first: str) -> DataFrame:
+    """Whole texts of records that lie in several splits: at most two parts of each split meet.
+
+    ``parts`` has (source_file, split, n, begins, text); a record has the place and the columns ``first`` of its first part.
+    """
+    number = F.sum(F.col("begins").cast("long")).over(Window.partitionBy("source_file").orderBy("split", "n"))
+    part = F.struct("split", "n", *first, "text")
+    found = parts.withColumn("record", number).groupBy("source_file", "record").agg(F.sort_array(F.collect_list(part)).alias("p"))
+    head = F.get("p", F.lit(0))
+    return found.select("source_file", *[head[c].alias(c) for c in ("split", "n", *first)], F.array_join("p.text", "").alias("text"))

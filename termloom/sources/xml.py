@@ -15,13 +15,13 @@ from xml.parsers import expat
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termloom.functions.text import blank_to_null
 from termloom.operators.canonical import canonicalise_entries
 from termloom.plans.staging import shuffle_width, write_stage
-from termloom.sources.splits import runs, split_pieces, start_states
+from termloom.sources.splits import runs, split_pieces, start_states, stitched
 
 # Structural paths and attributes with a name of their own.
 TEXT_ALIASES = {
@@ -215,15 +215,6 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], [k.split(" ")[0] for k in _TEXTS.split(", ")])
 
 
-def _stitched(parts: DataFrame) -> DataFrame:
-    """Whole texts of records that lie in several splits: at most two parts of each split meet."""
-    number = F.sum(F.col("begins").cast("long")).over(Window.partitionBy("source_file").orderBy("split", "n"))
-    part = F.struct("split", "n", "text")
-    found = parts.withColumn("record", number).groupBy("source_file", "record").agg(F.sort_array(F.collect_list(part)).alias("p"))
-    first = F.get("p", F.lit(0))
-    return found.select("source_file", first["split"].alias("split"), first["n"].alias("n"), F.array_join("p.text", "").alias("text"))
-
-
 def _records(element: ElementTree.Element, local: str) -> Iterator[ElementTree.Element]:
     """Records inside an element, then the element; an inner record is none of the outer one's entries."""
     for child in list(element):
@@ -268,7 +259,7 @@ def read_xml_records(spark: SparkSession, path: str, tag: str) -> DataFrame:
     else:
         texts = write_stage(texts, "xml-records")
         columns = ["source_file", "split", "n", "text"]
-        texts = texts.filter("begins AND ends").select(columns).unionByName(_stitched(texts.filter("NOT (begins AND ends)")))
+        texts = texts.filter("begins AND ends").select(columns).unionByName(stitched(texts.filter("NOT (begins AND ends)")))
     texts = texts.select("source_file", (F.col("split") + F.col("n")).alias("source_order"), "text")
     if any(file.endswith(".gz") for file in pieces.inputFiles()):  # such a file is one task
         texts = texts.repartition(shuffle_width(spark))
