@@ -8,14 +8,15 @@ from pyspark.sql import functions as F
 from termloom.llm.common import fresh, join_groups
 from termloom.plans.staging import write_stage
 
-# A line is dropped if more than this part of its site's pages hold it, and at least so many pages.
+# A line is dropped if more than this part of its site's pages hold it; a line of one page is no repetition.
 MAX_RATIO = 0.1
-MIN_PAGES = 5
-# Of the texts of a source the ratio alone decides: a line of one text is no repetition.
-MIN_TEXTS = 2
+MIN_PAGES = 2
 BLANK = " \t\n\x0b\f\r"
-HIDDEN = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->"
-INLINE = r"(?i)</?(?:a|b|i|u|em|strong|span|small|sup|sub|code)(?:\s[^>]*)?>"
+# What is open at the end of a page reaches to it, as in a browser, so that each is looked for once.
+HIDDEN = r"(?is)<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)|<!--.*?(?:-->|\z)"
+INLINE = r"(?i)</?(?:a|b|i|u|em|strong|span|small|sup|sub|code)(?:>|\s[^>]*(?:>|\z))"
+# A tag begins with a letter, a slash or a mark; any other angle bracket is text.
+TAG = r"<[A-Za-z/!?][^>]*(?:>|\z)|\n"
 
 
 def url_host(url: Column) -> Column:
@@ -25,9 +26,12 @@ def url_host(url: Column) -> Column:
 
 
 def html_lines(html: Column) -> Column:
-    """Visible lines of a page: scripts, styles and comments go, inline tags vanish, others end a line."""
+    """Visible lines of a page: scripts, styles and comments go, inline tags vanish, others end a line.
+
+    A script, style, comment or tag that the page does not close reaches to its end.
+    """
     text = F.regexp_replace(F.coalesce(html, F.lit("")), HIDDEN, "\n")
-    return F.filter(F.split(F.regexp_replace(text, INLINE, ""), r"<[^>]*>|\n", -1), _has_word)
+    return F.filter(F.split(F.regexp_replace(text, INLINE, ""), TAG, -1), _has_word)
 
 
 def text_lines(text: Column) -> Column:
@@ -94,7 +98,11 @@ def drop_common_lines(
 
 
 def page_report(pages: DataFrame) -> DataFrame:
-    """page_id, host, host_pages, n_lines, n_kept and the MD5 of the text left, for every web page."""
+    """page_id, host, host_pages, n_lines, n_kept and the MD5 of the text left, for every web page.
+
+    A null or empty page has no lines; pages without a host are those of one site; repeated rows are pages of
+    their own; an empty table gives no rows.
+    """
     done, at = drop_common_lines(pages, url_host(F.col("url")), html_lines(F.col("html")))
     return done.select(
         "page_id",
@@ -114,6 +122,6 @@ def drop_lines_of_documents(docs: DataFrame, text_column: str = "text", site_col
     """
     text = F.col(text_column)
     once = F.md5(F.coalesce(text, F.lit("")))
-    done, at = drop_common_lines(docs, F.col(site_column), text_lines(text), min_pages=MIN_TEXTS, once=once)
+    done, at = drop_common_lines(docs, F.col(site_column), text_lines(text), once=once)
     left = F.when(text.isNotNull(), F.concat_ws("\n", at["kept_lines"]))
     return done.withColumn(text_column, left).select(*docs.columns)

@@ -130,15 +130,15 @@ WITH p AS (
     nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '') AS host,
     list_filter(string_split(
       regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''),
-        '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->', chr(10), 'g'),
-        '(?i)</?(?:a|b|i|u|em|strong|span|small|sup|sub|code)(?:\s[^>]*)?>', '', 'g'), '<[^>]*>', chr(10), 'g'),
+        '(?is)<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)|<!--.*?(?:-->|\z)', chr(10), 'g'),
+        '(?i)</?(?:a|b|i|u|em|strong|span|small|sup|sub|code)(?:>|\s[^>]*(?:>|\z))', '', 'g'), '<[A-Za-z/!?][^>]*(?:>|\z)', chr(10), 'g'),
       chr(10)), lambda x: length({_BARE.format('x')}) > 0) AS lines
   FROM pages
 ), totals AS (SELECT host, count(*) AS host_pages FROM p GROUP BY host),
 held AS (SELECT DISTINCT rid, host, trim(unnest(lines), {_BLANK}) AS line FROM p),
 bad AS (
   SELECT h.host, line FROM (SELECT host, line, count(*) AS n FROM held GROUP BY host, line) h
-  JOIN totals t ON h.host IS NOT DISTINCT FROM t.host WHERE n >= 5 AND n > 0.1::DOUBLE * host_pages
+  JOIN totals t ON h.host IS NOT DISTINCT FROM t.host WHERE n >= 2 AND n > 0.1::DOUBLE * host_pages
 ), sets AS (SELECT host, list(line) AS bad FROM bad GROUP BY host),
 kept AS (
   SELECT page_id, p.host, host_pages, lines,

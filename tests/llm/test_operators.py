@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -252,6 +253,31 @@ def test_common_lines_of_a_site(spark):
     assert got[(90, None, 2, 0, 0)] == 1 and got[(92, "b.org", 1, 1, 1)] == 1
 
 
+def page_rows(spark, pages):
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    return {r.page_id: (r.n_lines, r.n_kept) for r in line_dedup.page_report(df).collect()}
+
+
+def test_ratio_decides_on_small_hosts(spark):
+    pages = [(10 * n + i, f"http://h{n}.org/{i}", f"<p>menu</p><p>own {i}</p>") for n in (1, 2, 4, 9) for i in range(n)]
+    got = page_rows(spark, pages)
+    assert got == {i: (2, 2) if i == 10 else (2, 1) for i, _, _ in pages}
+    assert page_rows(spark, []) == {}
+    # 3 of 30 pages are not more than a tenth.
+    pages = [(i, "http://h.org", f"<p>own {i}</p>" + "<p>thrice</p>" * (i < 3)) for i in range(30)]
+    assert page_rows(spark, pages)[0] == (2, 2)
+
+
+@pytest.mark.parametrize("unclosed", ["<script ", "<style>x", "<!-- ", "<a href ", "<p ", "</p", "< ", "<"])
+def test_pages_of_open_tags_are_read_in_one_pass(spark, unclosed):
+    page = "<p>seen</p>\n" + unclosed * (1_000_000 // len(unclosed))
+    made = write_stage(spark.createDataFrame([(1, page)], "page_id long, html string"), "fixture")
+    begin = time.monotonic()
+    found = made.select(line_dedup.html_lines(F.col("html")).alias("lines")).first().lines
+    assert time.monotonic() - begin < 5
+    assert found == (["seen"] if unclosed.strip() != "<" else ["seen", unclosed * (1_000_000 // len(unclosed))])
+
+
 def test_lines_of_documents_keep_columns(docs):
     done = line_dedup.drop_lines_of_documents(docs)
     assert done.columns == docs.columns and done.count() == len(rows())
