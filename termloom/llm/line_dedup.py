@@ -12,8 +12,17 @@ from termloom.plans.staging import write_stage
 MAX_RATIO = 0.1
 MIN_PAGES = 2
 BLANK = " \t\n\x0b\f\r"
+
+
+def _through(begin: str, mark: str, rest: str) -> str:
+    """Pattern from ``begin`` through the first ``mark`` that ``rest`` follows, or through the end of the page."""
+    return rf"{begin}[^{mark}]*+(?:{mark}(?!{rest})[^{mark}]*+)*+(?:{mark}{rest}|\z)"
+
+
 # What is open at the end of a page reaches to it, as in a browser, so that each is looked for once.
-HIDDEN = r"(?is)<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)|<!--.*?(?:-->|\z)"
+HIDDEN = "(?is)<(?:{}|{}|{})".format(
+    _through(r"script\b", "<", r"/script\s*>"), _through(r"style\b", "<", r"/style\s*>"), _through("!--", "-", "->")
+)
 INLINE = r"(?i)</?(?:a|b|i|u|em|strong|span|small|sup|sub|code)(?:>|\s[^>]*(?:>|\z))"
 # A tag begins with a letter, a slash or a mark; any other angle bracket is text.
 TAG = r"<[A-Za-z/!?][^>]*(?:>|\z)|\n"
