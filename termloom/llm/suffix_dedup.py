@@ -172,7 +172,10 @@ def _unsettled(suffixes: DataFrame, right: DataFrame, left: DataFrame, passage:
 
     No match of a suffix goes further right than its best neighbour in forward order, or further left
     than its best in backward order. If one span reaches both, it holds all others. Where none does and
-    both together are long enough, all passages around the suffixes of that gram are compared by hash.
+    both together are long enough, the suffix is open, and its passages are looked for by hash among those of all
+    suffixes of its gram. Of each suffix only the passages within its own two bounds are made, as one that two
+    texts share lies within the bounds of both; a suffix without bounds fills both sides. Suffixes with equal words
+    on both sides, such as those of many copies, make their passages once.
     """
     none = F.lit(None).cast("int")
     reached = right.select("key", "pos", "gram", F.col("most").alias("right"), none.alias("left"), "span").union(
@@ -182,21 +185,34 @@ def _unsettled(suffixes: DataFrame, right: DataFrame, left: DataFrame, passage:
         F.max("right").alias("right"), F.max("left").alias("left"), F.max("span").alias("span")
     )
     total = F.col("right") + F.col("left")
-    open_ = most.filter((total >= passage) & (F.col("span") < total)).select("gram").distinct()
-    rest = join_groups(suffixes.withColumn("gram", _gram(gram)), open_.withColumn("open", F.lit(True)), ["gram"])
-    back = F.explode(F.sequence(F.lit(0), F.lit(passage - gram)))
-    parts = rest.filter("open").select("key", "pos", "ahead", "behind", back.alias("back"))
-    whole = (F.octet_length("behind") >= 4 * F.col("back")) & (F.octet_length("ahead") >= 4 * (passage - F.col("back")))
-    before = F.substring(F.col("behind"), F.lit(1), 4 * F.col("back"))
-    after = F.substring(F.col("ahead"), F.lit(1), 4 * (passage - F.col("back")))
-    windows = parts.filter(whole).select(
-        "key", (F.col("pos") - F.col("back")).alias("start"), F.xxhash64("back", before, after).alias("code")
+    most = write_stage(most.withColumn("open", F.coalesce((total >= passage) & (F.col("span") < total), F.lit(False))), "reached")
+    grams = write_stage(most.filter("open").select("gram").distinct().withColumn("looked", F.lit(True)), "open-grams")
+    rest = join_groups(suffixes.withColumn("gram", _gram(gram)), grams, ["gram"]).filter("looked").drop("gram", "looked")
+    bounds = join_groups(most, grams, ["gram"]).filter("looked").select("key", "pos", "right", "left", "open")
+    low = F.greatest(F.lit(0), passage - F.coalesce("right", F.lit(passage)))
+    high = F.least(F.lit(passage - gram), F.coalesce("left", F.lit(passage)))
+    placed = rest.join(bounds, ["key", "pos"], "left").select(
+        "key", "pos", "ahead", "behind", F.coalesce("open", F.lit(False)).alias("open"), low.alias("low"), high.alias("high")
     )
-    windows = write_stage(windows, "windows")
+    placed = write_stage(placed.filter("low <= high"), "bounded")
+
+    def windows(rows: DataFrame, *columns: str) -> DataFrame:
+        """A row for each passage of ``rows``, with its hash as ``code`` and the words before the suffix as ``back``."""
+        parts = rows.withColumn("back", F.explode(F.sequence("low", "high")))
+        whole = (F.octet_length("behind") >= 4 * F.col("back")) & (F.octet_length("ahead") >= 4 * (passage - F.col("back")))
+        before = F.substring(F.col("behind"), F.lit(1), 4 * F.col("back"))
+        after = F.substring(F.col("ahead"), F.lit(1), 4 * (passage - F.col("back")))
+        return parts.filter(whole).select(*columns, "back", F.xxhash64("back", before, after).alias("code"))
+
     hashed = F.xxhash64("key")
-    shared = windows.groupBy("code").agg(F.min(hashed).alias("a"), F.max(hashed).alias("b")).filter("a <> b").select("code")
-    met = salted_join(windows, shared, ["code"], F.col("key"), "left_semi", SALTS)
-    return met.select("key", "start", (F.col("start") + passage).alias("stop"))
+    contexts = placed.groupBy("ahead", "behind").agg(
+        F.min(hashed).alias("a"), F.max(hashed).alias("b"), F.min("low").alias("low"), F.max("high").alias("high")
+    )
+    held = windows(contexts, "a", "b").groupBy("code").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+    shared = held.filter("a <> b").select("code")
+    met = salted_join(windows(placed.filter("open"), "key", "pos"), shared, ["code"], F.col("key"), "left_semi", SALTS)
+    start = F.col("pos") - F.col("back")
+    return met.select("key", start.alias("start"), (start + passage).alias("stop"))
 
 
 def repeated_passages(
