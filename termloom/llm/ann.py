@@ -10,6 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, FloatType
 
 from termloom.llm.common import join_groups
 from termloom.plans.staging import write_stage
@@ -89,15 +90,19 @@ class Tables:
 
 
 def _usable(vector: Column) -> Column:
-    """Vectors with components, all finite, not all zero, and with a finite length."""
+    """Vectors with components, all finite and not all zero."""
     as_double = F.transform(vector, lambda x: x.cast("double"))
-    norm = F.aggregate(as_double, F.lit(0.0), lambda s, x: s + x * x)
     finite = F.forall(as_double, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return F.coalesce((F.size(vector) > 0) & finite & (norm > 0) & (norm < float("inf")), F.lit(False))
+    return F.coalesce((F.size(vector) > 0) & finite & F.exists(as_double, lambda x: x != 0), F.lit(False))
+
+
+def _scaled(matrix: np.ndarray) -> np.ndarray:
+    """Rows times a power of two that brings their largest component near 1: no square under- or overflows."""
+    return np.ldexp(matrix, -np.frexp(np.abs(matrix).max(axis=1, keepdims=True))[1])
 
 
 def _rows(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(row numbers, matrix) of the vectors of each dimension in a batch of (id, vector)."""
+    """(places in the batch, matrix) of the vectors of each dimension in a batch of (row, vector)."""
     lists = batch.column(1)
     sizes = np.diff(lists.offsets.to_numpy()) if len(lists) else np.empty(0, int)
     flat, starts = lists.values.to_numpy(zero_copy_only=False).astype(np.float64), lists.offsets.to_numpy()[:-1]
@@ -120,8 +125,8 @@ def nearest(
 ) -> DataFrame:
     """(query_id, rank, id, score): the ``k`` vectors of largest cosine found for every query.
 
-    Candidates are all rows but those with the query's own id. Score is the cosine of the original
-    vectors in double precision; ties go to the smaller id. Only vectors of one dimension are compared.
+    Candidates are all rows but the query's own. Score is the cosine of the original vectors in double
+    precision; ties go to the smaller id. Only vectors of one dimension are compared.
 
     Method: unit vectors are hashed by ``functions`` p-stable functions in each of ``tables`` tables, and
     every row is in every table. A query visits its own bucket and the ``probes`` - 1 perturbed buckets
@@ -130,17 +135,20 @@ def nearest(
     one with more vectors or visits than a group may hold is cut into a grid of groups. A query that
     found fewer than ``k`` is compared with all vectors, in blocks.
 
-    Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do
-    null ids. Rows with equal ids are candidates of their own, except for that id's query, which is
-    asked once with each of its vectors. An empty table or no query gives no rows.
+    Vectors that are null, empty, zero or hold null or non-finite components take no part. Every other row,
+    repeated or without id, is a candidate of its own for every query but itself; null ids come last among ties. Rows
+    that ask with one id are queries of their own, and a row without id may ask. An empty table or no query gives no rows.
     """
-    id_type = vectors.schema[id_column].dataType.simpleString()
     sets = perturbations(functions, probes)
-    usable = vectors.filter(_usable(F.col(vector_column)) & F.col(id_column).isNotNull()).select(
-        F.col(id_column).alias("id"),
-        F.transform(vector_column, lambda x: x.cast("double")).alias("vector"),
-        F.coalesce(is_query, F.lit(False)).alias("asks"),
+    vector = F.col(vector_column)
+    if not isinstance(vectors.schema[vector_column].dataType.elementType, FloatType | DoubleType):
+        vector = vector.cast("array<double>")
+    usable = _numbered(
+        vectors.filter(_usable(vector)).select(
+            F.col(id_column).alias("id"), vector.alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks")
+        )
     )
+    ids = usable.select("row", "id")
 
     def hashing(probing: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,27 +158,27 @@ def nearest(
                     d = matrix.shape[1]
                     hasher = known.setdefault(d, None) or Tables(d, tables, functions, width, seed)
                     known[d] = hasher
-                    unit = matrix / np.linalg.norm(matrix / np.abs(matrix).max(axis=1, keepdims=True), axis=1, keepdims=True)
-                    unit /= np.abs(matrix).max(axis=1, keepdims=True)
+                    unit = _scaled(matrix)
+                    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
                     codes = hasher.probes(unit, sets) if probing else hasher.codes(unit)[..., None]
                     for t in range(tables):
                         lists = codes[t]
-                        ids = batch.column(0).take(pa.array(at))
+                        numbers = batch.column(0).take(pa.array(at))
                         arrays = pa.ListArray.from_arrays(
                             pa.array(np.arange(0, lists.size + 1, lists.shape[1], dtype=np.int32)), pa.array(lists.ravel())
                         )
                         yield pa.RecordBatch.from_arrays(
-                            [ids, batch.column(1).take(pa.array(at)), pa.array(np.full(len(at), t * 65536 + d, np.int64)), arrays],
-                            names=["id", "vector", "part", "codes"],
+                            [numbers, batch.column(1).take(pa.array(at)), pa.array(np.full(len(at), t * 65536 + d, np.int64)), arrays],
+                            names=["row", "vector", "part", "codes"],
                         )
 
         return run
 
-    shape = f"id {id_type}, vector array<double>, part bigint, codes array<bigint>"
-    hashed = usable.select("id", "vector").mapInArrow(hashing(False), shape)
-    index = hashed.select("id", "vector", "part", F.get("codes", F.lit(0)).alias("code"))
-    asked = usable.filter("asks").select("id", "vector").mapInArrow(hashing(True), shape)
-    visits = asked.select("id", "vector", "part", F.explode(F.array_distinct("codes")).alias("code"))
+    shape = f"row bigint, vector {usable.schema['vector'].dataType.simpleString()}, part bigint, codes array<bigint>"
+    hashed = usable.select("row", "vector").mapInArrow(hashing(False), shape)
+    index = hashed.select("row", "vector", "part", F.get("codes", F.lit(0)).alias("code"))
+    asked = usable.filter("asks").select("row", "vector").mapInArrow(hashing(True), shape)
+    visits = asked.select("row", "vector", "part", F.explode(F.array_distinct("codes")).alias("code"))
     index, visits = write_stage(index, "index"), write_stage(visits, "visits")
     filled = index.groupBy("part", "code").agg(F.count("*").alias("n"))
     visited = visits.groupBy("part", "code").agg(F.count("*").alias("m"))
@@ -180,30 +188,43 @@ def nearest(
     grid = write_stage(grid, "grid")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = join_groups(index, grid, ["part", "code"]).filter("a is not null").select(
-        "part", "code", F.pmod(F.xxhash64("id"), F.col("a")).cast("int").alias("x"), every("b").alias("y"), "id", "vector"
+        "part", "code", F.pmod(F.xxhash64("row"), F.col("a")).cast("int").alias("x"), every("b").alias("y"), "row", "vector"
     )
     right = join_groups(visits, grid, ["part", "code"]).filter("a is not null").select(
-        "part", "code", every("a").alias("x"), F.pmod(F.xxhash64("id"), F.col("b")).cast("int").alias("y"), "id", "vector"
+        "part", "code", every("a").alias("x"), F.pmod(F.xxhash64("row"), F.col("b")).cast("int").alias("y"), "row", "vector"
     )
     by = ["part", "code", "x", "y"]
-    pairs = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(
-        lambda a, b: _best(a, b, k), f"query_id {id_type}, id {id_type}, score double"
-    )
+    pairs = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(lambda a, b: _best(a, b, k), _FOUND)
     found = write_stage(_top(pairs, k), "found")
-    enough = found.filter(f"rank = {k}").select(F.col("query_id").alias("id")).distinct()
-    short = usable.filter("asks").join(enough, "id", "left_anti").select("id", "vector")
-    rest = _top(_all_against(usable, short, k, id_type), k)
-    done = found.join(enough, found["query_id"] == enough["id"], "left_semi")
-    return done.unionByName(rest).select("query_id", "rank", F.col("id").alias(id_column), "score")
+    enough = found.filter(f"rank = {k}").select("query").distinct()
+    short = usable.filter("asks").join(enough, F.col("row") == F.col("query"), "left_anti").select("row", "vector")
+    rest = _top(_all_against(usable, short, k), k)
+    done = found.join(enough, "query", "left_semi").unionByName(rest)
+    asking = ids.withColumnsRenamed({"row": "query", "id": "query_id"})
+    return done.join(ids, "row").join(asking, "query").select("query_id", "rank", F.col("id").alias(id_column), "score")
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` (id, vector, asks) with a number of their own as ``row``, which rises with the id, nulls last.
+
+    It is given once, in the job that writes them, so that it is the same for every reader.
+    """
+    width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.col("id").asc_nulls_last(), F.xxhash64("vector"), F.col("asks")]
+    ranged = rows.repartitionByRange(width, *order).sortWithinPartitions(*order)
+    return write_stage(ranged.withColumn("row", F.monotonically_increasing_id()), "vectors")
+
+
+_FOUND = "query bigint, row bigint, score double"
 
 
 def _best(rows: pd.DataFrame, asked: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The ``k`` best of ``rows`` for each of ``asked``, as (query_id, id, score)."""
-    empty = pd.DataFrame({"query_id": rows["id"][:0], "id": rows["id"][:0], "score": np.empty(0)})
+    """The ``k`` best of ``rows`` for each of ``asked``, as (query, row, score); the smaller row is first among ties."""
+    empty = pd.DataFrame({"query": rows["row"][:0], "row": rows["row"][:0], "score": np.empty(0)})
     if not len(rows) or not len(asked):
         return empty
-    ids, queries = rows["id"].to_numpy(), asked["id"].to_numpy()
-    a, b = np.stack(rows["vector"].to_numpy()), np.stack(asked["vector"].to_numpy())
+    ids, queries = rows["row"].to_numpy(), asked["row"].to_numpy()
+    a, b = (np.stack(side["vector"].to_numpy()).astype(np.float64) for side in (rows, asked))
     scores = cosines(b, a)
     scores[queries[:, None] == ids[None, :]] = -np.inf
     out = []
@@ -216,24 +237,26 @@ def _best(rows: pd.DataFrame, asked: pd.DataFrame, k: int) -> pd.DataFrame:
             at = np.arange(len(best))
         at = at[np.isfinite(best[at])]
         at = at[np.lexsort((ids[at], -best[at]))][:k]
-        out.append(pd.DataFrame({"query_id": query, "id": ids[at], "score": best[at]}))
+        out.append(pd.DataFrame({"query": query, "row": ids[at], "score": best[at]}))
     return pd.concat(out) if out else empty
 
 
 def cosines(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Cosines in double precision, each summed in the order of components so that no block matters."""
+    queries, rows = _scaled(queries), _scaled(rows)
     norm_q, norm_r = np.sqrt((queries * queries).sum(axis=1)), np.sqrt((rows * rows).sum(axis=1))
     dots = np.stack([(rows * q).sum(axis=1) for q in queries])
     return dots / (norm_q[:, None] * norm_r[None, :])
 
 
 def _top(pairs: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
-    ranked = pairs.distinct().withColumn("rank", F.row_number().over(order))
-    return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+    order = Window.partitionBy("query").orderBy(F.col("score").desc(), "row")
+    # A row may be met in several tables, always with the same score.
+    ranked = pairs.groupBy("query", "row").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(order))
+    return ranked.filter(F.col("rank") <= k).select("query", "rank", "row", "score")
 
 
-def _all_against(usable: DataFrame, short: DataFrame, k: int, id_type: str) -> DataFrame:
+def _all_against(usable: DataFrame, short: DataFrame, k: int) -> DataFrame:
     """Exact answers of queries that found too few: blocks of vectors against blocks of these queries."""
     dimension = F.size("vector")
     short = short.withColumn("d", dimension)
@@ -243,14 +266,12 @@ def _all_against(usable: DataFrame, short: DataFrame, k: int, id_type: str) -> D
         "grid",
     )
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    rows = usable.select("id", "vector", dimension.alias("d")).join(F.broadcast(grid), "d").select(
-        "d", F.pmod(F.xxhash64("id"), F.col("a")).cast("int").alias("x"), every("b").alias("y"), "id", "vector"
+    rows = usable.select("row", "vector", dimension.alias("d")).join(F.broadcast(grid), "d").select(
+        "d", F.pmod(F.xxhash64("row"), F.col("a")).cast("int").alias("x"), every("b").alias("y"), "row", "vector"
     )
     asked = short.join(F.broadcast(grid), "d").select(
-        F.col("d").alias("d"), every("a").alias("x"), F.pmod(F.xxhash64("id"), F.col("b")).cast("int").alias("y"),
-        F.col("id").alias("id"), F.col("vector").alias("vector"),
+        F.col("d").alias("d"), every("a").alias("x"), F.pmod(F.xxhash64("row"), F.col("b")).cast("int").alias("y"),
+        F.col("row").alias("row"), F.col("vector").alias("vector"),
     )
     by = ["d", "x", "y"]
-    return rows.groupBy(*by).cogroup(asked.groupBy(*by)).applyInPandas(
-        lambda a, b: _best(a, b, k), f"query_id {id_type}, id {id_type}, score double"
-    )
+    return rows.groupBy(*by).cogroup(asked.groupBy(*by)).applyInPandas(lambda a, b: _best(a, b, k), _FOUND)

@@ -319,10 +319,28 @@ def test_neighbours_edges_and_fallback(spark):
             (7, [inf, 1.0]), (8, [1.0, None]), (9, [-1.0, 0.0]), (None, [1.0, 0.0]), (10, [5.0, 0.0])]
     df = spark.createDataFrame([(i, v, "x") for i, v in data], "vec_id long, embedding array<double>, code string")
     got = ann.nearest(df, F.col("vec_id") == 0).orderBy("rank").collect()
-    assert [(r.rank, r.vec_id, r.score) for r in got] == [(1, 1, 1.0), (2, 10, 1.0), (3, 2, 0.0), (4, 9, -1.0)]
+    assert [(r.rank, r.vec_id, r.score) for r in got] == [(1, 1, 1.0), (2, 10, 1.0), (3, None, 1.0), (4, 2, 0.0), (5, 9, -1.0)]
     assert ann.nearest(df.filter("vec_id < 0"), F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["double", "float"])
+def test_neighbours_of_repeated_rows_and_extreme_vectors(spark, kind):
+    """Every row is a candidate of its own; ties at the last rank go to the smaller id."""
+    tiny, huge = (1e-200, 1e200) if kind == "double" else (1e-30, 1e30)
+    data = [(0, [1.0, 0.0]), (1, [1.0, 0.1]), (1, [1.0, 0.1]), (1, [1.0, 0.1]), (2, [tiny, tiny]), (3, [huge, huge]), (4, [2.0, 2.0]),
+            (5, [-huge, huge]), (5, [0.0, 1.0]), (6, [1.0, 0.0, 0.0]), (0, [3.0, 0.0])]
+    df = spark.createDataFrame([(i, v, 1, "x") for i, v in data], f"vec_id long, embedding array<{kind}>, row long, query string")
+    got = ann.nearest(df.repartition(3), F.col("vec_id") == 0).collect()
+    near = np.cos(np.arctan(np.float64(np.float32(0.1)) if kind == "float" else 0.1))
+    want = [(1, 0, 1.0), (2, 1, near), (3, 1, near), (4, 1, near), (5, 2, np.sqrt(0.5))]
+    both = sorted((r.rank, r.vec_id, round(r.score, 12)) for r in got)
+    assert both == sorted((n, i, round(float(s), 12)) for n, i, s in want * 2)
+    tied = ann.nearest(df.filter("vec_id in (0, 2, 3, 4)").dropDuplicates(["vec_id"]), F.col("vec_id") == 0, k=2).orderBy("rank").collect()
+    assert [r.vec_id for r in tied] == [2, 3]
+    named = df.select(F.col("vec_id").cast("string").alias("vec_id"), "embedding")
+    assert {r.vec_id for r in ann.nearest(named, F.col("vec_id") == "4", k=2).collect()} == {"2", "3"}
+
+
 def test_neighbours_recall(spark):
     folder = "/root/testdata/sf0.1"
     got = QUERIES["op6_nearest_vectors"](spark, folder).collect()
