@@ -19,7 +19,7 @@ from termloom.operators.canonical import fields_to_metadata
 from termloom.operators.index import TermIndex
 from termloom.operators.retrieve import retrieve_for_concepts
 from termloom.operators.sampling import first_rows
-from termloom.plans.staging import write_stage
+from termloom.plans.staging import stage_run, write_stage
 
 Ask = Callable[[DataFrame], DataFrame]
 
@@ -119,12 +119,29 @@ def ground_concepts(extracted: DataFrame, bundles: DataFrame, ask: Ask) -> DataF
 
 
 def enrich(records: DataFrame, index: TermIndex, ask: Ask, k: int = 5, model: str | None = None) -> DataFrame:
-    """Enrichment results of ``records`` (unique ``rec_id`` string, accession, metadata)."""
+    """Enrichment results of ``records`` (unique ``rec_id`` string, accession, metadata).
+
+    The stage tables stay until the results are read; ``enrich_to``, or a ``stage_run`` around the call, removes them.
+    """
     extracted = write_stage(extract_concepts(records, ask), "extracted")
     bundles = write_stage(bundle_candidates(extracted, index, k), "bundles")
     return assemble_results(ground_concepts(extracted, bundles, ask), model)
 
 
+def enrich_to(
+    records: DataFrame, index: TermIndex, ask: Ask, output: str, k: int = 5, model: str | None = None
+) -> DataFrame:
+    """Write the enrichment results of ``records`` to the Parquet folder ``output`` and read them back.
+
+    What is there is replaced. The stage tables are removed, as are those of a killed run to the same folder.
+    """
+    spark = records.sparkSession
+    with stage_run(spark, output):
+        results = enrich(records, index, ask, k, model)
+        results.write.mode("overwrite").parquet(output)
+    return spark.read.schema(results.schema).parquet(output)
+
+
 def assemble_results(grounded: DataFrame, model: str | None = None) -> DataFrame:
     """Status, failed stage, error and diagnostics of every record."""
     empty = F.size("metadata") == 0

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,10 +31,38 @@ def staging_folder(spark: SparkSession) -> str:
     return folder
 
 
+# The folder of the run that this thread is in.
+_run: ContextVar[str | None] = ContextVar("stage_run", default=None)
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def stage_run(spark: SparkSession, of: str | None = None) -> Iterator[str]:
+    """Tables staged inside the block lie in one folder, which goes when the block ends, also by an error.
+
+    Results must be written or collected inside the block; tables staged with a path of their own, such as an index,
+    stay. ``of`` names what the run makes, such as its output: a run that is killed leaves its folder, and
+    the next run of the same name removes it first. So two runs of one name must not overlap.
+    """
+    mark = hashlib.md5(of.encode()).hexdigest() if of else uuid.uuid4().hex
+    folder = f"{staging_folder(spark).rstrip('/')}/run-{mark}"
+    _remove(spark, folder)
+    before = _run.set(folder)
+    try:
+        yield folder
+    finally:
+        _run.reset(before)
+        _remove(spark, folder)
+
+
 def write_stage(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet and read it back: later jobs do not repeat its lineage."""
     spark = df.sparkSession
-    target = path or f"{staging_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    target = path or f"{(_run.get() or staging_folder(spark)).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(target)
     return spark.read.schema(df.schema).parquet(target)
 

@@ -11,7 +11,8 @@ from pyspark.sql.streaming import DataStreamWriter
 from termloom.operators.compare import audit_response
 from termloom.operators.index import TermIndex
 from termloom.operators.summary import record_rollup, run_summary
-from termloom.plans.enrich import Ask, enrich
+from termloom.plans.enrich import Ask, enrich_to
+from termloom.plans.staging import stage_run
 
 
 def stream_enrich(
@@ -20,14 +21,15 @@ def stream_enrich(
     """Enrich each micro-batch and append its results below ``output``.
 
     A batch writes its own folder and replaces it when it is run again after a failure, so
-    every record is stored exactly once.
+    every record is stored exactly once. Its stage tables go with it; those of a killed batch go when it is run again.
     """
 
     def save(batch: DataFrame, batch_id: int) -> None:
         batch.persist()  # several stages read the batch
-        results = enrich(batch, index, ask, k, model)
-        results.write.mode("overwrite").parquet(f"{output.rstrip('/')}/batch={batch_id}")
-        batch.unpersist()
+        try:
+            enrich_to(batch, index, ask, f"{output.rstrip('/')}/batch={batch_id}", k, model)
+        finally:
+            batch.unpersist()
 
     return records.writeStream.option("checkpointLocation", checkpoint).foreachBatch(save)
 
@@ -69,7 +71,7 @@ def stream_run_summary(
 
     Each batch leaves the numbers of its records in a folder of its own below ``state``, which it replaces
     when it is run again after a failure, so every record counts once. Percentiles are exact, so a summary
-    reads the numbers of all batches so far.
+    reads the numbers of all batches so far. ``publish`` reads the summary before it returns, as its stage tables go then.
     """
 
     def save(batch: DataFrame, batch_id: int) -> None:
@@ -78,7 +80,8 @@ def stream_run_summary(
         kept.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
         # Empty files keep the schema, so the folder can be read after any batch.
         so_far = batch.sparkSession.read.schema(kept.schema).parquet(folder)
-        publish(run_summary(so_far, provenance).withColumn("run_status", F.lit("running")))
+        with stage_run(batch.sparkSession, folder):
+            publish(run_summary(so_far, provenance).withColumn("run_status", F.lit("running")))
 
     return results.writeStream.option("checkpointLocation", checkpoint).foreachBatch(save)
 
