@@ -16,6 +16,7 @@ from termloom.functions.text import blank_to_null, compact_id
 from termloom.operators import canonical as C
 from termloom.operators import ontology as O
 from termloom.operators import sampling as S
+from termloom.plans.staging import spread
 from termloom.sources.readers import read_jsonl_records, read_parquet_records, read_triples, read_tsv_records
 from termloom.sources.writers import write_accessions, write_jsonl
 from termloom.sources.xml import read_xml_records
@@ -27,7 +28,8 @@ SEED = 12345
 
 
 def read_parquet(spark: SparkSession, d: str) -> DataFrame:
-    records = C.canonicalise(read_parquet_records(spark, f"{d}/lineitem.parquet"))
+    # Lines of an order stay together, so that their equal values are counted where they are.
+    records = C.canonicalise(spread(read_parquet_records(spark, f"{d}/lineitem.parquet"), "l_orderkey"))
     return C.metadata_entries(records).groupBy("key").agg(
         F.count("*").alias("entries"), F.count_distinct("value").alias("distinct_values")
     )
@@ -228,7 +230,8 @@ FROM events
 
 
 def _nested_events(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").select(
+    # One row group is one task, and a row is flattened and merged at a cost far above its size.
+    return spread(table(spark, d, "events"), "event_id").select(
         F.col("event_id").alias("id"),
         F.concat(F.lit(" EV"), F.col("event_id")).alias("accession"),
         F.create_map(F.lit("accession"), F.col("event_type"), F.lit("k"), F.get_json_object("props", "$.k")).alias("attributes"),

@@ -110,8 +110,8 @@ def _fixed_leaves(prefix: str, value: Column, data_type: T.DataType) -> list[tup
     return leaves
 
 
-def fixed_entries(df: DataFrame, columns: Sequence[str]) -> Column | None:
-    """Entries in key order when the schema fixes all keys and none occurs twice.
+def fixed_leaves(df: DataFrame, columns: Sequence[str]) -> list[tuple[str, Column]] | None:
+    """Keys in order with their texts when the schema fixes all keys and none occurs twice.
 
     Then nothing has to be merged or sorted per row. None for any other schema.
     """
@@ -126,11 +126,7 @@ def fixed_entries(df: DataFrame, columns: Sequence[str]) -> Column | None:
     keys = [key for key, _ in leaves]
     if len(set(keys)) < len(keys):
         return None
-    if not leaves:
-        return _no_entries()
-    ordered = sorted(leaves, key=lambda leaf: leaf[0])
-    entries = F.array(*[F.when(text.isNotNull(), F.struct(F.lit(key).alias("key"), text.alias("value"))) for key, text in ordered])
-    return F.array_compact(entries)
+    return sorted(leaves, key=lambda leaf: leaf[0])
 
 
 def append_value(kept: Column, value: Column) -> Column:
@@ -153,17 +149,18 @@ def merge_repeated(entries: Column) -> Column:
 
     Rows without a repeated key, the usual case, only pay for the sort.
     """
-    keys = F.transform(entries, lambda e: e["key"])
-    distinct_keys = F.array_distinct(keys)
+    def merged(entries: Column, distinct_keys: Column) -> Column:
+        def folded(key: Column) -> Column:
+            values = F.transform(F.filter(entries, lambda e: e["key"] == key), lambda e: e["value"])
+            return F.struct(key.alias("key"), merge_values(values).alias("value"))
 
-    def folded(key: Column) -> Column:
-        values = F.transform(F.filter(entries, lambda e: e["key"] == key), lambda e: e["value"])
-        return F.struct(key.alias("key"), merge_values(values).alias("value"))
+        return F.when(F.size(entries) == F.size(distinct_keys), entries).otherwise(F.transform(distinct_keys, folded))
 
-    merged = F.when(F.size(keys) == F.size(distinct_keys), entries).otherwise(
-        F.transform(distinct_keys, folded)
+    # Bound by lambda functions, so that entries and keys are made once however often they are read.
+    bound = F.transform(
+        F.array(entries), lambda es: F.get(F.transform(F.array(F.array_distinct(es["key"])), lambda keys: merged(es, keys)), F.lit(0))
     )
-    return F.array_sort(merged)
+    return F.array_sort(F.get(bound, F.lit(0)))
 
 
 def resolve_accession(column: Column | None, metadata: Column) -> Column:
@@ -187,13 +184,20 @@ def canonicalise(
     if accession_type is not None and not isinstance(accession_type, (T.StructType, T.MapType, T.ArrayType)):
         structural = scalar_text(F.col(ACCESSION_COLUMN), accession_type)
     kept = [F.col(f"`{c}`") for c in keep]
-    fixed = fixed_entries(df, columns)
+    fixed = fixed_leaves(df, columns)
     if fixed is not None:
-        staged = df.select(
+        # Texts are made in a step of their own: below, in a lambda function, Spark would interpret them.
+        texts = df.select(
             *kept,
             (F.lit(None).cast("string") if structural is None else structural).alias("__accession"),
-            F.map_from_entries(fixed).alias("__merged"),
+            *[text.alias(f"__text{i}") for i, (_, text) in enumerate(fixed)],
         )
+        entries = [
+            F.when(F.col(f"__text{i}").isNotNull(), F.struct(F.lit(key).alias("key"), F.col(f"__text{i}").alias("value")))
+            for i, (key, _) in enumerate(fixed)
+        ]
+        merged = F.map_from_entries(F.array_compact(F.array(*entries)) if entries else _no_entries())
+        staged = texts.select(*kept, "__accession", merged.alias("__merged"))
         return _resolved(staged, F.col("__accession"), keep)
     staged = df.select(
         *kept,
@@ -221,8 +225,12 @@ def _resolved(staged: DataFrame, accession: Column | None, keep: Sequence[str])
 
 
 def metadata_entries(records: DataFrame, *id_columns: str) -> DataFrame:
-    """Long form: one row per record and key."""
-    return records.select(*id_columns, F.explode("metadata").alias("key", "value"))
+    """Long form: one row per record and key.
+
+    Spark infers a filter on the size of what a plain ``explode`` reads and pushes it below the projections, where
+    it makes every map again, several times over. The outer form has no such filter; its rows without a key leave.
+    """
+    return records.select(*id_columns, F.explode_outer("metadata").alias("key", "value")).filter(F.col("key").isNotNull())
 
 
 def count_nonempty(metadata: Column | str = "metadata") -> Column:
