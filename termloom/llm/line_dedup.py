@@ -71,7 +71,9 @@ def site_lines(
         single = pages.select(site.alias("site"), once.alias("once"), codes.alias("codes")).groupBy("site", "once")
         held = write_stage(single.agg(F.first("codes").alias("codes")).drop("once"), "texts")
     totals = write_stage(held.groupBy("site").agg(F.count("*").alias("pages")), "sites")
-    counts = held.select("site", F.explode("codes").alias("code")).groupBy("site", "code").count()
+    # Spark tests the number of codes below a plain explode, and reads every page into lines once more for it.
+    codes_held = held.select("site", F.explode_outer("codes").alias("code")).filter(F.col("code").isNotNull())
+    counts = codes_held.groupBy("site", "code").count()
     frequent = counts.filter(F.col("count") >= min_pages)
     # Only common lines meet in one row of their site; rare ones are filtered before.
     common = join_groups(frequent, totals, ["site"]).filter(F.col("count") > max_ratio * F.col("pages"))
