@@ -168,7 +168,8 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], limit: int
 
     ``groups`` is written to the shared folder and counted first. Under the limit it is broadcast.
     Above it every group is repeated for each salt and the rows are dealt over the salts, so that
-    no task gets all rows of a key. Both ways give the same rows.
+    no task gets all rows of a key. Both ways give the same rows. Only the count decides: Spark goes by the
+    bytes of the packed file without the repeats, and so would send millions of rows through the driver.
     """
     groups = write_stage(groups, "groups")
     names = fresh(rows, *(f"group_{k}" for k in keys))
@@ -181,4 +182,4 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], limit: int
     right = right.withColumn(salts, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     rows = rows.withColumn(salt, F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int"))
     same = [rows[k].eqNullSafe(right[n]) for k, n in zip(keys, names)]
-    return rows.join(right, [rows[salt] == right[salts], *same], "left").drop(*names, salt, salts)
+    return rows.join(right.hint("merge"), [rows[salt] == right[salts], *same], "left").drop(*names, salt, salts)

@@ -5,6 +5,9 @@ and its depth. Subtree sums follow a centroid decomposition of the parent edges:
 at the node whose subtree just holds half of its weight, the totals of the parts below that node are added
 to the nodes between it and the top of the component, and the parts are split in turn. Components of more
 nodes than a task takes are split by joins, all of them in one round; a smaller component goes to one task whole.
+
+Joins to a table with a row per conversation or node are hinted: by the bytes of its packed file Spark would broadcast
+millions of its rows through the driver.
 """
 
 from __future__ import annotations
@@ -87,12 +90,12 @@ def with_shared_heads(turns: DataFrame, every: int = 20, heads: int = 4) -> tupl
     convs = turns.groupBy("conv_id").agg(F.max("pos").alias("n")).withColumn("base", F.col("conv_id") - F.col("conv_id") % every)
     convs = write_stage(convs.withColumn("h", F.crc32(F.col("conv_id").cast("string").cast("binary")) % heads), "conversations")
     lengths = convs.select(F.col("conv_id").alias("base"), F.col("n").alias("base_n"))
-    convs = convs.join(lengths, "base", "left").withColumn("m", F.least("h", F.coalesce("base_n", F.lit(0))))
+    convs = convs.join(lengths.hint("merge"), "base", "left").withColumn("m", F.least("h", F.coalesce("base_n", F.lit(0))))
     convs = convs.withColumn("length", F.col("m") + F.greatest(F.col("n") - F.col("h"), F.lit(0)))
     convs = write_stage(convs.select("conv_id", "base", "h", "m", "length"), "conversations")
     own = join_groups(turns, convs.drop("base"), ["conv_id"]).filter("pos > h").withColumn("depth", F.expr("pos - h + m"))
     shared = turns.filter((F.col("pos") < heads) & (F.col("conv_id") % every == 0)).withColumnRenamed("conv_id", "base")
-    shared = shared.join(convs.drop("h"), "base").filter("pos <= m").withColumnRenamed("pos", "depth")
+    shared = shared.join(convs.drop("h").hint("merge"), "base").filter("pos <= m").withColumnRenamed("pos", "depth")
     columns = ["conv_id", "depth", "t1", "t2", "words", "length"]
     return convs.select("conv_id", "length"), own.select(columns).unionByName(shared.select(columns))
 
@@ -130,7 +133,7 @@ def trie_nodes(convs: DataFrame, paths: DataFrame) -> DataFrame:
     children = nodes.filter("p1 IS NOT NULL").groupBy(F.col("depth") - 1, "p1", "p2").agg(F.count("*").alias("n_children"))
     children = children.toDF(*NODE, "n_children")
     # A node may be the parent of a great part of all nodes; adaptive execution splits the children's side of the join.
-    nodes = nodes.join(names, ["depth", "p1", "p2"], "left").join(children, NODE, "left")
+    nodes = nodes.join(names.hint("merge"), ["depth", "p1", "p2"], "left").join(children.hint("merge"), NODE, "left")
     return write_stage(
         nodes.na.fill(0, ["n_children"]).select(
             "conv_id", *NODE, "parent_conv_id", "n_convs", "n_children", "weight",
@@ -144,7 +147,7 @@ def trie_nodes(convs: DataFrame, paths: DataFrame) -> DataFrame:
 def _owners(paths: DataFrame, nodes: DataFrame) -> DataFrame:
     """(conv_id, depth, owner, parent_owner): the smallest member of each node on a conversation's path."""
     names = nodes.select(*NODE, F.col("conv_id").alias("owner"), F.col("parent_conv_id").alias("parent_owner"))
-    named = paths.select("conv_id", *NODE).join(names, NODE).select("conv_id", "depth", "owner", "parent_owner")
+    named = paths.select("conv_id", *NODE).join(names.hint("merge"), NODE).select("conv_id", "depth", "owner", "parent_owner")
     # Paths start below the root.
     root = named.filter("depth = 1").select("conv_id", F.lit(0).cast("long"), "parent_owner", F.lit(None).cast("long"))
     return write_stage(named.union(root), "owners")
@@ -167,7 +170,7 @@ def split_large(state: DataFrame, owners: DataFrame, large: DataFrame) -> tuple[
     # The node one below the cut on the way to each deeper node: its parent tells whether the node lies below the cut.
     deeper = rows.filter("depth > c_depth").withColumn("step", F.col("c_depth") + 1)
     steps = owners.select(F.col("conv_id"), F.col("depth").alias("step"), "owner", "parent_owner")
-    deeper = deeper.join(steps, ["conv_id", "step"])
+    deeper = deeper.join(steps.hint("merge"), ["conv_id", "step"])
     deeper = deeper.withColumn("under", F.col("parent_owner") == F.col("c_conv"))
     level = rows.filter("c_conv IS NOT NULL AND depth <= c_depth")
     is_cut = (F.col("conv_id") == F.col("c_conv")) & (F.col("depth") == F.col("c_depth"))
@@ -372,7 +375,7 @@ def prefix_trie(convs: DataFrame, turns: DataFrame, task_nodes: int = TASK_NODES
     nodes = trie_nodes(convs, paths)
     sums = subtree_sums(nodes, paths, task_nodes)
     none = hashlib.sha256(b"").hexdigest()
-    found = nodes.join(sums, ["conv_id", "depth"]).join(end_digests(convs, paths), NODE, "left")
+    found = nodes.join(sums.hint("merge"), ["conv_id", "depth"]).join(end_digests(convs, paths).hint("merge"), NODE, "left")
     return found.select(
         "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens",
         F.coalesce("ends_sha256", F.lit(none)).alias("ends_sha256"),
